@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graftwork.session import load
 
@@ -29,5 +30,27 @@ m AS (SELECT b.page_id, arg_max(rhost||rpath, length(rhost||rpath)) AS rule, arg
 SELECT b.page_id, b.host, b.path, m.rule, coalesce(m.v,'allow') AS verdict FROM b LEFT JOIN m USING(page_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_url_filters": op5_url_filters}
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graftwork.llm import gam
+    from graftwork.llm.common import crc_mod
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = gam.fit(docs, load(spark, sf_dir, "labels"), "quality", folds=5, held_out=0)
+    return gam.score(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graftwork.llm import toxicity
+    from graftwork.llm.common import crc_mod
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, load(spark, sf_dir, "labels"), folds=4, held_out=2)
+    return toxicity.score(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "hits")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_url_filters": op5_url_filters,
+    "op7_quality": op7_quality,
+    "op9_toxicity": op9_toxicity,
+}
 ORACLES: dict[str, str] = {"op5_url_filters": OP5_SQL}
