@@ -30,6 +30,12 @@ m AS (SELECT b.page_id, arg_max(rhost||rpath, length(rhost||rpath)) AS rule, arg
 SELECT b.page_id, b.host, b.path, m.rule, coalesce(m.v,'allow') AS verdict FROM b LEFT JOIN m USING(page_id)
 """
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graftwork.llm.merkle import fingerprints
+
+    return fingerprints(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graftwork.llm import gam
     from graftwork.llm.common import crc_mod
@@ -50,6 +56,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filters": op5_url_filters,
+    "op6_fingerprints": op6_fingerprints,
     "op7_quality": op7_quality,
     "op9_toxicity": op9_toxicity,
 }
