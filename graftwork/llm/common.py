@@ -59,3 +59,48 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
         if np.abs(step).max() < 1e-8:
             break
     return w
+
+
+#: Bits of a broadcast membership sketch at most (16 MiB).
+BLOOM_BITS = 1 << 27
+_BLOCK = 1 << 12  # bytes
+
+
+def _places(h: bytes, bits: int) -> tuple[int, int, int]:
+    a, b = int.from_bytes(h[:8], "little"), int.from_bytes(h[8:16], "little") | 1
+    return a & (bits - 1), (a + b) & (bits - 1), (a + 2 * b) & (bits - 1)
+
+
+def bloom_has(table: bytes, h: bytes) -> bool:
+    """False only for a 16-byte hash that wasn't put in."""
+    bits = len(table) << 3
+    return all(table[p >> 3] >> (p & 7) & 1 for p in _places(h, bits))
+
+
+def bounded_bloom(hashes: DataFrame) -> bytes:
+    """A Bloom filter over a column of 16-byte hashes: 16 to 32 bits each, `BLOOM_BITS` in all at most.
+
+    Beyond that bound it only lets more pass that wasn't put in, so that users must give right results for these too.
+    """
+    (col,) = hashes.columns
+    n = hashes.count()
+    bits = min(BLOOM_BITS, max(8 * _BLOCK, 1 << (16 * max(1, n) - 1).bit_length()))
+
+    def blocks(batches):
+        table = np.zeros(bits >> 3, np.uint8)
+        for b in batches:
+            for h in b.column(0).to_pylist():
+                for p in _places(h, bits):
+                    table[p >> 3] |= 1 << (p & 7)
+        t = table.reshape(-1, _BLOCK)
+        at = np.flatnonzero(t.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([t[i].tobytes() for i in at], pa.binary())], names=["block", "bits"])
+
+    def either(key, batch):
+        t = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in batch.column("bits").to_pylist()])
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([t.tobytes()], pa.binary())})
+
+    out = bytearray(bits >> 3)
+    for r in hashes.mapInArrow(blocks, "block int, bits binary").groupBy("block").applyInArrow(either, "block int, bits binary").toLocalIterator():
+        out[r.block * _BLOCK : (r.block + 1) * _BLOCK] = r.bits
+    return bytes(out)

@@ -54,10 +54,24 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "hits")
 
 
+def tokenizer_path() -> str:
+    """The byte-level vocabulary's place; the same on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graftwork.llm.bpe import encode_documents
+
+    return encode_documents(load(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filters": op5_url_filters,
     "op6_fingerprints": op6_fingerprints,
     "op7_quality": op7_quality,
     "op9_toxicity": op9_toxicity,
+    "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {"op5_url_filters": OP5_SQL}
