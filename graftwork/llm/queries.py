@@ -30,6 +30,22 @@ m AS (SELECT b.page_id, arg_max(rhost||rpath, length(rhost||rpath)) AS rule, arg
 SELECT b.page_id, b.host, b.path, m.rule, coalesce(m.v,'allow') AS verdict FROM b LEFT JOIN m USING(page_id)
 """
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graftwork.llm.token_files import read_token_files, write_token_files
+    from graftwork.session import scratch_path
+
+    out = scratch_path(spark, "tokens")
+    write_token_files(load(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), out)
+    return read_token_files(spark, out)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graftwork.llm.mixing import mix
+
+    out = mix(load(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graftwork.llm.merkle import fingerprints
 
@@ -68,6 +84,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_files": op3_token_files,
+    "op4_mixing": op4_mixing,
     "op5_url_filters": op5_url_filters,
     "op6_fingerprints": op6_fingerprints,
     "op7_quality": op7_quality,
