@@ -30,6 +30,25 @@ m AS (SELECT b.page_id, arg_max(rhost||rpath, length(rhost||rpath)) AS rule, arg
 SELECT b.page_id, b.host, b.path, m.rule, coalesce(m.v,'allow') AS verdict FROM b LEFT JOIN m USING(page_id)
 """
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graftwork.llm.warc import build_index, lookup, write_archives
+    from graftwork.session import scratch_path
+
+    pages = load(spark, sf_dir, "pages").select("page_id", "url", "html")
+    folder = scratch_path(spark, "warc")
+    write_archives(pages, folder)
+    return lookup(pages.select("page_id", "url"), build_index(spark, folder, scratch_path(spark, "cdx")))
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html,'') AS h FROM pages),
+q AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
+r AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS f FROM q)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f = page_id THEN NULL ELSE f END AS refers_to FROM r
+"""
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graftwork.llm.token_files import read_token_files, write_token_files
     from graftwork.session import scratch_path
@@ -61,6 +80,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.score(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graftwork.llm.jaccard import jaccard_components
+
+    return jaccard_components(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graftwork.llm import toxicity
     from graftwork.llm.common import crc_mod
@@ -84,12 +109,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op3_token_files": op3_token_files,
     "op4_mixing": op4_mixing,
     "op5_url_filters": op5_url_filters,
     "op6_fingerprints": op6_fingerprints,
     "op7_quality": op7_quality,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {"op5_url_filters": OP5_SQL}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op5_url_filters": OP5_SQL}
