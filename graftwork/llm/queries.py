@@ -30,6 +30,12 @@ m AS (SELECT b.page_id, arg_max(rhost||rpath, length(rhost||rpath)) AS rule, arg
 SELECT b.page_id, b.host, b.path, m.rule, coalesce(m.v,'allow') AS verdict FROM b LEFT JOIN m USING(page_id)
 """
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graftwork.llm.ann import nearest
+
+    return nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graftwork.llm.warc import build_index, lookup, write_archives
     from graftwork.session import scratch_path
@@ -109,6 +115,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
     "op2_warc": op2_warc,
     "op3_token_files": op3_token_files,
     "op4_mixing": op4_mixing,
