@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 from array import array
 from collections import Counter
@@ -32,10 +33,11 @@ from graftwork.llm.common import bloom_has, bounded_bloom, pieces
 
 #: The published pre-tokenizer pattern of byte-level BPE; its white space is Unicode's.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: The same for texts of ASCII only.
-ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
-#: Pieces that one process remembers; beyond that it starts anew.
-MEMO = 600_000
+#: The same for texts whose characters are ASCII or the Latin letters up to U+024F.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^ \t-\r{LATIN}0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
+#: Pieces that one process remembers; beyond that the later ones go.
+MEMO = 300_000
 LEAST, MOST, MEAN_BITS = 256, 8192, 10
 
 
@@ -46,6 +48,17 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Memo(dict):
+    """Ids of pieces; encodes what it hasn't seen."""
+
+    def __init__(self, encode) -> None:
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.encode(piece)
+        return ids
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         import re
@@ -64,7 +77,8 @@ class Encoder:
             pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
             and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout") and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in added)
         )
-        self.find, self.find_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
+        self.find, self.find_latin = regex.compile(PATTERN).findall, re.compile(LATIN_PATTERN).findall
+        self.latin = re.compile(rf"[\x00-\x7f{LATIN[6:]}]*").fullmatch
         self.special = {t["content"]: t["id"] for t in added}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         letters = _byte_letters()
@@ -75,14 +89,15 @@ class Encoder:
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
         self.length_of = np.fromiter(map(len, self.bytes_of), np.int64, size)
+        self.packed = "<u2" if size <= 1 << 16 else "<u4"  # as ids travel
         self.decimals = [str(i) for i in range(size)]
         self.letters = {b: c for c, b in letters.items()}
         self.ascii_letters = {b: self.letters[b] for b in range(128)}
         self.tokenize = self.library.model.tokenize
-        self.memo: dict[str, bytes] = {}
+        self.memo = _Memo(self._piece)
 
     def _split(self, text: str) -> list[str]:
-        return self.find_ascii(text) if text.isascii() else self.find(text)
+        return self.find_latin(text) if text.isascii() or self.latin(text) else self.find(text)
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one piece, by the library's model."""
@@ -105,15 +120,10 @@ class Encoder:
                 split.append([*parts, *self._split(t[at:])])
             else:
                 split.append(self._split(t))
-        memo = self.memo
-        new = {p for s in split for p in s if p not in memo} if len(split) > 1 else {p for p in split[0] if p not in memo} if split else set()
-        if new:
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = {p for s in split for p in s}
-            for p in new:
-                memo[p] = self._piece(p)
-        get = memo.__getitem__
+        if len(self.memo) > MEMO:  # what came early is common
+            for p in list(itertools.islice(self.memo, MEMO // 3, None)):
+                del self.memo[p]
+        get = self.memo.__getitem__
         return [np.frombuffer(b"".join(map(get, s)), np.uint32) for s in split]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -265,7 +275,7 @@ def _encode_chunks(path: str):
         enc = encoder(path)
         for b in pieces(batches):
             ids = enc.encode_batch([c.decode("utf-8", "surrogatepass") for c in b.column("chunk").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("hash"), pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary())], names=["hash", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("hash"), pa.array([i.astype(enc.packed).tobytes() for i in ids], pa.binary())], names=["hash", "ids"])
 
     return run
 
@@ -322,7 +332,7 @@ def _assembled(path: str, full: bool):
             ids = []
             for z, got in zip(b.column("packed").to_pylist(), b.column("got").to_pylist(), strict=True):
                 raw = zlib.decompress(z)
-                ids.append(assemble(enc, raw, cuts(raw), {g["seq"]: np.frombuffer(g["ids"], "<u4") for g in got or []}))
+                ids.append(assemble(enc, raw, cuts(raw), {g["seq"]: np.frombuffer(g["ids"], enc.packed).astype(np.uint32) for g in got or []}))
             yield _result(b.column("doc_id"), ids, enc, full)
 
     return run

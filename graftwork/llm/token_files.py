@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from graftwork.llm.bpe import encoder
 from graftwork.llm.common import pieces
+from graftwork.session import written
 
 BLOCK = 4096
 PERCENTILE = 0.95
@@ -218,7 +219,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files in the folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
-    local = files.select("path", "content").mapInArrow(_read, "path string, doc_id long, local long, n_tokens long, ids_crc32 long")
+    local = written(files.select("path", "content").mapInArrow(_read, "path string, doc_id long, local long, n_tokens long, ids_crc32 long"), "read")
     sums = local.groupBy("path").agg(F.sum("n_tokens").alias("n")).collect()  # a number for each file
     base, total = {}, 0
     for r in sorted(sums, key=lambda r: r.path.rsplit("/", 1)[-1]):  # names follow the ranges
