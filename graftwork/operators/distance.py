@@ -51,12 +51,13 @@ def block_join(left: DataFrame, right: DataFrame, fn: Callable, schema: str, arr
     def run(x, y):
         if not x.num_rows or not y.num_rows:
             return arrow.empty_table()
-        out = fn(np.asarray(x.column("id")), matrix(x.column("pos")), np.asarray(y.column("id")), matrix(y.column("pos")), *(([np.asarray(x.column(e)) for e in extra], [np.asarray(y.column(e)) for e in extra]) if extra else ()))
+        out = fn(np.asarray(x.column("id")), matrix(x.column("pos")), np.asarray(y.column("r_id")), matrix(y.column("r_pos")), *(([np.asarray(x.column(e)) for e in extra], [np.asarray(y.column(f"r_{e}")) for e in extra]) if extra else ()))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
 
     j = [F.col("i").cast("int"), F.col("j").cast("int")]
-    a, b = a.select(*cols, j[0].alias("i"), j[1].alias("j")), b.select(*cols, j[0].alias("i"), j[1].alias("j"))
-    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(run, schema)
+    # names and attributes of the right side are its own, as both may come from one DataFrame
+    a, b = a.select(*cols, j[0].alias("i"), j[1].alias("j")), b.select(*(F.col(c).alias(f"r_{c}") for c in cols), j[0].alias("r_i"), j[1].alias("r_j"))
+    return a.groupBy("i", "j").cogroup(b.groupBy("r_i", "r_j")).applyInArrow(run, schema)
 
 
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("w", pa.float64())])

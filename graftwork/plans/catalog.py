@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from graftwork.plans import q_graph
+
+_PARTS = [q_graph]
+QUERIES = {k: f for m in _PARTS for k, f in m.QUERIES.items()}
+ORACLES = {k: s for m in _PARTS for k, s in m.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
