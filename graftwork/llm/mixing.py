@@ -95,9 +95,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     out = written(ranked.select("doc_id", *_BY, "size", F.col("words").alias("source_size"), "target", "rate", "k", "salt", F.least(F.lit(cap), F.greatest(F.lit(0), copies)).cast("int").alias("copies")), "copies")
     for _ in range(fixes):
         off = out.groupBy(*_BY).agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("off"))
-        way = F.signum("off").cast("int")
-        c = out.join(off, _BY).withColumn("way", way).where(f"size > 0 and way <> 0 and copies + way between 0 and {cap} and abs(abs(off) - size) < abs(off)")
-        best = c.groupBy(*_BY).agg(F.min(F.struct(F.abs(F.abs("off") - F.col("size")).alias("e"), F.xxhash64("doc_id").alias("h"), "doc_id", "size", "salt", "k", "way")).alias("b"))
+        # one document to raise and one to lower for each size, gathered before sources meet
+        who = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "salt", "k")
+        ends = out.where("size > 0").groupBy(*_BY, "size").agg(F.min(F.when(F.col("copies") < cap, who)).alias("up"), F.min(F.when(F.col("copies") > 0, who)).alias("down"))
+        c = ends.join(off, _BY).withColumn("way", F.signum("off").cast("int")).withColumn("b", F.when(F.col("way") > 0, F.col("up")).otherwise(F.col("down")))
+        c = c.where("way <> 0 and b is not null and abs(abs(off) - size) < abs(off)").select(*_BY, F.struct(F.abs(F.abs("off") - F.col("size")).alias("e"), "b.h", "b.doc_id", "size", "b.salt", "b.k", "way").alias("b"))
+        best = c.groupBy(*_BY).agg(F.min("b").alias("b"))
         best = written(best.select(*_BY, F.col("b.doc_id").alias("doc_id"), F.col("b.size").alias("size"), F.col("b.salt").alias("salt"), F.col("b.k").alias("k"), F.col("b.way").alias("way")), "fix")
         if best.isEmpty():
             break
