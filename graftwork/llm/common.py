@@ -23,7 +23,7 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of few bytes, so that long texts don't meet in memory."""
     for b in batches:
         n = max(1, min(b.num_rows, int(b.num_rows * most_bytes / max(1, b.nbytes))))

@@ -4,17 +4,19 @@ A document's set is its distinct 5-word shingles (fewer words: the whole sequenc
 64-bit hashes; documents with equal sets are one class (128-bit digest of the sorted set), and only classes are compared.
 
 The global order puts rare shingles first: by a count-min estimate over all documents (a sketch of fixed size), then by hash.
-Any order gives right results; the estimate only decides how much work they take. Of a set of n, the first n - ceil(t n) + 1
-in this order are its prefix; two sets of similarity t or more share a shingle in their prefixes, and at the first
-shared one, at places i and j (from 0), min(n - i, m - j) is at least the overlap that they need.
-
-Prefixes are dealt out by hash range. In a range, sets that share a prefix shingle and pass the size and place filters
-are candidates: all pairs of a short list; of a long one, each set with the few sets that have least of their own before
-the shingle. Candidates are verified vertically: the global order is cut into `FRAGMENTS`, the sets of candidates
-into a row a fragment, the overlap of each fragment is counted by itself, and counts are summed for each pair. Pairs that reach the
-threshold link. What long lists still miss comes in further rounds: lists are taken up again with the components found
-so far, and only sets of different components are compared, first with more hubs, last with all. So no link between different
-components is lost, and a group of near copies doesn't make a pair for each two of its members.
+Any order gives right results; the estimate only decides how much work they take. Of a set of n, the first
+n - ceil(t n) + l in this order are its prefix, l growing with n: two sets of similarity t or more share at least the smaller l of
+shingles in their prefixes, and at the first shared one, at places i and j (from 0), min(n - i, m - j) is at least the
+overlap that they need.
+
+Prefixes are dealt out by hash range. In a range, sets that share a prefix shingle and pass the size filter are counted: all
+pairs of a short list; of a long one, each set with the few sets that have least of their own before the shingle.
+Counts are summed over ranges, and pairs with too few are dropped, places in long lists being counted for them. The rest
+are verified vertically: the global order is cut into `FRAGMENTS`, the sets of candidates into a row a fragment, the overlap of
+each fragment is counted by itself, and counts are summed for each pair. Pairs that reach the threshold link. What long
+lists still miss comes in further rounds: lists are taken up again with the components found so far, and only sets of
+different components are compared, first with more hubs, last with all. So no link between different components is lost,
+and a group of near copies doesn't make a pair for each two of its members.
 
 Null and blank texts have an empty set, no links, and are their own component. Rows with equal ids take the last step's
 class of either; ids are compared as numbers, nulls don't link and have a null component. Other columns play no part.
@@ -22,6 +24,7 @@ class of either; ids are compared as numbers, nulls don't link and have a null c
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +38,10 @@ from graftwork.session import written
 
 WORDS = 5
 NUM, DEN = 75, 100
-#: Counters of the sketch that orders shingles, in rows of `SKETCH_ROW`.
-SKETCH = 1 << 22
+#: Counters of the sketch that orders shingles (32 MiB; of small corpora fewer), in rows of `SKETCH_ROW`.
+SKETCH, SMALL_SKETCH, SMALL_BYTES = 1 << 24, 1 << 16, 32 << 20
+#: Prefix shingles that one range of hashes holds, about.
+RANGE = 2_000_000
 SKETCH_ROW = 1 << 12
 FRAGMENTS = 4
 #: Lists up to here are compared in full at once; hubs that longer lists are compared with, round by round.
@@ -46,33 +51,50 @@ HUBS = (3, 12)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0xA0761D6478BD642F
+
+
 class Shingler:
-    """Sets of shingle hashes; remembers words' hashes."""
+    """Sets of shingle hashes."""
 
     def __init__(self, words: int = WORDS) -> None:
         self.words = words
-        self.memo: dict[bytes, int] = {}
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.powers) < n:
+            n = 1 << n.bit_length()
+            self.powers = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE, np.uint64)], dtype=np.uint64)
+            self.inverse = np.cumprod(np.r_[np.uint64(1), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)], dtype=np.uint64)
+
+    def word_hashes(self, text: str) -> np.ndarray:
+        """A polynomial hash of each word's bytes, with A-Z as a-z; only ASCII blanks part words."""
+        b = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+        solid = np.zeros(len(b) + 2, bool)
+        solid[1:-1] = ~_BLANK[b]
+        edge = np.flatnonzero(solid[1:] != solid[:-1])
+        start, end = edge[::2], edge[1::2]
+        self._grow(len(b))
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * self.powers[: len(b)], out=sums[1:])
+        h = (sums[end] - sums[start]) * self.inverse[start]
+        h ^= h >> np.uint64(31)
+        h *= _MIX[3]
+        return h ^ (h >> np.uint64(29))
 
     def __call__(self, text: str | None) -> np.ndarray:
         """The sorted distinct shingles, unsigned 64 bits."""
-        import xxhash
-
         if not text:
             return np.zeros(0, np.uint64)
-        ws = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only ASCII blanks part
-        memo = self.memo
-        new = {w for w in ws if w not in memo}
-        if new:
-            if len(memo) > 1_000_000:
-                memo.clear()
-                new = set(ws)
-            for w in new:
-                memo[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws))
+        h = self.word_hashes(text)
         k = self.words
         if len(h) == 0:
             return h
         if len(h) < k:
+            import xxhash
+
             return np.array([xxhash.xxh3_64_intdigest(h.tobytes(), seed=len(h))], np.uint64)
         n = len(h) - k + 1
         s = np.zeros(n, np.uint64)
@@ -82,7 +104,23 @@ class Shingler:
         s *= _MIX[1]
         s ^= s >> np.uint64(32)
         s *= _MIX[4]
-        return np.unique(s)
+        s.sort()
+        return s[np.r_[True, s[1:] != s[:-1]]]
+
+
+def text_hash(text: str | None) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
+
+
+def least_shared(n):
+    """Prefix shingles that two sets which link share at least: the smaller one's value."""
+    return 1 + n // 12
+
+
+def least_shared_sql():
+    return F.expr("1 + least(n, m) div 12")
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -91,50 +129,73 @@ def digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
+def short_name(d: bytes) -> int:
+    """Eight bytes of a class's digest, by which lists name it; two classes of one short name are both taken up later."""
+    return int.from_bytes(d[:8], "little", signed=True)
+
+
 def least_overlap(n: np.ndarray | int, m: np.ndarray | int):
     """The overlap from which sets of n and m link: DEN * o >= NUM * (n + m - o)."""
     return -(-(NUM * (n + m)) // (NUM + DEN))
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: (doc_id, n, class); kind 1: rows of the sketch."""
-    shingle = Shingler()
-    sketch = np.zeros(SKETCH, np.uint16)
-    held, n_held = [], 0
-
-    def rows(kind, ids, n, data):
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.int32()), ids, pa.array(n, pa.int64()), pa.array(data, pa.binary())], names=["kind", "doc_id", "n", "data"])
-
-    def put():
-        nonlocal sketch
-        c = np.bincount(np.concatenate(held), minlength=SKETCH)
-        sketch = np.minimum(sketch + c, 65535).astype(np.uint16)
-
-    for b in pieces(batches):
-        n, d = [], []
-        for t in b.column("text").to_pylist():
-            s = shingle(t)
-            n.append(len(s))
-            d.append(digest(s) if len(s) else None)
-            held.append((s & np.uint64(SKETCH - 1)).astype(np.int64))
-            n_held += len(s)
-        yield rows(0, b.column("doc_id").cast(pa.int64()), n, d)
-        if n_held > 4_000_000:
+def _scan(counters: int):
+    """kind 0: (doc_id, n, class, text hash); kind 1: rows of the sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler()
+        sketch = np.zeros(counters, np.uint16)
+        held, n_held = [], 0
+
+        def rows(kind, ids, n, data, keys):
+            short = [short_name(d) if kind == 0 and d else None for d in data]
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.int32()), ids, pa.array(n, pa.int64()), pa.array(data, pa.binary()), pa.array(keys, pa.binary()), pa.array(short, pa.int64())], names=["kind", "doc_id", "n", "data", "text_hash", "short"])
+
+        def put():
+            at, c = np.unique(np.concatenate(held), return_counts=True)
+            sketch[at] = np.minimum(sketch[at] + c, 65535)
+
+        for b in pieces(batches):
+            n, d, t_hash = [], [], []
+            for t in b.column("text").to_pylist():
+                s = shingle(t)
+                n.append(len(s))
+                d.append(digest(s) if len(s) else None)
+                t_hash.append(text_hash(t))
+                held.append((s & np.uint64(counters - 1)).astype(np.uint32))
+                n_held += len(s)
+            yield rows(0, b.column("doc_id").cast(pa.int64()), n, d, t_hash)
+            if n_held > 1_000_000:
+                put()
+                held, n_held = [], 0
+        if held:
             put()
-            held, n_held = [], 0
-    if held:
-        put()
-    t = sketch.reshape(-1, SKETCH_ROW)
-    at = np.flatnonzero(t.any(1))
-    for k in range(0, len(at), 256):
-        yield rows(1, pa.nulls(len(at[k : k + 256]), pa.int64()), at[k : k + 256], [t[i].tobytes() for i in at[k : k + 256]])
+        t = sketch.reshape(-1, SKETCH_ROW)
+        at = np.flatnonzero(t.any(1))
+        for k in range(0, len(at), 256):
+            part = at[k : k + 256]
+            yield rows(1, pa.nulls(len(part), pa.int64()), part, [_pack_row(t[i]) for i in part], [None] * len(part))
+
+    return run
+
+
+def _pack_row(row: np.ndarray) -> bytes:
+    """Which counters aren't 0, and what they are."""
+    return zlib.compress(np.packbits(row > 0).tobytes() + row[row > 0].tobytes(), 1)
+
+
+def _unpack_row(raw: bytes) -> np.ndarray:
+    raw = zlib.decompress(raw)
+    out = np.zeros(SKETCH_ROW, np.uint32)
+    out[np.unpackbits(np.frombuffer(raw, np.uint8, SKETCH_ROW // 8)).astype(bool)] = np.frombuffer(raw, np.uint16, offset=SKETCH_ROW // 8)
+    return out
 
 
 def _add_rows(key, batches):
     total = np.zeros(SKETCH_ROW, np.uint32)
     for b in batches:
         for x in b.column("data").to_pylist():
-            total += np.frombuffer(x, np.uint16)
+            total += _unpack_row(x)
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())], names=["n", "data"])
 
 
@@ -148,7 +209,7 @@ def _grouped(fn, schema: pa.Schema):
 
 
 def _ordered(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    return s[np.lexsort((s, sketch[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))]
+    return s[np.argsort(sketch[(s & np.uint64(len(sketch) - 1)).astype(np.int64)], kind="stable")]  # s is sorted
 
 
 def _prefixes(sketch, ranges: int):
@@ -164,7 +225,8 @@ def _prefixes(sketch, ranges: int):
         def out():
             s = np.concatenate([p for p, _ in held])
             own = np.repeat(np.arange(len(held)), [len(p) for p, _ in held])
-            place = np.concatenate([np.arange(len(p)) for p, _ in held])
+            place = np.concatenate([np.arange(len(p)) for p, _ in held])  # beyond 65,535 an earlier place stands: a looser filter
+            s48 = s.view(np.uint8).reshape(-1, 8)[:, :6]
             size = np.array([n for _, n in held], np.int64)
             part = ((s >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(part, kind="stable")
@@ -174,7 +236,7 @@ def _prefixes(sketch, ranges: int):
                 i = order[ends[r] : ends[r + 1]]
                 if len(i):
                     mine, local = np.unique(own[i], return_inverse=True)
-                    cols.append((r, s[i].tobytes(), place[i].astype(np.uint32).tobytes(), local.astype(np.uint32).tobytes(), size[mine].astype(np.uint32).tobytes(), b"".join(names[j] for j in mine)))
+                    cols.append((r, s48[i].tobytes(), np.minimum(place[i], 65535).astype(np.uint16).tobytes(), local.astype(np.uint16).tobytes(), size[mine].astype(np.uint32).tobytes(), b"".join(names[j] for j in mine)))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*cols, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["part", "shingles", "places", "own", "sizes", "classes"])
 
         for b in pieces(batches):
@@ -184,18 +246,22 @@ def _prefixes(sketch, ranges: int):
                     continue
                 seen.add(d)
                 n = len(s)
-                held.append((_ordered(s, table)[: n - -(-NUM * n // DEN) + 1], n))
-                names.append(d)
+                held.append((_ordered(s, table)[: n - -(-NUM * n // DEN) + least_shared(n)], n))
+                names.append(d[:8])
                 n_held += len(held[-1][0])
-            if n_held > 2_000_000:
-                yield out()
-                held, names, n_held = [], [], 0
+                if n_held > 1_000_000 or len(held) == 65536:
+                    yield out()
+                    held, names, n_held = [], [], 0
         if held:
             yield out()
 
     return run
 
 
+def _sizes_of(n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return DEN * np.minimum(n[a], n[b]) >= NUM * np.maximum(n[a], n[b])
+
+
 def _pairs_of(n: np.ndarray, place: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which of the pairs of positions a, b pass the size and place filters."""
     return (DEN * np.minimum(n[a], n[b]) >= NUM * np.maximum(n[a], n[b])) & (np.minimum(n[a] - place[a], n[b] - place[b]) >= least_overlap(n[a], n[b]))
@@ -221,27 +287,29 @@ def _all_pairs(n, place, comp) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield before[keep], b[keep]
 
 
-_LISTS = pa.schema([("kind", pa.int32()), ("shingle", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64()), ("m", pa.int64()), ("place", pa.int64())])
-_LISTS_DDL = "kind int, shingle long, a binary, b binary, n long, m long, place long"
+_LISTS = pa.schema([("kind", pa.int32()), ("shingle", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("place", pa.int64())])
+_LISTS_DDL = "kind int, shingle long, a long, b long, n long, m long, place long"
 
 
 def _batch(kind: int, shingle, a, b, n, m, place) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(a), pa.int32()), pa.array(shingle, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(place, pa.int64())], schema=_LISTS)
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(a), pa.int32()), pa.array(shingle, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(place, pa.int64())], schema=_LISTS)
 
 
 def _join_range(key, batches):
-    """kind 0: candidate pairs (a, b, sizes); kind 1: members (a, size, place) of lists that aren't finished."""
-    sh, pl, own, size, names = [], [], [], [], []
+    """kind 0: pairs (a, b, sizes) with the shingles shared here (place) and whether places allow a link (shingle); kind 1: members
+    (a, size, place) of long lists, named by the shingle's 48 bits and the range (m)."""
+    sh, pl, own, size, shorts, n_names = [], [], [], [], [], 0
     for b in batches:
         for s, p, o, z, c in zip(*(b.column(k).to_pylist() for k in ("shingles", "places", "own", "sizes", "classes")), strict=True):
-            sh.append(np.frombuffer(s, np.uint64))
-            pl.append(np.frombuffer(p, np.uint32))
-            own.append(np.frombuffer(o, np.uint32).astype(np.int64) + sum(map(len, size)))
+            wide = np.zeros((len(p) // 2, 8), np.uint8)
+            wide[:, :6] = np.frombuffer(s, np.uint8).reshape(-1, 6)
+            sh.append(wide.view(np.uint64)[:, 0])
+            pl.append(np.frombuffer(p, np.uint16))
+            own.append(np.frombuffer(o, np.uint16).astype(np.int64) + n_names)
+            n_names += len(z) // 4
             size.append(np.frombuffer(z, np.uint32).astype(np.int64))
-            names += [c[i : i + 16] for i in range(0, len(c), 16)]
-    number: dict[bytes, int] = {}
-    same = np.array([number.setdefault(c, len(number)) for c in names], np.int64)
-    names = list(number)
+            shorts.append(np.frombuffer(c, np.int64))
+    names, same = np.unique(np.concatenate(shorts), return_inverse=True)
     sh, pl, own, size = (np.concatenate(x) for x in (sh, pl, own, size))
     n_of = np.zeros(len(names), np.int64)
     n_of[same] = size
@@ -253,15 +321,22 @@ def _join_range(key, batches):
     sh, pl, own = sh[first], pl[first], own[first]
     starts = np.flatnonzero(np.r_[True, sh[1:] != sh[:-1]])
     counts = np.diff(np.r_[starts, len(sh)])
-    pairs: list[np.ndarray] = []
+    pairs: list[np.ndarray] = []  # first * names + second, twice that, and one more where the places allow a link
 
     def flush():
-        p = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        p, c = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         pairs.clear()
-        a, b = p // len(names), p % len(names)
-        for k in range(0, len(p), 50_000):
+        q, placed = p >> 1, p & 1
+        last = np.r_[q[1:] != q[:-1], True] if len(q) else np.zeros(0, bool)
+        total = np.add.reduceat(c, np.flatnonzero(np.r_[True, q[1:] != q[:-1]])) if len(q) else c
+        q, placed = q[last], placed[last]
+        a, b = q // len(names), q % len(names)
+        for k in range(0, len(q), 50_000):
             x, y = a[k : k + 50_000], b[k : k + 50_000]
-            yield _batch(0, [None] * len(x), [names[i] for i in x], [names[i] for i in y], n_of[x], n_of[y], [None] * len(x))
+            yield _batch(0, placed[k : k + 50_000], names[x], names[y], n_of[x], n_of[y], total[k : k + 50_000])
+
+    def ordered(a, b, placed):
+        return (np.minimum(a, b) * len(names) + np.maximum(a, b)) * 2 + placed  # names are sorted
 
     held = 0
     for size_of_list in range(2, SHORT + 1):  # all lists of one length at a time
@@ -270,18 +345,17 @@ def _join_range(key, batches):
             continue
         i, j = np.triu_indices(size_of_list, 1)
         a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-        keep = _pairs_of(n_of[own], pl, a, b)
-        a, b = own[a[keep]], own[b[keep]]
-        pairs.append(np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b)))
+        keep = _sizes_of(n_of[own], a, b)
+        a, b = a[keep], b[keep]
+        pairs.append(ordered(own[a], own[b], _pairs_of(n_of[own], pl, a, b)))
     for at, c in zip(starts[counts > SHORT].tolist(), counts[counts > SHORT].tolist(), strict=True):
         o, p = own[at : at + c], pl[at : at + c]
         a, b = _hub_pairs(n_of[o], p, o, HUBS[0])
-        a, b = o[a], o[b]
-        pairs.append(np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b)))
+        pairs.append(ordered(o[a], o[b], 1))
         held += len(a)
-        yield _batch(1, [int(sh[at].view(np.int64))] * c, [names[i] for i in o], [None] * c, n_of[o], [None] * c, p)
+        yield _batch(1, [int(sh[at].view(np.int64))] * c, names[o], [None] * c, n_of[o], [key[0].as_py()] * c, p)
         if held > 2_000_000:
-            pairs[:] = [np.unique(np.concatenate(pairs))]
+            yield from flush()
             held = 0
     yield from flush()
 
@@ -294,20 +368,19 @@ def _again(hubs: int | None):
         for b in batches:
             for c, k in zip(cols, ("a", "n", "place", "component"), strict=True):
                 c += b.column(k).to_pylist()
-        names, n, place, comp = cols[0], *(np.array(c, np.int64) for c in cols[1:])
+        names, n, place, comp = (np.array(c, np.int64) for c in cols)
         if comp.min() == comp.max():
             return
-        found = _all_pairs(n, place, comp) if hubs is None else [_hub_pairs(n, place, comp, hubs)]
-        for a, b in found:
+        for a, b in _all_pairs(n, place, comp) if hubs is None else [_hub_pairs(n, place, comp, hubs)]:
             if len(a):
-                x, y = [names[i] for i in a], [names[i] for i in b]
-                swap = [p > q for p, q in zip(x, y, strict=True)]
-                yield _batch(0, [None] * len(a), [q if s else p for p, q, s in zip(x, y, swap, strict=True)], [p if s else q for p, q, s in zip(x, y, swap, strict=True)], np.where(swap, n[b], n[a]), np.where(swap, n[a], n[b]), [None] * len(a))
+                swap = names[a] > names[b]
+                a, b = np.where(swap, b, a), np.where(swap, a, b)
+                yield _batch(0, np.ones(len(a), np.int64), names[a], names[b], n[a], n[b], np.ones(len(a), np.int64))
 
     return run
 
 
-def _fragments(sketch, bits):
+def _fragments(bits):
     """(class, fragment, shingles) of the sets that may be candidates, each once a task."""
 
     def run(batches):
@@ -316,8 +389,10 @@ def _fragments(sketch, bits):
         for b in pieces(batches):
             names, frag, seg = [], [], []
             for t in b.column("text").to_pylist():
+                if not t or not bloom_has(bits.value, text_hash(t)):
+                    continue
                 s = shingle(t)
-                if not len(s) or (d := digest(s)) in seen or not bloom_has(bits.value, d):
+                if not len(s) or (d := digest(s)) in seen:
                     continue
                 seen.add(d)
                 part = (s >> np.uint64(64 - 2)).astype(np.int64) * FRAGMENTS // 4
@@ -338,12 +413,14 @@ def _overlaps(batches):
         yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("a", "b", "n", "m")), pa.array(n, pa.int64())], names=["a", "b", "n", "m", "part"])
 
 
-def verify(texts: DataFrame, pairs: DataFrame, sketch) -> DataFrame:
+def verify(texts: DataFrame, pairs: DataFrame, heads: DataFrame) -> DataFrame:
     """(a, b) of the candidate pairs that link: overlaps counted by fragment and summed."""
     sc = texts.sparkSession.sparkContext
-    bits = sc.broadcast(bounded_bloom(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()))
-    seg = texts.mapInArrow(_fragments(sketch, bits), "class binary, fragment int, seg binary").groupBy("class", "fragment").agg(F.first("seg").alias("seg"))
-    left = pairs.join(seg.select(F.col("class").alias("a"), "fragment", F.col("seg").alias("x")), "a")
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(heads.select("class", "text_hash"), "class").select("text_hash")
+    bits = sc.broadcast(bounded_bloom(wanted))
+    seg = texts.mapInArrow(_fragments(bits), "class binary, fragment int, seg binary").groupBy("class", "fragment").agg(F.first("seg").alias("seg"))
+    cut = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+    left = cut.join(seg.select(F.col("class").alias("a"), "fragment", F.col("seg").alias("x")), ["a", "fragment"])
     both = left.join(seg.select(F.col("class").alias("b"), "fragment", F.col("seg").alias("y")), ["b", "fragment"]).select("a", "b", "n", "m", "x", "y")
     sums = both.mapInArrow(_overlaps, "a binary, b binary, n long, m long, part long").groupBy("a", "b", "n", "m").agg(F.sum("part").alias("o"))
     return sums.where(f"{DEN} * o >= {NUM} * (n + m - o)").select("a", "b")
@@ -353,35 +430,44 @@ def jaccard_components(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     spark = docs.sparkSession
     sc = spark.sparkContext
-    ranges = ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("text")
-    scan = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, "kind int, doc_id long, n long, data binary"), "classes")
-    ids = scan.where("kind = 0").select("doc_id", "n", F.col("data").alias("class"))
-    table = bytearray(SKETCH * 2)
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    counters = SKETCH if size > SMALL_BYTES else SMALL_SKETCH
+    ranges = ranges or max(12, size // 18 // RANGE)
+    scan = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(counters), "kind int, doc_id long, n long, data binary, text_hash binary, short long"), "classes")
+    ids = scan.where("kind = 0").select("doc_id", "n", F.col("data").alias("class"), "text_hash", "short")
+    table = bytearray(counters * 2)
     for r in scan.where("kind = 1").groupBy("n").applyInArrow(_grouped(_add_rows, pa.schema([("n", pa.int64()), ("data", pa.binary())])), "n long, data binary").toLocalIterator():
         table[r.n * 2 * SKETCH_ROW : (r.n + 1) * 2 * SKETCH_ROW] = r.data
     sketch = sc.broadcast(bytes(table))
     packed = texts.mapInArrow(_prefixes(sketch, ranges), "part int, shingles binary, places binary, own binary, sizes binary, classes binary")
     lists = written(packed.groupBy("part").applyInArrow(_grouped(_join_range, _LISTS), _LISTS_DDL), "lists")
-    heads = written(ids.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("head")), "heads")
-    open_lists = lists.where("kind = 1").select("shingle", "a", "n", "place")
+    heads = written(ids.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("head"), F.min("text_hash").alias("text_hash"), F.min("short").alias("short")), "heads")
+    open_lists = lists.where("kind = 1").select("shingle", F.col("m").alias("part"), "a", "n", "place")
     more = not open_lists.isEmpty()
+    in_long = open_lists.groupBy("a").agg(F.count("*").alias("long"))
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
-        p = written(pairs.select("a", "b", "n", "m").distinct(), "pairs")
-        e = verify(texts, p, sketch)
+        named = heads.select("short", "class")
+        p = pairs.join(named.select(F.col("short").alias("a"), F.col("class").alias("ca")), "a").join(named.select(F.col("short").alias("b"), F.col("class").alias("cb")), "b")
+        p = written(p.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "n", "m"), "pairs")
+        e = verify(texts, p, heads)
         u, v = heads.select(F.col("class").alias("a"), F.col("head").alias("u")), heads.select(F.col("class").alias("b"), F.col("head").alias("v"))
         return written(e.join(u, "a").join(v, "b").select("u", "v"), name)
 
-    edges = linked(lists.where("kind = 0"), "edges")
-    found = written(connected_components(edges), "components")
+    counted = lists.where("kind = 0").groupBy("a", "b", "n", "m").agg(F.sum("place").alias("shared"), F.max("shingle").alias("placed")).where("placed = 1")
+    counted = counted.join(in_long.select("a", F.col("long").alias("long_a")), "a", "left").join(in_long.select(F.col("a").alias("b"), F.col("long").alias("long_b")), "b", "left")
+    enough = F.col("shared") + F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0))) >= least_shared_sql()
+    edges = linked(counted.where(enough), "edges")
+    found = connected_components(edges)
+    comp = written(heads.join(found, heads["head"] == found["id"], "left").select("class", "short", "head", F.coalesce("component", "head").alias("component")), "components")
     for hubs in (*HUBS[1:], None) if more else ():
-        comp = heads.join(found, heads["head"] == found["id"], "left").select(F.col("class").alias("a"), F.coalesce("component", "head").alias("component"))
-        again = open_lists.join(comp, "a").groupBy("shingle").applyInArrow(_grouped(_again(hubs), _LISTS), _LISTS_DDL)
-        new = linked(again, "edges")
+        again = open_lists.join(comp.select(F.col("short").alias("a"), "component"), "a").groupBy("shingle", "part").applyInArrow(_grouped(_again(hubs), _LISTS), _LISTS_DDL)
+        new = linked(again.select("a", "b", "n", "m").distinct(), "edges")
         if new.isEmpty():
             continue
-        edges = edges.union(new)
-        found = written(connected_components(edges), "components")
-    comp = heads.join(found, heads["head"] == found["id"], "left").select("class", F.coalesce("component", "head").alias("component_id"))
-    return ids.join(comp, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        at = comp.select("head", "component")
+        between = new.join(at.select(F.col("head").alias("u"), F.col("component").alias("cu")), "u").join(at.select(F.col("head").alias("v"), F.col("component").alias("cv")), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+        merged = connected_components(between).select(F.col("id").alias("component"), F.col("component").alias("into"))
+        comp = written(comp.join(merged, "component", "left").select("class", "short", "head", F.coalesce("into", "component").alias("component")), "components")
+    return ids.join(comp.select("class", F.col("component").alias("component_id")), "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

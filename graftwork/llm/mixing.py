@@ -28,7 +28,7 @@ from graftwork.session import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that one window partition ranks, about.
-RANKED = 4096
+RANKED = 512
 _BY = ["no_source", "src"]
 
 
