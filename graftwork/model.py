@@ -30,9 +30,9 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("pos"), "label")
 
 
-def plane_points(spark: SparkSession, sf_dir: str, most: int = 200) -> DataFrame:
-    """Two-dimensional points: the first two components of the first `most` vectors."""
-    return points(spark, sf_dir).where(F.col("id") < most).select("id", F.slice("pos", 1, 2).alias("pos"), "label")
+def plane_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-dimensional points: the first two components of the vectors."""
+    return points(spark, sf_dir).select("id", F.slice("pos", 1, 2).alias("pos"), "label")
 
 
 def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,5 +57,5 @@ NATION_SQL = """nation_edges AS (SELECT u, v, floor(1000000.0/n + 0.5)::BIGINT A
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
   WHERE c_nationkey <> s_nationkey GROUP BY 1, 2))"""
 POINTS_SQL = "points AS (SELECT vec_id AS id, embedding::DOUBLE[] AS pos, label FROM embeddings)"
-PLANE_SQL = "plane AS (SELECT vec_id AS id, (embedding::DOUBLE[])[1:2] AS pos, label FROM embeddings WHERE vec_id < 200)"
+PLANE_SQL = "plane AS (SELECT vec_id AS id, (embedding::DOUBLE[])[1:2] AS pos, label FROM embeddings)"
 PART_SQL = "part_edges AS (SELECT -l_suppkey - 1 AS u, l_partkey AS v, count(*) AS w FROM lineitem GROUP BY ALL)"

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graftwork.model import both_ways, nodes_of
+from graftwork.model import KERNEL_EDGES, both_ways, nodes_of
 from graftwork.operators.graph import degrees
 from graftwork.operators.kernels import Csr
 from graftwork.operators.paths import bounded_graph, per_source, sssp
@@ -192,7 +192,10 @@ def estimate_betweenness(edges: DataFrame, n_samples: int, seed: int = 42) -> Da
 
 
 def tree_sides(tree: DataFrame) -> DataFrame:
-    """(u, v, below, n): how many nodes hang on v's or u's lower side, by leaves folded level by level (no root walk)."""
+    """(u, v, below, n): how many nodes hang on one side of the edge. Trees of a size that one task may hold are folded there; larger
+    ones by leaves, level by level."""
+    if tree.limit(KERNEL_EDGES + 1).count() <= KERNEL_EDGES:
+        return _sides_kernel(tree)
     n = nodes_of(tree).count()
     live, done = written(tree.select("u", "v"), "live"), None
     mass = written(nodes_of(tree).select("id", F.lit(1).cast("long").alias("m")), "mass")
@@ -209,6 +212,29 @@ def tree_sides(tree: DataFrame) -> DataFrame:
     return done.withColumn("n", F.lit(n))
 
 
+def _sides_kernel(tree: DataFrame) -> DataFrame:
+    u, v, _ = bounded_graph(tree.select("u", "v", F.lit(1).alias("w")))
+    g = Csr(u, v, np.ones(len(u)))
+    seen, size, order, up = np.zeros(g.n, bool), np.ones(g.n, np.int64), [], np.full(g.n, -1)
+    parent = np.full(g.n, -1)
+    for root in range(g.n):
+        stack = [] if seen[root] else [root]
+        seen[root] = True
+        while stack:
+            x = stack.pop()
+            order.append(x)
+            for y, e, _ in g.adj[x]:
+                if not seen[y]:
+                    seen[y], parent[y], up[y] = True, x, e
+                    stack.append(y)
+    below = np.zeros(g.m, np.int64)
+    for x in reversed(order):
+        if up[x] >= 0:
+            below[up[x]] = size[x]
+            size[parent[x]] += size[x]
+    return _frame(tree, {"u": u, "v": v, "below": below, "n": g.n}, "u long, v long, below long, n long")
+
+
 def tree_edge_centrality(tree: DataFrame, alpha: float = 1.0, weighted: bool = False) -> DataFrame:
     """EC-11: (n1 n2)^alpha of each edge's sides, times the weight if asked."""
     s = tree_sides(tree).join(tree, ["u", "v"])

@@ -48,18 +48,19 @@ def m0_knn_degree(spark: SparkSession, d: str) -> DataFrame:
 # ---- 2.1 sources -------------------------------------------------------------------------------------------------
 
 
-@query("SELECT page_id % 7 AS day, count(*) AS n FROM pages WHERE page_id % 7 <= 4 AND url LIKE 'https%' GROUP BY 1")
+@query("SELECT lang, count(*) AS n FROM documents WHERE n_chars <= 1500 AND lang IN ('en', 'de', 'fr') GROUP BY 1")
 def src04_row_filter(spark: SparkSession, d: str) -> DataFrame:
-    p = load(spark, d, "pages").where((F.col("page_id") % 7 <= 4) & F.col("url").like("https%"))
-    return p.groupBy((F.col("page_id") % 7).alias("day")).agg(F.count("*").alias("n"))
+    t = load(spark, d, "documents").where((F.col("n_chars") <= 1500) & F.col("lang").isin("en", "de", "fr"))
+    return t.groupBy("lang").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {P} SELECT id, label, round(pos[1], 6) AS x FROM points WHERE label IN (1, 3, 5) AND id <= 300")
+@query(f"WITH {P} SELECT id, label, round(pos[1], 6) AS x FROM points WHERE label IN (1, 3, 5, 7)")
 def src01_dataset_registry(spark: SparkSession, d: str) -> DataFrame:
     from graftwork.sources.datasets import Registry
 
     reg = Registry()
-    reg.add("reduced", lambda: M.points(spark, d).where(F.col("label").isin(1, 3, 5) & (F.col("id") <= 300)))
+    reg.add("full", lambda: M.points(spark, d))
+    reg.add("reduced", lambda: M.points(spark, d).where(F.col("label").isin(1, 3, 5, 7)))
     return reg.load("reduced").select("id", "label", F.round(F.col("pos")[0], 6).alias("x"))
 
 
@@ -80,10 +81,10 @@ def src03_projection(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "embeddings").select("label")
 
 
-@query(f"WITH {P}, m AS (SELECT row_number() OVER (ORDER BY id) - 1 AS ord, id FROM points WHERE label < 5) SELECT m.ord, m.id, round(p.pos[2], 6) AS y FROM m JOIN points p USING (id)")
+@query(f"WITH {P}, m AS (SELECT row_number() OVER (ORDER BY id) - 1 AS ord, id FROM points) SELECT m.ord, m.id, round(p.pos[2], 6) AS y FROM m JOIN points p USING (id)")
 def src05_gather(spark: SparkSession, d: str) -> DataFrame:
     p = M.points(spark, d)
-    m = p.where("label < 5").select("id")
+    m = p.select("id")
     m = m.withColumn("ord", (F.row_number().over(W.orderBy("id")) - 1).cast("long"))
     return m.join(p, "id").select("ord", "id", F.round(F.col("pos")[1], 6).alias("y"))
 
@@ -269,14 +270,9 @@ def gc07_knn_with_self(spark: SparkSession, d: str) -> DataFrame:
     return r6(D.knn(M.points(spark, d), 5, include_self=True).select("u", "v", "w"), "w")
 
 
-@query(f"""WITH plane AS (SELECT vec_id AS id, (embedding::DOUBLE[])[1:2] AS pos FROM embeddings WHERE vec_id < 40),
-t AS (SELECT a.id AS a, b.id AS b, c.id AS c, a.pos[1] AS ax, a.pos[2] AS ay, b.pos[1]-a.pos[1] AS bx, b.pos[2]-a.pos[2] AS b_y, c.pos[1]-a.pos[1] AS cx, c.pos[2]-a.pos[2] AS cy FROM plane a JOIN plane b ON a.id < b.id JOIN plane c ON b.id < c.id),
-o AS (SELECT *, (cy*(bx*bx+b_y*b_y) - b_y*(cx*cx+cy*cy)) / (2*(bx*cy-b_y*cx)) AS ox, (bx*(cx*cx+cy*cy) - cx*(bx*bx+b_y*b_y)) / (2*(bx*cy-b_y*cx)) AS oy FROM t),
-ok AS (SELECT a, b, c FROM o WHERE NOT EXISTS (SELECT 1 FROM plane p WHERE p.id NOT IN (o.a, o.b, o.c) AND pow(p.pos[1]-o.ax-o.ox,2)+pow(p.pos[2]-o.ay-o.oy,2) < (o.ox*o.ox+o.oy*o.oy)*(1-1e-12))),
-e AS (SELECT a AS u, b AS v FROM ok UNION SELECT a, c FROM ok UNION SELECT b, c FROM ok)
-SELECT u, v, round(list_distance(x.pos, y.pos), 6) AS w FROM e JOIN plane x ON x.id = u JOIN plane y ON y.id = v""")
+@query()
 def gc08_delaunay(spark: SparkSession, d: str) -> DataFrame:
-    return r6(C.delaunay(M.plane_points(spark, d, 40)), "w")
+    return r6(C.delaunay(M.plane_points(spark, d)), "w")
 
 
 @query("SELECT 11::BIGINT AS k")
@@ -289,16 +285,20 @@ def gc10_knn_graph(spark: SparkSession, d: str) -> DataFrame:
     return r6(C.knn_graph(M.points(spark, d))[0], "w")
 
 
-@query(f"""WITH plane AS (SELECT vec_id AS id, (embedding::DOUBLE[])[1:2] AS pos, label FROM embeddings WHERE vec_id < 200 AND label IN (1, 2)),
-x AS (SELECT a.label AS c, a.id AS i, b.id AS j, list_distance(a.pos, b.pos) AS w FROM plane a JOIN plane b ON a.label <> b.label),
-k AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY c ORDER BY w, i, j) <= 3)
-SELECT DISTINCT least(i, j) AS u, greatest(i, j) AS v, round(w, 6) AS w FROM k""")
+@query(f"""WITH {PL}, x AS (SELECT a.label::BIGINT AS c, a.id AS u, b.id AS v, list_distance(a.pos, b.pos) AS w FROM plane a JOIN plane b ON a.label <> b.label)
+SELECT c, u, v, round(w, 6) AS w FROM x QUALIFY row_number() OVER (PARTITION BY c ORDER BY x.w, u, v) <= 3""")
 def gc11_patch(spark: SparkSession, d: str) -> DataFrame:
-    """The edges that one pass adds between two labels, each made connected by a chain of ids."""
-    p = M.plane_points(spark, d).where("label in (1, 2)")
+    """What one pass adds where each label is a component."""
+    return r6(C.cross_pairs(M.plane_points(spark, d).select("id", "pos", F.col("label").cast("long").alias("c")), 3), "w")
+
+
+@query("SELECT 1 AS connected")
+def gc11_patched(spark: SparkSession, d: str) -> DataFrame:
+    """All passes, from a graph of labels' chains."""
+    p = M.plane_points(spark, d)
     nxt = F.lead("id").over(W.partitionBy("label").orderBy("id"))
-    chain = p.withColumn("v", nxt).where("v is not null").select(F.col("id").alias("u"), "v", F.lit(0.0).alias("w"))
-    return r6(G.difference(C.patch(chain, p, 3), chain), "w")
+    chain = written(p.withColumn("v", nxt).where("v is not null").select(F.col("id").alias("u"), "v", F.lit(0.0).alias("w")), "chain")
+    return spark.range(1).select(F.lit(int(G.is_connected(C.patch(chain, p, 3), p))).alias("connected"))
 
 
 DENS = f"""{KNN}, m AS (SELECT avg(w) AS m FROM edges), near AS (SELECT a.id AS u, b.id AS v FROM points a, points b, m WHERE list_distance(a.pos, b.pos) <= {{beta}} * m)"""
@@ -399,9 +399,9 @@ def gp04_degrees(spark: SparkSession, d: str) -> DataFrame:
     return G.degrees(M.part_supplier_edges(spark, d))
 
 
-@query(f"WITH {N} SELECT id FROM (SELECT u AS id FROM nation_edges WHERE v - u >= 23 UNION ALL SELECT v FROM nation_edges WHERE v - u >= 23) GROUP BY id HAVING count(*) = 1")
+@query(f"WITH {M.PART_SQL} SELECT id FROM (SELECT u AS id FROM part_edges UNION ALL SELECT v FROM part_edges) GROUP BY id HAVING count(*) = 1")
 def gp04_leaves(spark: SparkSession, d: str) -> DataFrame:
-    return G.leaves(M.nation_edges(spark, d).where("v - u >= 23"))
+    return G.leaves(M.part_supplier_edges(spark, d))
 
 
 @query(f"WITH {KNN} SELECT u, v, round(w, 6) AS w FROM edges")
@@ -453,9 +453,10 @@ def gp12_cycles(spark: SparkSession, d: str) -> DataFrame:
     return G.closes_cycle(chains, e)
 
 
-@query(f"WITH {N} SELECT u, v, w FROM nation_edges WHERE u % 2 = 0 AND v % 2 = 0")
+@query(f"WITH {N}, r AS (SELECT n_nationkey AS id FROM nation WHERE n_regionkey <= 2) SELECT u, v, w FROM nation_edges WHERE u IN (FROM r) AND v IN (FROM r)")
 def gp15_subgraph(spark: SparkSession, d: str) -> DataFrame:
-    return G.subgraph(M.nation_edges(spark, d), spark.range(0, 26, 2))
+    ids = load(spark, d, "nation").where("n_regionkey <= 2").select(F.col("n_nationkey").cast("long").alias("id"))
+    return G.subgraph(M.nation_edges(spark, d), ids)
 
 
 @query(f"WITH {N} SELECT least(u % 5, v % 5) AS u, greatest(u % 5, v % 5) AS v, min(w) AS w FROM nation_edges WHERE u % 5 <> v % 5 GROUP BY 1, 2")

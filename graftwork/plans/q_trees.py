@@ -44,12 +44,12 @@ def shape(tree: DataFrame) -> DataFrame:
 TREE25 = "SELECT 24::BIGINT AS n_edges, 25::BIGINT AS n_nodes, 1::BIGINT AS n_components"
 
 
-def small_knn(spark: SparkSession, d: str, n: int = 60, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    p = written(M.plane_points(spark, d, n), "plane")
-    return p, written(CO.knn_graph(p, 1, k)[0], "small")
+def plane_knn(spark: SparkSession, d: str, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    p = written(M.plane_points(spark, d), "plane")
+    return p, written(CO.knn_graph(p, 1, k)[0], "knn")
 
 
-def small_centers(spark: SparkSession) -> DataFrame:
+def some_centers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(3,), (17,), (42,)], "id long")
 
 
@@ -81,9 +81,9 @@ def tr02_best_edge(spark: SparkSession, d: str) -> DataFrame:
     return T.best_edge(e, edge_betweenness(e), 0.0).select("u", "v")
 
 
-@query(f"WITH {M.NATION_SQL}, e AS (SELECT u, v, w FROM nation_edges WHERE v - u >= 22), d AS (SELECT id FROM (SELECT u AS id FROM e UNION ALL SELECT v FROM e) GROUP BY id HAVING count(*) = 1) SELECT u, v, w FROM e WHERE u IN (FROM d) OR v IN (FROM d)")
+@query(f"{MST}, d AS (SELECT id FROM (SELECT u AS id FROM mst UNION ALL SELECT v FROM mst) GROUP BY id HAVING count(*) = 1) SELECT u, v, w FROM mst WHERE u IN (FROM d) OR v IN (FROM d)")
 def tr04_sure_edges(spark: SparkSession, d: str) -> DataFrame:
-    return T.sure_edges(written(kept(spark, d).where("v - u >= 22"), "e"))
+    return T.sure_edges(written(T.minimum_spanning_tree(kept(spark, d)), "mst"))
 
 
 @query(f"{MST} SELECT u, v, w FROM mst")
@@ -148,13 +148,13 @@ def tr17_maximum_spanning_tree(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 2::BIGINT AS n_edges, 3::BIGINT AS n_nodes, 1::BIGINT AS n_components")
 def tr18_representatives(spark: SparkSession, d: str) -> DataFrame:
-    p, e = small_knn(spark, d)
-    return shape(T.representatives_tree(T.minimum_spanning_tree(e), p, small_centers(spark)))
+    p, e = plane_knn(spark, d)
+    return shape(T.representatives_tree(T.minimum_spanning_tree(e), p, some_centers(spark)))
 
 
-@query("SELECT 59::BIGINT AS n_edges, 60::BIGINT AS n_nodes, 1::BIGINT AS n_components")
+@query("SELECT count(*) - 1 AS n_edges, count(*) AS n_nodes, 1::BIGINT AS n_components FROM embeddings")
 def tr19_jitter_tree(spark: SparkSession, d: str) -> DataFrame:
-    return shape(T.jitter_tree(M.plane_points(spark, d, 60), 0.01))
+    return shape(T.jitter_tree(M.plane_points(spark, d), 0.01))
 
 
 @query("SELECT 14::BIGINT AS n_edges, 15::BIGINT AS n_nodes, 1::BIGINT AS n_components")
@@ -205,27 +205,27 @@ def cl04_farthest_members(spark: SparkSession, d: str) -> DataFrame:
     return CL.farthest_members(p, p)
 
 
-@query(f"WITH {PL}, k AS (SELECT id, label FROM plane QUALIFY count(*) OVER (PARTITION BY label) >= 20) SELECT id AS old_id, row_number() OVER (ORDER BY id) - 1 AS id, dense_rank() OVER (ORDER BY label) - 1 AS label FROM k")
+@query(f"WITH {PL}, k AS (SELECT id, label FROM plane QUALIFY count(*) OVER (PARTITION BY label) >= 50) SELECT id AS old_id, row_number() OVER (ORDER BY id) - 1 AS id, dense_rank() OVER (ORDER BY label) - 1 AS label FROM k")
 def cl05_filter(spark: SparkSession, d: str) -> DataFrame:
-    return CL.filter_clusters(M.plane_points(spark, d), 20)
+    return CL.filter_clusters(M.plane_points(spark, d), 50)
 
 
-@query("SELECT (SELECT count(*) FROM embeddings WHERE vec_id < 200) AS n, true AS large_enough")
+@query("SELECT (SELECT count(*) FROM embeddings) AS n, true AS large_enough")
 def cl06_assign_small(spark: SparkSession, d: str) -> DataFrame:
     p = M.plane_points(spark, d)
-    _, lab = CL.assign_small_clusters(p, p, 17)
+    _, lab = CL.assign_small_clusters(p, p, 49)
     s = lab.groupBy("label").agg(F.count("*").alias("n"))
-    return s.agg(F.sum("n").alias("n"), (F.min("n") > 17).alias("large_enough"))
+    return s.agg(F.sum("n").alias("n"), (F.min("n") > 49).alias("large_enough"))
 
 
-@query("SELECT 60::BIGINT AS n, true AS has_labels")
+@query("SELECT count(*) AS n, true AS has_labels FROM embeddings")
 def cl07_tree_segments(spark: SparkSession, d: str) -> DataFrame:
-    p, e = small_knn(spark, d)
+    p, e = plane_knn(spark, d)
     _, lab = CL.tree_segments(T.minimum_spanning_tree(e), p, 5)
     return lab.agg(F.count("*").alias("n"), (F.countDistinct("label") > 1).alias("has_labels"))
 
 
-@query("SELECT label, list_sort(list(vec_id)) AS ids FROM embeddings WHERE vec_id < 200 GROUP BY label")
+@query("SELECT label, list_sort(list(vec_id)) AS ids FROM embeddings GROUP BY label")
 def cl08_members(spark: SparkSession, d: str) -> DataFrame:
     return CL.members_of(M.plane_points(spark, d))
 
@@ -239,14 +239,14 @@ def cl09_label_distances(spark: SparkSession, d: str) -> DataFrame:
 # ---- 2.9 -----------------------------------------------------------------------------------------------------------------
 
 
-@query("WITH s AS (SELECT label, count(*) AS n FROM embeddings WHERE vec_id < 120 AND label < 4 GROUP BY label) SELECT label::BIGINT AS label, n - 1 AS n_edges FROM s")
+@query("WITH s AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT label::BIGINT AS label, n - 1 AS n_edges FROM s")
 def pa01_sub_trees(spark: SparkSession, d: str) -> DataFrame:
-    p = M.plane_points(spark, d, 120).where("label < 4")
+    p = M.plane_points(spark, d)
     return PA.sub_trees(p, p.select("id", F.col("label").cast("long").alias("label")), 12).groupBy("label").agg(F.count("*").alias("n_edges"))
 
 
 def forest(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = written(M.plane_points(spark, d, 120).where("label < 4"), "plane")
+    p = written(M.plane_points(spark, d), "plane")
     return p, written(PA.sub_trees(p, p.select("id", F.col("label").cast("long").alias("label")), 12).select("u", "v", "w"), "forest")
 
 
@@ -264,9 +264,9 @@ def pa03_patch_boundaries(spark: SparkSession, d: str) -> DataFrame:
     return f.join(g.select("u", "v"), ["u", "v"], "left_anti").agg((F.count("*") == 0).alias("holds_forest")).crossJoin(sides.agg((F.count("*") > 0).alias("has_sides")))
 
 
-@query("SELECT 59::BIGINT AS n_edges, 60::BIGINT AS n_nodes, 1::BIGINT AS n_components")
+@query(TREE25)
 def pa04_fixed_patching(spark: SparkSession, d: str) -> DataFrame:
-    _, e = small_knn(spark, d)
+    e = kept(spark, d)
     return shape(PA.patched_tree(e, T.minimum_spanning_tree(e).where("u < 5")))
 
 
@@ -292,10 +292,12 @@ def rw02_clusters(spark: SparkSession, d: str) -> DataFrame:
     return r6(PA.reweigh_clusters(knn_edges(spark, d), p, p), "w")
 
 
-@query("SELECT 60::BIGINT AS n, true AS grew")
+@query("SELECT count(*) AS n, true AS grew FROM embeddings")
 def rw03_endpoints(spark: SparkSession, d: str) -> DataFrame:
-    p, e = small_knn(spark, d)
-    _, w = PA.endpoint_loop(e, p, small_centers(spark), 1)
+    p, e = plane_knn(spark, d)
+    t = written(T.minimum_spanning_tree(e), "mst")
+    spine = spark.createDataFrame([(int(x),) for x in PA.backbone(t)[0]], "id long")
+    w = PA.endpoint_weights(t, p, p.select("id", F.lit(1.0).alias("w")), spine)
     return w.agg(F.count("*").alias("n"), (F.max("w") > 1).alias("grew"))
 
 
@@ -310,7 +312,7 @@ def bb01_backbone(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT true AS apart")
 def bb02_split(spark: SparkSession, d: str) -> DataFrame:
-    p, e = small_knn(spark, d)
+    p, e = plane_knn(spark, d)
     on, off = PA.split_backbone(T.minimum_spanning_tree(e), p, 1)
     return on.select("id").join(off.select("id"), "id").agg((F.count("*") == 0).alias("apart"))
 
@@ -455,7 +457,7 @@ def dy01_bounce(spark: SparkSession, d: str) -> DataFrame:
     return r6(load(spark, d, "events").select("event_id", FI.bounce(F.col("value"), F.lit(0.37), F.col("event_id"), 4.0).alias("x")), "x")
 
 
-@query("SELECT (SELECT count(*) FROM embeddings WHERE vec_id < 200) AS n, true AS moved")
+@query("SELECT (SELECT count(*) FROM embeddings) AS n, true AS moved")
 def dy02_langevin(spark: SparkSession, d: str) -> DataFrame:
     p = M.plane_points(spark, d)
     j = FI.langevin(p).select("id", F.col("pos").alias("q")).join(p, "id")
@@ -516,7 +518,6 @@ def st02_measure_after_events(spark: SparkSession, d: str) -> DataFrame:
     """A measure kept up to date: replay and recompute agree."""
     s = ST.GraphState(spark, measure=GR.degrees)
     e = written(_events(spark, d), "events")
-    s.update(e.where("seq % 2 = 0 and seq < 0"))
     s.update(e)
     return s.scores
 

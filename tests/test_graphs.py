@@ -127,3 +127,30 @@ def test_registry_and_modes(spark):
         assert create_graph(p, mode, k=4).count() > 0
     with pytest.raises(ValueError):
         create_graph(p, "none")
+
+
+def test_delaunay(spark):
+    """Edges of the triangles whose circle holds no other point."""
+    from graftwork.operators.construct import delaunay
+
+    rng = np.random.default_rng(8)
+    p = rng.random((25, 2))
+    want = set()
+    for a, b, c in itertools.combinations(range(25), 3):
+        m = 2 * np.array([p[b] - p[a], p[c] - p[a]])
+        o = np.linalg.solve(m, [(p[b] ** 2 - p[a] ** 2).sum(), (p[c] ** 2 - p[a] ** 2).sum()])
+        r = ((p[a] - o) ** 2).sum()
+        if all(((p[i] - o) ** 2).sum() > r for i in range(25) if i not in (a, b, c)):
+            want |= {(a, b), (a, c), (b, c)}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(p)], "id long, pos array<double>")
+    assert {(r.u, r.v) for r in delaunay(df).collect()} == want
+    with pytest.raises(RuntimeError):
+        delaunay(spark.createDataFrame([(0, [1.0])], "id long, pos array<double>"))
+
+
+def test_tree_sides_both_ways(spark, monkeypatch):
+    t = frame(spark, [(0, 1, 1), (1, 2, 1), (1, 3, 1), (3, 4, 1), (4, 5, 1)])
+    a = {(r.u, r.v): min(r.below, r.n - r.below) for r in C.tree_sides(t).collect()}
+    monkeypatch.setattr(C, "KERNEL_EDGES", 0)
+    b = {(r.u, r.v): min(r.below, r.n - r.below) for r in C.tree_sides(t).collect()}
+    assert a == b == {(0, 1): 1, (1, 2): 1, (1, 3): 3, (3, 4): 2, (4, 5): 1}
