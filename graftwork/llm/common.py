@@ -23,12 +23,26 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
+def release() -> None:
+    """Gives memory that a task no longer needs back to the system; workers live on and would keep it."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of few bytes, so that long texts don't meet in memory."""
     for b in batches:
         n = max(1, min(b.num_rows, int(b.num_rows * most_bytes / max(1, b.nbytes))))
         for at in range(0, b.num_rows, n):
             yield b.slice(at, n)
+    release()
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int = FIT_ROWS) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graftwork.llm.common import bloom_has, bounded_bloom, pieces
+from graftwork.llm.common import bloom_has, bounded_bloom, pieces, release
 from graftwork.operators.components import connected_components
 from graftwork.session import written
 
@@ -203,7 +203,10 @@ def _grouped(fn, schema: pa.Schema):
     """The generator of batches as a function of one group's table."""
 
     def run(key, table):
-        return pa.Table.from_batches(list(fn(key, table.to_batches())), schema)
+        out = pa.Table.from_batches(list(fn(key, table.to_batches())), schema)
+        if table.nbytes > 1 << 20:
+            release()
+        return out
 
     return run
 

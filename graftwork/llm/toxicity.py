@@ -41,17 +41,23 @@ DEFAULT_LEXICON = {" idiot ": 3.0, " moron ": 3.0, " scum ": 3.0, " stupid ": 2.
 
 _LOOK = str.maketrans(LOOKALIKES)
 _SUB = str.maketrans(SUBSTITUTES)
-_INSIDE = re.compile(r"(?<=[^\W\d_])[0-9@$]+(?=[^\W\d_])|(?<![\w@$])[0134578@$]{1,3}(?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[0134578@$]{1,2}(?![\w@$])")
+_MIXED = re.compile(r"[\w$][\w@$]*[0-9@$][\w@$]*|[0-9$][\w@$]+")
 _OTHER = re.compile(r"[\W_]+")
 _MARKS = re.compile("[̀-ͯ­​-‏⁠﻿]")
 
 
+def _letters(m: re.Match) -> str:
+    """A word with at least two letters has its digits and signs read as letters; signs at its end stay signs."""
+    core = m[0].rstrip("@$")
+    return core.translate(_SUB) + " " if sum(map(str.isalpha, core)) >= 2 else m[0]
+
+
 def fold(text: str) -> str:
     """The folded text, between single spaces."""
     t = text.lower()
     if not t.isascii():
         t = _MARKS.sub("", unicodedata.normalize("NFKD", t)).translate(_LOOK)
-    t = _INSIDE.sub(lambda m: m[0].translate(_SUB), t)
+    t = _MIXED.sub(_letters, t)
     return f" {_OTHER.sub(' ', t).strip()} "
 
 
@@ -117,12 +123,12 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out():
         keys = list(bad.keys() | good.keys())
-        return pa.RecordBatch.from_pydict({"term": keys, "bad": pa.array([bad[k] for k in keys], pa.int64()), "good": pa.array([good[k] for k in keys], pa.int64())})
+        return pa.RecordBatch.from_pydict({"term": pa.array(keys, pa.string()), "bad": pa.array([bad[k] for k in keys], pa.int64()), "good": pa.array([good[k] for k in keys], pa.int64())})
 
     for b in pieces(batches):
         for t, y in zip(texts(b), b.column("y").to_pylist(), strict=True):
             (bad if y else good).update(_terms(t))
-        if len(bad) + len(good) > 500_000:
+        if len(bad) + len(good) > 150_000:
             yield out()
             bad.clear()
             good.clear()
