@@ -37,7 +37,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^ \t-\r{LATIN}0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
 #: Pieces that one process remembers; beyond that the later ones go.
-MEMO = 200_000
+MEMO = 350_000
 LEAST, MOST, MEAN_BITS = 256, 8192, 10
 
 
@@ -121,7 +121,7 @@ class Encoder:
             else:
                 split.append(self._split(t))
         if len(self.memo) > MEMO:  # what came early is common
-            for p in list(itertools.islice(self.memo, MEMO // 3, None)):
+            for p in list(itertools.islice(self.memo, MEMO // 2, None)):
                 del self.memo[p]
         get = self.memo.__getitem__
         return [np.frombuffer(b"".join(map(get, s)), np.uint32) for s in split]
