@@ -7,11 +7,13 @@ exception phrases. A hit inside an exception phrase doesn't count. Of nested hit
 
 The lexicon is learned from a bounded labelled sample (`common.FIT_ROWS`): documents of either label that hold a word or
 stem are counted in a distributed aggregate, and entries with strong log odds are kept, `MOST_ENTRIES` at most (a bound of
-the model, not of the texts scored). Two-word phrases that hold an entry and stand mostly in clean documents
+the model, not of the texts scored). How much surprise an entry needs grows with the number of terms it was picked from
+(`level`), so that few labels teach a short lexicon rather than none. The default lexicon fills in the words that the labels
+say nothing about. Two-word phrases that hold an entry and stand mostly in clean documents
 become exceptions. A logistic curve over the total weight and the weight by length gives the score.
 
-Null and empty texts have no hits and the score of none. Without usable labels a short default lexicon with fixed weights
-serves. Tied or repeated rows are scored alike; other columns play no part.
+Null and empty texts have no hits and the score of none. Without usable labels, or where they teach no entry, the default
+lexicon serves with a fixed curve. Tied or repeated rows are scored alike; other columns play no part.
 """
 
 from __future__ import annotations
@@ -32,12 +34,15 @@ from graftwork.session import written
 
 MOST_ENTRIES = 4096
 STEMS = range(3, 9)
-#: Log likelihood ratio from which a term counts as more than chance among hundreds of thousands.
+#: Log likelihood ratio from which a term counts as more than chance, whatever the number of terms.
 SURPRISE = 14
+#: Terms of the labelled sample that stand in as many documents are candidates; so many of them may pass by chance.
+LEAST_DOCS, BY_CHANCE = 3, 4
 #: Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 LOOKALIKES = {"а": "a", "в": "b", "с": "c", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ø": "o", "ł": "l", "đ": "d"}
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 DEFAULT_LEXICON = {" idiot ": 3.0, " moron ": 3.0, " scum ": 3.0, " stupid ": 2.0, " worthless ": 2.0, " pathetic ": 2.0, " disgusting ": 2.0}
+DEFAULT_CURVE = (1.0, 1.0, -2.0)
 
 _LOOK = str.maketrans(LOOKALIKES)
 _SUB = str.maketrans(SUBSTITUTES)
@@ -189,17 +194,33 @@ def choose(counts: Iterable[tuple[str, int, int]], n_bad: int, n_good: int, odds
     return dict(sorted(kept.items(), key=lambda kv: (-kv[1] * np.sqrt(scored[kv[0]][1]), kv[0]))[:MOST_ENTRIES])
 
 
+def level(candidates: int) -> float:
+    """The log likelihood ratio x that `BY_CHANCE` of the candidates reach by chance (each with odds exp(-x)), `SURPRISE` at most."""
+    return float(min(SURPRISE, np.log(max(1.0, candidates / BY_CHANCE))))
+
+
+def filled(learned: dict[str, float], seen: Iterable[tuple[str, int, int]], base: float) -> dict[str, float]:
+    """The learned entries and those of the default lexicon that they don't cover; not those that stand mostly in clean documents."""
+    clean = {term for term, bad, good in seen if bad <= base * (bad + good)}
+    return learned | {e: w for e, w in DEFAULT_LEXICON.items() if e not in clean and not any(e.startswith(k) for k in learned)}
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, rows: int = FIT_ROWS) -> Model:
     sample = written(labelled_sample(docs, labels, "toxic", folds, held_out, rows), "toxic-sample")
     n = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
-        return Model(dict(DEFAULT_LEXICON), [], (1.0, 1.0, -2.0))
+        return Model(dict(DEFAULT_LEXICON), [], DEFAULT_CURVE)
     counts = sample.select("text", "y").mapInArrow(_count_terms, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = written(counts.where(f"bad + good >= {LEAST_DOCS}"), "toxic-terms")
+    least = level(counts.count())
     base = n[1] / (n[1] + n[0])
     surprise = F.expr(f"bad * ln(bad / ((bad + good) * {base}D)) + if(good = 0, 0D, good * ln(good / ((bad + good) * {1 - base}D)))")
-    strong = counts.where(f"bad >= 3 and bad > {2 * base}D * (bad + good)").withColumn("w", surprise).where(f"w >= {SURPRISE}")
+    strong = counts.where(f"bad >= {LEAST_DOCS} and bad > {2 * base}D * (bad + good)").withColumn("w", surprise).where(f"w >= {least}D")
     top = strong.orderBy(F.desc("w"), F.desc("bad"), "term").limit(16 * MOST_ENTRIES).collect()
-    model = Model(choose(((r.term, r.bad, r.good) for r in top), n[1], n[0]), [])
+    learned = choose(((r.term, r.bad, r.good) for r in top), n[1], n[0])
+    if not learned:
+        return Model(dict(DEFAULT_LEXICON), [], DEFAULT_CURVE)
+    model = Model(filled(learned, counts.where(F.col("term").isin(*DEFAULT_LEXICON)).collect(), base), [])
     phrases = sample.select("text", "y").mapInArrow(_phrases(model), "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     model.exceptions = [r.term for r in phrases.where("good >= 5 and good > 9 * bad").orderBy(F.desc("good"), "term").limit(MOST_ENTRIES).collect()]
     x = sample.select("text", "y").mapInArrow(_features(model, ("y",)), "y int, total double, by_length double, hits int, score double").select("y", "total", "by_length").toPandas()

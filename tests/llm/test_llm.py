@@ -238,6 +238,22 @@ def test_held_out(spark):
     assert clean <= 0.05 and toxic >= 0.6
 
 
+def test_toxicity_of_few_labels(spark):
+    """Nine toxic labels teach a lexicon; where labels teach none, the default one serves."""
+    from graftwork.session import load
+
+    small = "/root/testdata/sf0.001"
+    m = toxicity.fit(load(spark, small, "documents"), load(spark, small, "labels"))
+    assert {" trash ", " loser ", " scum ", " idiot "} <= set(m.entries)
+    rows = queries.QUERIES["op9_toxicity"](spark, small).join(load(spark, small, "labels"), "doc_id").collect()
+    clean, toxic = (np.mean([r.predicted for r in rows if r.toxic == y]) for y in (0, 1))
+    assert clean <= 0.02 and toxic >= 0.6
+    docs = spark.createDataFrame([(i, f"some text {i} {'you moron, moron' * (i == 9)}") for i in range(10)], "doc_id long, text string")
+    none = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, toxic int"))
+    assert none.entries == toxicity.DEFAULT_LEXICON
+    assert {r.doc_id for r in toxicity.keep_clean(docs, none).collect()} == set(range(9))
+
+
 def test_fold_and_exceptions():
     assert toxicity.fold("Ａ İdIoT! м0rоn st@pid 12") == " " + toxicity.fold("Ａ İdIoT! м0rоn st@pid 12").strip() + " "
     assert "moron" in toxicity.fold("you m0rоn") and "idiot" in toxicity.fold("1D10T")
