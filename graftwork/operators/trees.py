@@ -333,27 +333,26 @@ def _below(g: K.Csr, tree: list[int], root: int) -> list[tuple[int, int, int]]:
     return [(e, size[x], len(order)) for x, (_, e) in up.items()]
 
 
-def local_search(g: K.Csr, tree: list[int], cost: Callable, rounds: int = 10) -> list[int]:
-    """TR-24: swap a dear tree edge for a cheap one across the cut while the cost falls."""
-    best, value = list(tree), cost(g, tree)
-    for _ in range(rounds):
+def local_search(g: K.Csr, tree: list[int], cost: Callable, rounds: int | None = None) -> list[int]:
+    """TR-24: passes over all tree edges, dear ones first; each goes for the first edge across its cut, cheap ones first, by
+    which the cost falls. Ends with the pass that swaps nothing (then no single swap helps), or after `rounds` passes."""
+    best, value, swapped = list(tree), cost(g, tree), True
+    while swapped and rounds != 0:
+        rounds, swapped = None if rounds is None else rounds - 1, False
         for out in sorted(best, key=lambda e: -float(g.w[e])):
             uf = K.UnionFind()
             for e in best:
                 if e != out:
                     uf.join(int(g.a[e]), int(g.b[e]))
-            over = [e for e in range(g.m) if e != out and uf.find(int(g.a[e])) != uf.find(int(g.b[e]))]
-            found = False
-            for e in sorted(over, key=lambda e: float(g.w[e]))[:8]:
+            side = [uf.find(x) for x in range(g.n)]
+            cut = {side[g.a[out]], side[g.b[out]]}
+            over = [e for e in range(g.m) if e != out and {side[g.a[e]], side[g.b[e]]} == cut]
+            for e in sorted(over, key=lambda e: float(g.w[e])):
                 new = [x for x in best if x != out] + [e]
                 c = cost(g, new)
                 if c < value - 1e-12:
-                    best, value, found = new, c, True
+                    best, value, swapped = new, c, True
                     break
-            if found:
-                break
-        else:
-            return best
     return best
 
 

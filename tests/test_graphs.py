@@ -154,3 +154,17 @@ def test_tree_sides_both_ways(spark, monkeypatch):
     monkeypatch.setattr(C, "KERNEL_EDGES", 0)
     b = {(r.u, r.v): min(r.below, r.n - r.below) for r in C.tree_sides(t).collect()}
     assert a == b == {(0, 1): 1, (1, 2): 1, (1, 3): 3, (3, 4): 2, (4, 5): 1}
+
+
+@pytest.mark.parametrize("cost", [T.gilbert_steiner(0, 0.9), T.centrality_cost(0.9)])
+@pytest.mark.parametrize("seed", range(3))
+def test_local_search_ends_where_no_swap_helps(seed, cost):
+    """Wide cuts and many edges to improve, against all single swaps."""
+    u, v, w = map(np.array, zip(*random_graph(seed, 18, 0.9), strict=True))
+    g = K.Csr(u, v, w)
+    tree = T.local_search(g, T.grow(g, np.ones(g.m), [0], np.random.default_rng(seed)), cost)
+    value = cost(g, tree)
+    for out, e in itertools.product(tree, set(range(g.m)) - set(tree)):
+        new = [x for x in tree if x != out] + [e]
+        if len(T._below(g, new, 0)) == g.n - 1:
+            assert cost(g, new) >= value - 1e-9
