@@ -51,6 +51,13 @@ def scale_or_reduce(points: DataFrame, dims: int, n: int = 100, most: int = 500)
     return pca(z, n) if dims > most else z
 
 
+def scaled_and_reduced(points: DataFrame, n: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The scaled points and their first n principal components (all, where there are fewer), both from whole vectors (GC-14 to GC-17)."""
+    z = written(standardize(points.select("id", "pos")), "scaled")
+    dims = z.agg(F.max(F.size("pos"))).first()[0]
+    return z, written(pca(z, min(n, dims)), "reduced")
+
+
 def mean_neighbour_distance(points: DataFrame) -> DataFrame:
     """FE-04: the mean over points of the least distance above 0."""
     return D.nearest(points, points, nonzero=True).agg(F.avg("w").alias("mean_nn"))

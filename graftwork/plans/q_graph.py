@@ -350,6 +350,33 @@ def gc17_pca_full(spark: SparkSession, d: str) -> DataFrame:
     return r6(C.pca_graph(M.points(spark, d), _first8(spark, d), "PCA", 6, 1.0), "w")
 
 
+def _scaled_pca(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    """Scaling, PCA of the whole vectors and the graph, as the survey chains them; SQL can't say it."""
+    from graftwork.functions import fields as FI
+
+    return r6(C.pca_graph(*FI.scaled_and_reduced(M.points(spark, d)), mode, 6, 1.0), "w")
+
+
+@query()
+def gc14_scaled_pca_knn_only(spark: SparkSession, d: str) -> DataFrame:
+    return _scaled_pca(spark, d, "PCA-k-nearest-only")
+
+
+@query()
+def gc15_scaled_pca_distance_only(spark: SparkSession, d: str) -> DataFrame:
+    return _scaled_pca(spark, d, "PCA-distance-only")
+
+
+@query()
+def gc16_scaled_pca_density_only(spark: SparkSession, d: str) -> DataFrame:
+    return _scaled_pca(spark, d, "PCA-density-only")
+
+
+@query()
+def gc17_scaled_pca_full(spark: SparkSession, d: str) -> DataFrame:
+    return _scaled_pca(spark, d, "PCA")
+
+
 @query(f"""WITH {PL}, pr AS (SELECT a.id AS u, b.id AS v, list_distance(a.pos, b.pos) AS w FROM plane a, plane b), m AS (SELECT 0.5 * avg(w) AS m FROM pr WHERE u < v),
 n AS (SELECT u AS id, pow(count(*), 2) AS s FROM pr, m WHERE w <= m GROUP BY u), x AS (SELECT pr.u, pr.v, w / (a.s * b.s) AS w FROM pr JOIN n a ON a.id = pr.u JOIN n b ON b.id = pr.v WHERE pr.u <> pr.v),
 k AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY u ORDER BY w, v) <= 5) SELECT least(u, v) AS u, greatest(u, v) AS v, round(min(w), 9) AS w FROM k GROUP BY 1, 2""")

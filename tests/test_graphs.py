@@ -168,3 +168,40 @@ def test_local_search_ends_where_no_swap_helps(seed, cost):
         new = [x for x in tree if x != out] + [e]
         if len(T._below(g, new, 0)) == g.n - 1:
             assert cost(g, new) >= value - 1e-9
+
+
+def brute_pca_graph(x, n, mode, k, beta, delta=0.5):
+    """{(u, v): w} by numpy: scaling, principal components, k nearest, neighbours in common."""
+    z = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
+    y = z @ np.linalg.svd(z, full_matrices=False)[2][:n].T
+    dist = lambda p: np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
+    full, red = dist(z), dist(y)
+    near, base = {"PCA-k-nearest-only": (red, full), "PCA-distance-only": (full, red)}.get(mode, (red, red))
+    order = np.argsort(near + np.diag(np.full(len(x), np.inf)), axis=1, kind="stable")[:, :k]
+    edges = sorted({(min(i, j), max(i, j)) for i in range(len(x)) for j in order[i]})
+    close = base <= beta * np.mean([base[e] for e in edges])
+    both = {(u, v): (close[u] & close[v]).sum() for u, v in edges}
+    return {(u, v): base[u, v] * ((close[u].sum() - c + 1) * (close[v].sum() - c + 1) / (c + 1) ** 2) ** delta for (u, v), c in both.items()}
+
+
+def test_pca_graph_of_whole_vectors(spark):
+    """Scaling, PCA and the graph against brute force, with a real reduction and as the query runs them."""
+    from graftwork import model as M
+    from graftwork.functions import fields as FI
+    from graftwork.operators import construct
+    from graftwork.plans import catalog
+
+    def check(df, want):
+        got = {(r.u, r.v): r.w for r in df.collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[e] - want[e]) < 1e-5 for e in want)
+
+    sf = "/root/testdata/sf0.001"
+    x = np.array([r.pos for r in M.points(spark, sf).orderBy("id").collect()])
+    ids = [r.id for r in M.points(spark, sf).orderBy("id").collect()]
+    named = lambda g: {(ids[u], ids[v]): w for (u, v), w in g.items()}
+    few = spark.createDataFrame([(i, [float(c) * (1 + k) for k, c in enumerate(p)]) for i, p in zip(ids[:90], x[:90], strict=True)], "id long, pos array<double>")
+    z, y = FI.scaled_and_reduced(few, 5)
+    for mode in ("PCA-k-nearest-only", "PCA-distance-only", "PCA-density-only", "PCA"):
+        check(construct.pca_graph(z, y, mode, 6, 1.0), named(brute_pca_graph(x[:90] * np.arange(1, 65), 5, mode, 6, 1.0)))
+    check(catalog.QUERIES["gc17_scaled_pca_full"](spark, sf), named(brute_pca_graph(x, 100, "PCA", 6, 1.0)))
