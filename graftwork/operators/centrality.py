@@ -69,7 +69,7 @@ def relative_rank_errors(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "id").select("id", ((F.col("place") + 1) / (F.col("other") + 1)).alias("error"))
 
 
-# ---- path-based edge scores (EC-01 to EC-10) ---------------------------------------------------------------------------
+# ---- path-based edge scores (EC-01 to EC-08; EC-09 and the delta of EC-10 aren't built) ------------------------------
 
 _PART = "kind int, u long, v long, score double"
 
@@ -378,7 +378,7 @@ def sampled_spanning_edge(edges: DataFrame, trees: int = 500, seed: int = 42) ->
     return edges.select("u", "v").join(got, ["u", "v"], "left").fillna(0.0, ["score"])
 
 
-# ---- closeness (CN-13 to CN-19) ---------------------------------------------------------------------------------------------
+# ---- closeness (CN-13 to CN-18) ---------------------------------------------------------------------------------------------
 
 
 def closeness(edges: DataFrame, variant: str = "standard", normalized: bool = True, unweighted: bool = False, sources: DataFrame | None = None) -> DataFrame:
