@@ -145,6 +145,25 @@ def sample_size(n_or_diameter: int, eps: float, delta: float, c: float = 1.0) ->
     return math.ceil(c / eps**2 * (math.floor(math.log2(max(2, n_or_diameter - 1))) + 1 - math.log(delta)))
 
 
+def share_samples(shares: float, eps: float, delta: float) -> int:
+    """How many draws give so many shares errors within eps, all at once, with probability 1 - delta (Hoeffding); shares as a logarithm."""
+    return math.ceil((shares + math.log(2 / delta)) / (2 * eps**2))
+
+
+def vertex_diameter(edges: DataFrame, unweighted: bool = False) -> int:
+    """EC-07: a bound of the nodes on any shortest path: twice a component's reach over the least weight, or all its nodes."""
+    g = Csr(*bounded_graph(edges))
+    least = 1 if unweighted else g.w.min()
+    seen, most = np.zeros(g.n, bool), 1
+    for s in range(g.n):
+        if not seen[s]:
+            d = np.asarray(g.dijkstra(s, unweighted=unweighted))
+            near = np.isfinite(d)
+            seen |= near
+            most = max(most, min(int(near.sum()), int(2 * d[near].max() / least) + 1 if least > 0 else g.n))
+    return most
+
+
 def sampled_edge_betweenness(edges: DataFrame, eps: float = 0.1, delta: float = 0.1, c: float = 1.0, seed: int = 42, replace: bool = True, samples: int | None = None) -> DataFrame:
     """EC-06 to EC-08: shares of drawn shortest paths that run over each edge. Pairs come from hashes of the sample's number."""
     from graftwork.operators.paths import random_paths
@@ -347,9 +366,12 @@ def electrical_closeness(edges: DataFrame) -> DataFrame:
     return _frame(edges, {"id": g.ids, "diagonal": d, "score": (g.n - 1) / (g.n * d + d.sum())}, "id long, diagonal double, score double")
 
 
-def sampled_spanning_edge(edges: DataFrame, trees: int = 500, seed: int = 42) -> DataFrame:
-    """CN-37: shares of random spanning trees (loop-erased walks, a task's trees by their numbers) that hold each edge."""
-    arrays = edges.sparkSession.sparkContext.broadcast(bounded_graph(edges))
+def sampled_spanning_edge(edges: DataFrame, eps: float = 0.1, delta: float = 0.1, seed: int = 42, trees: int | None = None) -> DataFrame:
+    """CN-37: shares of random spanning trees (loop-erased walks, a task's trees by their numbers) that hold each edge; as many
+    trees as keep all edges within eps with probability 1 - delta."""
+    graph = bounded_graph(edges)
+    trees = trees or share_samples(math.log(max(1, len(graph[0]))), eps, delta)
+    arrays = edges.sparkSession.sparkContext.broadcast(graph)
 
     def run(batches):
         g = None
@@ -611,13 +633,15 @@ def group_closeness_score(edges: DataFrame, group: list[int], unweighted: bool =
     return (nodes_of(edges).count() - len(group)) / far if far else 0.0
 
 
-def group_betweenness(edges: DataFrame, k: int, samples: int = 500, seed: int = 42) -> list[int]:
-    """CN-23: drawn shortest paths, covered in turn by the node inside most that aren't yet."""
+def group_betweenness(edges: DataFrame, k: int, eps: float = 0.05, delta: float = 0.1, seed: int = 42, samples: int | None = None) -> list[int]:
+    """CN-23: drawn shortest paths, covered in turn by the node inside most that aren't yet; as many paths as keep what any k nodes
+    cover within eps with probability 1 - delta."""
     from graftwork.operators.paths import random_paths
     from graftwork.sources.generators import uniform
 
     ids = written(nodes_of(edges).withColumn("k", (F.row_number().over(W.orderBy("id")) - 1).cast("long")), "ids")
     n = ids.count()
+    samples = samples or share_samples(k * math.log(max(1, n)), eps, delta)
     draw = edges.sparkSession.range(samples).select(F.col("id").alias("sample"), F.floor(uniform(F.col("id"), seed, 1) * n).alias("i"), F.floor(uniform(F.col("id"), seed, 2) * n).alias("j"))
     named = draw.join(ids.select(F.col("k").alias("i"), F.col("id").alias("source")), "i").join(ids.select(F.col("k").alias("j"), F.col("id").alias("target")), "j")
     inner = written(random_paths(edges, named, seed).select("sample", F.explode(F.array("u", "v")).alias("id"), "source", "target").where("id <> source and id <> target").select("sample", "id").distinct(), "inner")

@@ -158,10 +158,14 @@ def merge_tree(edges: DataFrame) -> DataFrame:
     return _one_task(edges, build)
 
 
-def approx_tree(edges: DataFrame, samples: int = 300, seed: int = 42, per_round: int = 1, exact_below: int = 150, new_weight: float | None = None) -> DataFrame:
-    """TR-12: drawn paths instead of all; up to `exact_below` nodes the exact tree."""
-    if nodes_of(edges).count() <= exact_below:
+def approx_tree(edges: DataFrame, eps: float = 0.1, delta: float = 0.1, seed: int = 42, per_round: int = 1, exact_below: int = 150, new_weight: float | None = None, samples: int | None = None) -> DataFrame:
+    """TR-12: drawn paths instead of all, as many in each round as (eps, delta) and the nodes ask for; up to `exact_below` nodes the exact tree."""
+    from graftwork.operators.centrality import sample_size
+
+    n = nodes_of(edges).count()
+    if n <= exact_below:
         return exact_tree(edges, per_round)
+    samples = samples or sample_size(n, eps, delta)
     return _one_task(edges, lambda u, v, w: [(a, b, float(w[(u == a) & (v == b)][0])) for a, b, _ in K.iterate_tree(u, v, w, None, "RK", False, new_weight, None, None, per_round, seed, samples)])
 
 

@@ -116,7 +116,7 @@ def tr10_merge_tree(spark: SparkSession, d: str) -> DataFrame:
 
 @query(TREE25)
 def tr12_approx_tree(spark: SparkSession, d: str) -> DataFrame:
-    return shape(T.approx_tree(kept(spark, d), samples=100, exact_below=10))
+    return shape(T.approx_tree(kept(spark, d), exact_below=10))
 
 
 @query(TREE25)

@@ -205,3 +205,35 @@ def test_pca_graph_of_whole_vectors(spark):
     for mode in ("PCA-k-nearest-only", "PCA-distance-only", "PCA-density-only", "PCA"):
         check(construct.pca_graph(z, y, mode, 6, 1.0), named(brute_pca_graph(x[:90] * np.arange(1, 65), 5, mode, 6, 1.0)))
     check(catalog.QUERIES["gc17_scaled_pca_full"](spark, sf), named(brute_pca_graph(x, 100, "PCA", 6, 1.0)))
+
+
+def covered(g, group):
+    """The share of ordered pairs' shortest paths that have a node of the group inside."""
+    total = 0.0
+    for s in range(g.n):
+        d = np.asarray(g.dijkstra(s))
+        every, free = np.zeros(g.n), np.zeros(g.n)
+        every[s] = free[s] = 1
+        for x in np.argsort(d, kind="stable")[1:]:
+            for y, _, w in g.adj[x]:
+                if d[y] + w == d[x]:
+                    every[x] += every[y]
+                    free[x] += free[y] if y == s or y not in group else 0
+            total += 1 - free[x] / every[x]
+    return total / g.n**2
+
+
+def test_samples_follow_eps(spark):
+    """Counts grow as eps falls and with the graph; drawn scores and groups against exact ones."""
+    assert C.share_samples(0, 0.05, 0.1) > 3 * C.share_samples(0, 0.1, 0.1) and C.share_samples(9, 0.1, 0.1) > C.share_samples(1, 0.1, 0.1)
+    rows = random_graph(3, 12, 0.4)
+    e, g = frame(spark, rows), K.Csr(*map(np.array, zip(*rows, strict=True)))
+    chain = frame(spark, [(i, i + 1, 1) for i in range(9)])
+    assert C.vertex_diameter(chain) == 10 and 2 < C.vertex_diameter(e) <= 12
+    assert C.vertex_diameter(frame(spark, [(0, i, 1) for i in range(1, 9)])) in range(3, 6)
+    exact, drawn = table(C.spanning_edge(e)), table(C.sampled_spanning_edge(e, 0.05))
+    assert exact.keys() == drawn.keys() and max(abs(exact[x] - drawn[x]) for x in exact) <= 0.05
+    group = C.group_betweenness(e, 2, 0.05)
+    best = max(covered(g, {a, b}) for a, b in itertools.combinations(range(g.n), 2))
+    assert covered(g, set(group)) >= (1 - 1 / np.e) * best - 2 * 0.05
+    assert T.is_tree(T.approx_tree(e, 0.2, exact_below=5))
