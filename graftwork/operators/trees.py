@@ -395,7 +395,7 @@ def _search(edges: DataFrame, cost: Callable, next_p: Callable, population: int,
     return spark.createDataFrame([(int(g.ids[g.a[e]]), int(g.ids[g.b[e]]), float(g.w[e])) for e in tree], _TREE)
 
 
-def ant_colony(edges: DataFrame, cost: Callable, ants: int = 40, rounds: int = 10, patience: int = 10, a: float = 1.0, b: float = -2.0, rho: float = 0.1, q: float = 2.0, p_best: float = 0.5, local: int = 4, seed: int = 42) -> DataFrame:
+def ant_colony(edges: DataFrame, cost: Callable, ants: int = 200, rounds: int = 200, patience: int = 10, a: float = 1.0, b: float = -2.0, rho: float = 0.1, q: float = 2.0, p_best: float = 0.5, local: int = 4, seed: int = 42) -> DataFrame:
     """TR-22: trails evaporate by rho and grow where the round's best tree went, within bounds from the best cost so far."""
 
     def next_p(g, state, got):
@@ -412,7 +412,7 @@ def ant_colony(edges: DataFrame, cost: Callable, ants: int = 40, rounds: int = 1
     return _search(edges, cost, next_p, ants, rounds, patience, seed, local)
 
 
-def genetic_search(edges: DataFrame, cost: Callable, population: int = 20, decodings: int = 3, rounds: int = 8, patience: int = 10, keep: float = 0.8, tournaments: int = 10, seed: int = 42) -> DataFrame:
+def genetic_search(edges: DataFrame, cost: Callable, population: int = 50, decodings: int = 10, rounds: int = 200, patience: int = 10, keep: float = 0.8, tournaments: int = 20, seed: int = 42) -> DataFrame:
     """TR-23: chromosomes are edge probabilities, judged by the best of a few trees grown from them; tournaments, crossing, mutation."""
 
     def next_p(g, state, got):

@@ -169,12 +169,12 @@ def tr21_contraction_tree(spark: SparkSession, d: str) -> DataFrame:
 
 @query(TREE25)
 def tr22_ant_colony(spark: SparkSession, d: str) -> DataFrame:
-    return shape(T.ant_colony(kept(spark, d), T.gilbert_steiner(0, 0.5), ants=16, rounds=3))
+    return shape(T.ant_colony(kept(spark, d), T.gilbert_steiner(0, 0.5)))
 
 
 @query(TREE25)
 def tr23_genetic(spark: SparkSession, d: str) -> DataFrame:
-    return shape(T.genetic_search(kept(spark, d), T.centrality_cost(0.5), population=8, decodings=2, rounds=3, tournaments=4))
+    return shape(T.genetic_search(kept(spark, d), T.centrality_cost(0.5)))
 
 
 # ---- 2.8 -----------------------------------------------------------------------------------------------------------------

@@ -237,3 +237,18 @@ def test_samples_follow_eps(spark):
     best = max(covered(g, {a, b}) for a, b in itertools.combinations(range(g.n), 2))
     assert covered(g, set(group)) >= (1 - 1 / np.e) * best - 2 * 0.05
     assert T.is_tree(T.approx_tree(e, 0.2, exact_below=5))
+
+
+def test_searches_find_the_optimum(spark):
+    """The defaults are the reference's, and the cost is the least of all spanning trees' of a small graph."""
+    import inspect
+
+    defaults = [{k: p.default for k, p in inspect.signature(f).parameters.items()} for f in (T.ant_colony, T.genetic_search)]
+    assert [defaults[0][k] for k in ("ants", "rounds", "patience", "local")] == [200, 200, 10, 4]
+    assert [defaults[1][k] for k in ("population", "decodings", "rounds", "patience", "tournaments")] == [50, 10, 200, 10, 20]
+    rows = random_graph(5, 7, 0.6)
+    g = K.Csr(*map(np.array, zip(*rows, strict=True)))
+    for search, cost in ((T.ant_colony, T.gilbert_steiner(0, 0.5)), (T.genetic_search, T.centrality_cost(0.5))):
+        best = min(cost(g, list(t)) for t in itertools.combinations(range(g.m), g.n - 1) if len(T._below(g, list(t), 0)) == g.n - 1)
+        got = {(r.u, r.v) for r in search(frame(spark, rows), cost).collect()}
+        assert abs(cost(g, [i for i, (u, v, _) in enumerate(rows) if (u, v) in got]) - best) < 1e-9
