@@ -37,15 +37,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    docs = docs.select(*COLUMNS)
-    copies = mixing.mix(docs.select("doc_id", "text", "source"))
-    keys = ["doc_id", "no_source", "src", "size"]
-    copies = copies.groupBy(*keys).agg(F.round(F.avg("copies")).cast("int").alias("copies")).where("copies > 0")
-    copies = written(copies.select(*[F.col(k).alias(f"c_{k}") for k in keys], "copies"), "mix")
-    sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long"))
-    same = sized["doc_id"].eqNullSafe(copies["c_doc_id"]) & (sized["source"].isNull() == copies["c_no_source"]) & (F.coalesce(sized["source"], F.lit("")) == copies["c_src"]) & (sized["size"] == copies["c_size"])
-    return sized.join(copies, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    """Each document as often as the mix takes it. Rows are told apart by id and text, and repeats by a number, so that null ids don't meet."""
+    docs = docs.select(*COLUMNS).withColumn("h", F.xxhash64("text"))
+    again = F.row_number().over(W.partitionBy("doc_id", "h").orderBy("source", "lang", "n_chars"))
+    docs = docs.withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("h"), again))
+    copies = mixing.mix(docs.select(F.col("key").alias("doc_id"), "text", "source")).where("copies > 0")
+    copies = written(copies.select(F.col("doc_id").alias("key"), "copies"), "mix")
+    return docs.join(copies, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

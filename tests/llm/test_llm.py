@@ -238,6 +238,15 @@ def test_held_out(spark):
     assert clean <= 0.05 and toxic >= 0.6
 
 
+def test_mixing_tells_null_ids_apart(spark):
+    """Thirty texts of equal size without ids: one and a half copies of each on average, not two of all."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(None, f"a b c {i}", "en", "s", 7) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r.text for r in corpus_pipeline.mix_sources(spark, docs, SF).collect()]
+    assert len(got) == 45 and {got.count(t) for t in got} <= {1, 2}
+
+
 def test_toxicity_of_few_labels(spark):
     """Nine toxic labels teach a lexicon; where labels teach none, the default one serves."""
     from graftwork.session import load
