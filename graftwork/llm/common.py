@@ -75,6 +75,33 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return w
 
 
+#: Keys that are split off a join as hot at most; each stands for at least this share's inverse of the rows that meet.
+HOT_KEYS = 10_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], rows: str, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """The inner join of `left` with `right`, whose keys are unique and whose column `rows` counts the rows of `left` that have them.
+
+    Keys of more than 1 / hot_keys of all rows that meet number fewer than `hot_keys`, however much data there is: these go
+    by broadcast and their rows stay where they are. The others' rows are shuffled, no key having more than that share.
+    `right` should be a written table, as it is read twice.
+    """
+    total = right.agg(F.sum(rows).alias("n")).first().n or 0
+    hot = right.where(F.col(rows) * hot_keys > F.lit(total)).drop(rows)
+    cold = right.where(F.col(rows) * hot_keys <= F.lit(total)).drop(rows)
+    if hot.isEmpty():
+        return left.join(cold, on)
+    return left.join(F.broadcast(hot), on).unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
+
+
+def file_count(df: DataFrame, most_bytes: int) -> int:
+    """Files that a written form of the rows is dealt out to: by Catalyst's estimate of their bytes, the shuffle's partitions at least."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-size // most_bytes)) if size < 1 << 60 else least  # beyond that nothing is known
+
+
 #: Bits of a broadcast membership sketch at most (16 MiB).
 BLOOM_BITS = 1 << 27
 _BLOCK = 1 << 12  # bytes

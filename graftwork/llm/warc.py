@@ -11,14 +11,19 @@ compressed. The directory keeps each block's first line only, `DIRECTORY` entrie
 it may be broadcast. A lookup finds the block in the directory by binary search, the lines in the block by binary search, and then
 reads just the record's bytes from the archive.
 
+Archives number as many as `FILE` bytes of estimated input ask for (`spark.sql.shuffle.partitions` at least), and are only ever
+read as streams of bounded slices or by ranges, so that no file has to fit in memory.
+
 Null html is an empty payload; null urls have an empty key. Page ids should be unique; of rows with equal ids and urls each
-keeps its own record, and a lookup gives all of them. Null page ids are kept as -1. Other columns play no part.
+keeps its own record, and a lookup gives all of them. Null page ids stay null; they are a response only where all equal payloads
+have null ids (each of these then is one). Other columns play no part.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import json
 import zlib
 from collections.abc import Iterator
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graftwork.llm.common import pieces
+from graftwork.llm.common import file_count, join_hot, pieces
 from graftwork.session import written
 
 LEAST_PAYLOAD = 100
@@ -35,6 +40,10 @@ BLOCK = 3000
 DIRECTORY = 1 << 16
 #: Bytes of neighbouring records that one read fetches at most.
 SPAN = 4 << 20
+#: Bytes of a slice that archives are scanned in, and of a member that is decompressed at a time.
+SLICE, STEP = 1 << 20, 1 << 12
+#: Bytes of input, as Catalyst estimates them, that one archive holds, about.
+FILE = 1 << 30
 
 
 def _gzip(raw: bytes, level: int = 6) -> bytes:
@@ -46,11 +55,25 @@ _EMPTY = _gzip(b"")
 SEPARATOR = _EMPTY.decode("latin-1")
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
+def _target(url: str | None) -> str:
+    """The url, or its JSON where a header line couldn't hold it or null couldn't be told from it."""
+    plain = url is not None and url != "null" and not url.startswith('"') and "\r" not in url and "\n" not in url
+    return url if plain else json.dumps(url)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
     """One WARC/1.1 record; a revisit (refers_to) holds headers alone."""
     kind = "response" if refers_to is None else "revisit"
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload if refers_to is None else b"")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {json.dumps(url) if url is None or url == "null" or url.startswith('"') or "\r" in url or "\n" in url else url}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}"]
+    head = [
+        "WARC/1.1",
+        f"WARC-Type: {kind}",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        "WARC-Date: 1970-01-01T00:00:00Z",
+        f"WARC-Target-URI: {_target(url)}",
+        f"WARC-Payload-Digest: sha256:{digest}",
+        f"X-Payload-Length: {size}",
+    ]
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
@@ -68,17 +91,28 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return h, body.partition(b"\r\n\r\n")[2]
 
 
-def members(raw: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, content) of each gzip member that isn't empty."""
-    at = 0
-    view = memoryview(raw)
-    while at < len(raw):
-        d = zlib.decompressobj(31)
-        content = d.decompress(view[at:])
-        size = len(raw) - at - len(d.unused_data)
+def members(read) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of each gzip member that isn't empty; `read(n)` gives the next n bytes or fewer, b"" at the end.
+
+    A member is fed in steps of `STEP` bytes, so that what is left over behind its end is never more than a step.
+    """
+    held, pos, at = b"", 0, 0  # the slice, the place in it, and that place's offset in the file
+    while True:
+        d, parts, start = zlib.decompressobj(31), [], at
+        while not d.eof:
+            if pos == len(held):
+                held, pos = read(SLICE), 0
+                if not held:
+                    if at > start:
+                        raise ValueError("an archive ends within a member")
+                    return
+            step = held[pos : pos + STEP]
+            parts.append(d.decompress(step))
+            used = len(step) - len(d.unused_data)
+            pos, at = pos + used, at + used
+        content = b"".join(parts)
         if content:
-            yield at, size, content
-        at += size
+            yield start, at - start, content
 
 
 def surt(url: str | None) -> str:
@@ -102,25 +136,38 @@ def _write_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def write_archives(pages: DataFrame, folder: str) -> None:
     """A record a row into gzip WARC files in the folder."""
     raw = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("page_id"), "url", "html", F.sha2(raw, 256).alias("digest"), F.octet_length(raw).cast("long").alias("size"))
-    keys = rows.where(F.col("size") >= LEAST_PAYLOAD).select("page_id", "digest", "size")
-    firsts = keys.groupBy("digest", "size").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = keys.join(firsts, ["digest", "size"]).where("page_id <> refers_to").select("page_id", "digest", "size", "refers_to")
-    out = rows.join(revisits, ["page_id", "digest", "size"], "left")
+    page_id = F.col("page_id").cast("long")
+    rows = pages.select(page_id.alias("page_id"), F.coalesce(page_id.cast("string"), F.lit("")).alias("row"), "url", "html", F.sha2(raw, 256).alias("digest"), F.octet_length(raw).cast("long").alias("size"))
+    keys = rows.where(F.col("size") >= LEAST_PAYLOAD).select("page_id", "row", "digest", "size")
+    firsts = keys.groupBy("digest", "size").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
+    firsts = written(firsts, "firsts")
+    revisits = join_hot(keys, firsts, ["digest", "size"], "n").where("not page_id <=> refers_to")
+    # rows may repeat: one line for each (row, digest, size), dealt out as the join below wants it
+    revisits = revisits.groupBy("row", "digest", "size").agg(F.min("refers_to").alias("refers_to"))
+    n = file_count(pages.select("html"), FILE)
+    out = rows.repartition(n, "row", "digest", "size").join(revisits, ["row", "digest", "size"], "left")
     out.mapInArrow(_write_records, "value binary").select(F.col("value").cast("string")).write.option("lineSep", SEPARATOR).option("encoding", "ISO-8859-1").text(folder)
 
 
+_CAPTURE = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("at", pa.int64()), ("size", pa.int64())])
+
+
 def _capture_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for i in range(b.num_rows):
-            path, rows = b.column("path")[i].as_py(), []
-            for at, size, content in members(b.column("content")[i].as_py()):
-                h, _ = parse_record(content)
-                url = h["warc-target-uri"]
-                url = json.loads(url) if url == "null" or url.startswith('"') else url
-                rows.append((surt(url), int(h["warc-record-id"][10:-1]), path, at, size))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "page_id", "file", "at", "size"])
+        for path in b.column("path").to_pylist():
+            store, place = _store(path)
+            with store.open_input_stream(place) as f:
+                found = members(f.read)
+                while rows := [_capture(path, *m) for m in itertools.islice(found, 5000)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), _CAPTURE, strict=True)], schema=_CAPTURE)
+
+
+def _capture(path: str, at: int, size: int, content: bytes) -> tuple:
+    h, _ = parse_record(content)
+    url = h["warc-target-uri"]
+    url = json.loads(url) if url == "null" or url.startswith('"') else url
+    page = h["warc-record-id"][10:-1]
+    return surt(url), int(page) if page else None, path, at, size
 
 
 def _blocks(per_block: int):
@@ -148,7 +195,7 @@ def _blocks(per_block: int):
 
 def build_index(spark: SparkSession, folder: str, index: str, partitions: int | None = None) -> DataFrame:
     """Writes the blocks (block, first_key, first_id, lines, data) under `index` and returns them."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path")  # contents aren't read
     lines = written(files.mapInArrow(_capture_lines, "key string, page_id long, file string, at long, size long"), "captures")
     per_block = max(BLOCK, -(-lines.count() // (DIRECTORY // 2)))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -159,20 +206,30 @@ def build_index(spark: SparkSession, folder: str, index: str, partitions: int |
     return spark.read.parquet(index)
 
 
-def directory(blocks: DataFrame) -> list[tuple[str, int, int]]:
-    """(first key, first page id, block) in order: a bounded number of entries."""
+def _place(key: str, page_id: int | None) -> tuple[str, bool, int]:
+    """The order of lines: by key, then by page id, nulls first."""
+    return key, page_id is not None, page_id or 0
+
+
+def directory(blocks: DataFrame) -> list[tuple[tuple[str, bool, int], int]]:
+    """(place of the first line, block) in order: a bounded number of entries."""
     rows = blocks.select("first_key", "first_id", "block").collect()
-    return sorted((r.first_key, r.first_id, r.block) for r in rows)
+    return sorted((_place(r.first_key, r.first_id), r.block) for r in rows)
 
 
 def lines_of(data: bytes) -> list[list]:
     return [json.loads(x) for x in zlib.decompress(data).decode("utf-8", "surrogatepass").split("\n")]
 
 
-def _read_spans(wanted: list[tuple[str, int, int]]) -> dict[tuple[str, int], bytes]:
-    """The records' bytes by (file, offset): neighbours in one range read."""
+def _store(uri: str):
+    """The file system and the path in it."""
     from pyarrow import fs
 
+    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+
+
+def _read_spans(wanted: list[tuple[str, int, int]]) -> dict[tuple[str, int], bytes]:
+    """The records' bytes by (file, offset): neighbours in one range read."""
     out, k = {}, 0
     wanted = sorted(set(wanted))
     opened: tuple[str, object] | None = None
@@ -182,7 +239,7 @@ def _read_spans(wanted: list[tuple[str, int, int]]) -> dict[tuple[str, int], byt
         while j < len(wanted) and wanted[j][0] == file and wanted[j][1] - end <= 65536 and wanted[j][1] + wanted[j][2] - start <= SPAN:
             end, j = wanted[j][1] + wanted[j][2], j + 1
         if opened is None or opened[0] != file:
-            store, path = fs.FileSystem.from_uri(file if "://" in file else "file://" + file.removeprefix("file:"))
+            store, path = _store(file)
             opened = (file, store.open_input_file(path))
         opened[1].seek(start)
         raw = opened[1].read(end - start)
@@ -192,7 +249,7 @@ def _read_spans(wanted: list[tuple[str, int, int]]) -> dict[tuple[str, int], byt
     return out
 
 
-def _row(page_id: int, raw: bytes) -> tuple:
+def _row(page_id: int | None, raw: bytes) -> tuple:
     h, payload = parse_record(zlib.decompress(raw, 31))
     refers = h.get("warc-refers-to")
     digest = h["warc-payload-digest"].split(":")[1]
@@ -210,9 +267,9 @@ def _find_in_block(key, asked: pa.Table, block: pa.Table) -> pa.Table:
     rows = []
     if asked.num_rows and block.num_rows:
         lines = lines_of(block.column("data")[0].as_py())
-        keys = [(x[0], x[1]) for x in lines]
+        keys = [_place(x[0], x[1]) for x in lines]
         hits = []
-        for want in sorted(set(zip(asked.column("key").to_pylist(), asked.column("page_id").to_pylist(), strict=True))):
+        for want in sorted(set(map(_place, asked.column("key").to_pylist(), asked.column("page_id").to_pylist()))):
             i = bisect.bisect_left(keys, want)
             while i < len(keys) and keys[i] == want:
                 hits.append(lines[i])
@@ -224,21 +281,32 @@ def _find_in_block(key, asked: pa.Table, block: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [()] * 5, schema, strict=True)], schema=schema)
 
 
+def _routes(firsts: list[tuple[str, bool, int]], want: tuple[str, bool, int]) -> Iterator[int]:
+    """Places in the directory of the blocks that may hold the line; equal lines may go on in the next block."""
+    i = max(0, bisect.bisect_left(firsts, want) - 1)
+    while i < len(firsts) and firsts[i] <= want:
+        if i + 1 >= len(firsts) or firsts[i + 1] >= want:
+            yield i
+        i += 1
+
+
 def lookup(requests: DataFrame, blocks: DataFrame) -> DataFrame:
     """Captures of each (page_id, url) asked for: directory, block, range read. Requests are sent to their block, no block to all."""
     entries = requests.sparkSession.sparkContext.broadcast(directory(blocks))
 
     def route(batches):
-        firsts = [(k, i) for k, i, _ in entries.value]
+        firsts = [k for k, _ in entries.value]
+        seen: set = set()  # repeated requests go once a task, about
         for b in batches:
             out = []
             for p, u in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), strict=True):
-                want = (surt(u), -1 if p is None else p)
-                i = max(0, bisect.bisect_left(firsts, want) - 1)
-                while i < len(firsts) and (firsts[i] <= want):  # equal lines may go on in the next block
-                    if i + 1 >= len(firsts) or firsts[i + 1] >= want:
-                        out.append((entries.value[i][2], *want))
-                    i += 1
+                want = (surt(u), p)
+                if want in seen:
+                    continue
+                seen.add(want)
+                out += [(entries.value[i][1], *want) for i in _routes(firsts, _place(*want))]
+            if len(seen) > 200_000:
+                seen.clear()
             cols = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64()), strict=True)], names=["block", "key", "page_id"])
 
@@ -249,14 +317,15 @@ def lookup(requests: DataFrame, blocks: DataFrame) -> DataFrame:
 def fetch(spark: SparkSession, blocks: DataFrame, url: str) -> list[tuple[int, bytes]]:
     """(page id, payload) of all captures of one url, on the driver; of revisits the payload is empty."""
     entries, key = directory(blocks), surt(url)
-    lo = max(0, bisect.bisect_left(entries, (key,)) - 1)
-    hi = bisect.bisect_right(entries, (key, 1 << 63))
+    firsts = [k for k, _ in entries]
+    lo = max(0, bisect.bisect_left(firsts, (key, False, 0)) - 1)
+    hi = bisect.bisect_right(firsts, (key, True, 1 << 63))
     hits = []
-    for r in blocks.where(F.col("block").isin([b for _, _, b in entries[lo:hi]])).select("data").collect() if hi > lo else []:
+    for r in blocks.where(F.col("block").isin([b for _, b in entries[lo:hi]])).select("data").collect() if hi > lo else []:
         lines = lines_of(r.data)
         i = bisect.bisect_left([x[0] for x in lines], key)
         while i < len(lines) and lines[i][0] == key:
             hits.append(lines[i])
             i += 1
     raw = _read_spans([(f, o, n) for _, _, f, o, n in hits])
-    return sorted((p, _row(p, raw[f, o])[5]) for _, p, f, o, _ in hits)
+    return sorted(((p, _row(p, raw[f, o])[5]) for _, p, f, o, _ in hits), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))

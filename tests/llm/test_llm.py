@@ -91,6 +91,9 @@ def test_warc(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK", 7)
     rows = [(i, f"http://a{i % 5}.x.com/p/{i % 9}?q", "same" * 40 if i % 4 == 0 else f"page {i} " * 30) for i in range(40)]
     rows += [(100, None, "y" * 200), (101, "null", "z\r\n\r\nq" * 40), (102, '"h\n://', "é" * 100), (103, "", None), (104, "http://A.b/", ""), (7, "http://a2.x.com/p/7?q", "dup" * 50)]
+    rows += [(5, "http://r/", "same" * 40)] * 3  # exact repeats of a revisit
+    rows += [(None, "http://n/", "same" * 40), (None, None, "none but nulls" * 20), (None, "http://n/2", "none but nulls" * 20), (-1, "http://n/", "t")]
+    rows += [(200, "http://long/", "".join(map(chr, random.Random(1).choices(range(32, 900), k=2_000_000))))]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, size int")
     folder = scratch_path(spark, "w")
     warc.write_archives(df, folder)
@@ -99,7 +102,7 @@ def test_warc(spark, monkeypatch):
     first, want = {}, collections.Counter()
     for p, _, h in rows:
         raw = (h or "").encode()
-        if len(raw) >= 100:
+        if len(raw) >= 100 and p is not None:
             first[raw] = min(first.get(raw, 1 << 60), p)
     for p, _, h in rows:
         raw = (h or "").encode()
@@ -108,6 +111,27 @@ def test_warc(spark, monkeypatch):
     assert got == want
     assert warc.fetch(spark, blocks, "http://a1.x.com/p/1?q") == [(1, ("page 1 " * 30).encode())]
     assert warc.fetch(spark, blocks, "http://none/") == []
+    none = scratch_path(spark, "w")
+    warc.write_archives(df.limit(0), none)
+    assert warc.lookup(df.limit(0), warc.build_index(spark, none, scratch_path(spark, "i"))).count() == 0
+
+
+def test_members_in_slices(monkeypatch):
+    """Each member's place and content, whatever the slices; time grows with the file, not with its square."""
+    import io
+
+    contents = [b"", b"a", bytes(range(256)) * 90, b"", *[f"record {i} ".encode() * 50 for i in range(300)]]
+    packed = [warc._gzip(c) for c in contents]
+    raw, want, at = b"".join(packed), [], 0
+    for c, z in zip(contents, packed, strict=True):
+        want += [(at, len(z), c)] * bool(c)
+        at += len(z)
+    for size, step in ((1, 1), (7, 3), (4096, 100), (1 << 20, 1 << 12)):
+        monkeypatch.setattr(warc, "SLICE", size)
+        monkeypatch.setattr(warc, "STEP", step)
+        assert list(warc.members(io.BytesIO(raw).read)) == want
+    with pytest.raises(ValueError):
+        list(warc.members(io.BytesIO(raw[:-3]).read))
 
 
 # ---- token files ------------------------------------------------------------------------------------------------------
