@@ -1,6 +1,6 @@
-"""Edge and node centralities. Exact path-based ones run one kernel a source over a broadcast graph of
-checked size and sum partial scores; degree-like, spectral and peeling ones are DataFrame plans; those that need a dense inverse
-run in one task over a graph of checked size."""
+"""Edge and node centralities. Exact path-based ones run one kernel a source over a graph of checked size that
+tasks read for themselves, and sum scores within each task; degree-like, spectral and peeling ones are DataFrame plans; those that
+need a dense inverse run in one task over a graph of checked size. `dynamic` updates path-based scores under changes of edges."""
 
 from __future__ import annotations
 
@@ -9,14 +9,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graftwork.model import KERNEL_EDGES, both_ways, nodes_of
 from graftwork.operators.graph import degrees
 from graftwork.operators.kernels import Csr
-from graftwork.operators.paths import bounded_graph, per_source, sssp
+from graftwork.operators.paths import SharedGraph, one_task, sssp, sum_over_sources
 from graftwork.session import written
 
 #: Nodes of graphs whose dense inverse one task may hold.
@@ -69,25 +69,7 @@ def relative_rank_errors(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "id").select("id", ((F.col("place") + 1) / (F.col("other") + 1)).alias("error"))
 
 
-# ---- path-based edge scores (EC-01 to EC-08; EC-09 and the delta of EC-10 aren't built) ------------------------------
-
-_PART = "kind int, u long, v long, score double"
-
-
-def _sum_edges(edges: DataFrame, sources: DataFrame, fn: Callable[[Csr, int], tuple[np.ndarray, np.ndarray | None]]) -> DataFrame:
-    """kind 0: (u, v, score) of edges; kind 1: (u = v = node, score); summed over sources."""
-
-    def run(g: Csr, s: int) -> pd.DataFrame:
-        e, n = fn(g, s)
-        k = np.flatnonzero(e)
-        out = [pd.DataFrame({"kind": 0, "u": g.ids[g.a[k]], "v": g.ids[g.b[k]], "score": e[k]})]
-        if n is not None:
-            k = np.flatnonzero(n)
-            out.append(pd.DataFrame({"kind": 1, "u": g.ids[k], "v": g.ids[k], "score": n[k]}))
-        return pd.concat(out)
-
-    return per_source(edges, sources, run, _PART).groupBy("kind", "u", "v").agg(F.sum("score").alias("score"))
-
+# ---- path-based edge scores (EC-01 to EC-08) ------------------------------------------------------------------------------
 
 def _edge_view(edges: DataFrame, parts: DataFrame, factor: float = 1.0) -> DataFrame:
     return edges.select("u", "v").join(parts.where("kind = 0").drop("kind"), ["u", "v"], "left").select("u", "v", (F.coalesce("score", F.lit(0.0)) * factor).alias("score"))
@@ -100,12 +82,12 @@ def _node_view(edges: DataFrame, parts: DataFrame, factor: float = 1.0) -> DataF
 
 def edge_betweenness(edges: DataFrame, pairs: str = "ordered", sources: DataFrame | None = None) -> DataFrame:
     """EC-01: over ordered pairs, or unordered ones at half."""
-    return _edge_view(edges, _sum_edges(edges, sources or nodes_of(edges), lambda g, s: (g.brandes(s)[0], None)), 1.0 if pairs == "ordered" else 0.5)
+    return _edge_view(edges, sum_over_sources(edges, sources or nodes_of(edges), lambda g, s: (g.brandes(s)[0], None)), 1.0 if pairs == "ordered" else 0.5)
 
 
 def betweenness(edges: DataFrame, normalized: bool = False, unweighted: bool = False, pairs: str = "unordered") -> DataFrame:
     """CN-02: node scores; normalized over (n - 1)(n - 2) ordered pairs."""
-    parts = _sum_edges(edges, nodes_of(edges), lambda g, s: (np.zeros(g.m), g.brandes(s, unweighted)[1]))
+    parts = sum_over_sources(edges, nodes_of(edges), lambda g, s: (None, g.brandes(s, unweighted)[1]))
     out = _node_view(edges, parts, 1.0 if pairs == "ordered" or normalized else 0.5)
     if not normalized:
         return out
@@ -116,17 +98,17 @@ def betweenness(edges: DataFrame, normalized: bool = False, unweighted: bool = F
 def cluster_paths(edges: DataFrame, centers: DataFrame) -> DataFrame:
     """EC-02: walks between centers along shortest paths, each counted."""
     ids = np.array(sorted(r.id for r in centers.select("id").distinct().collect()), np.int64)  # centers are few by their meaning
-    return _edge_view(edges, _sum_edges(edges, centers, lambda g, s: (g.walks(s, np.isin(g.ids, ids))[0], None)))
+    return _edge_view(edges, sum_over_sources(edges, centers, lambda g, s: (g.walks(s, np.isin(g.ids, ids))[0], None)))
 
 
 def cluster_to_all(edges: DataFrame, centers: DataFrame) -> DataFrame:
     """EC-03: walks from centers to all nodes."""
-    return _edge_view(edges, _sum_edges(edges, centers, lambda g, s: (g.walks(s, np.ones(g.n, bool))[0], None)))
+    return _edge_view(edges, sum_over_sources(edges, centers, lambda g, s: (g.walks(s, np.ones(g.n, bool))[0], None)))
 
 
 def cluster_to_all_nodes(edges: DataFrame, centers: DataFrame) -> DataFrame:
     """EC-05: inner visits of nodes."""
-    return _node_view(edges, _sum_edges(edges, centers, lambda g, s: (np.zeros(g.m), g.walks(s, np.ones(g.n, bool))[1])))
+    return _node_view(edges, sum_over_sources(edges, centers, lambda g, s: (None, g.walks(s, np.ones(g.n, bool))[1])))
 
 
 def cluster_to_all_weighted(edges: DataFrame, centers: DataFrame, node_weights: DataFrame) -> DataFrame:
@@ -136,8 +118,7 @@ def cluster_to_all_weighted(edges: DataFrame, centers: DataFrame, node_weights:
     def fn(g: Csr, s: int):
         return g.weighted_walks(s, np.array([nw.get(int(i), 1.0) for i in g.ids])), None
 
-    bounded_graph(edges)
-    return _edge_view(edges, _sum_edges(edges, centers, fn))
+    return _edge_view(edges, sum_over_sources(edges, centers, fn))
 
 
 def sample_size(n_or_diameter: int, eps: float, delta: float, c: float = 1.0) -> int:
@@ -152,16 +133,37 @@ def share_samples(shares: float, eps: float, delta: float) -> int:
 
 def vertex_diameter(edges: DataFrame, unweighted: bool = False) -> int:
     """EC-07: a bound of the nodes on any shortest path: twice a component's reach over the least weight, or all its nodes."""
-    g = Csr(*bounded_graph(edges))
-    least = 1 if unweighted else g.w.min()
-    seen, most = np.zeros(g.n, bool), 1
-    for s in range(g.n):
-        if not seen[s]:
-            d = np.asarray(g.dijkstra(s, unweighted=unweighted))
-            near = np.isfinite(d)
-            seen |= near
-            most = max(most, min(int(near.sum()), int(2 * d[near].max() / least) + 1 if least > 0 else g.n))
-    return most
+
+    def run(u, v, w) -> pd.DataFrame:
+        g = Csr(u, v, w)
+        least = 1 if unweighted else g.w.min()
+        seen, most = np.zeros(g.n, bool), 1
+        for s in range(g.n):
+            if not seen[s]:
+                d = np.asarray(g.dijkstra(s, unweighted=unweighted))
+                near = np.isfinite(d)
+                seen |= near
+                most = max(most, min(int(near.sum()), int(2 * d[near].max() / least) + 1 if least > 0 else g.n))
+        return pd.DataFrame({"most": [most]})
+
+    return one_task(edges, run, "most long").first().most
+
+
+def _distinct_pairs(spark: SparkSession, n: int, r: int, seed: int) -> DataFrame:
+    """(sample, i, j), i < j: r different pairs of n numbers. An affine map over a prime above the number of pairs permutes pair
+    numbers, and those beyond it are stepped over; pair p stands in row i's place of the triangle."""
+    pairs = n * (n - 1) // 2
+    prime = next(p for p in range(max(3, pairs + 1), 2 * max(3, pairs) + 2) if all(p % q for q in range(2, math.isqrt(p) + 1)))
+    rng = np.random.default_rng(seed)
+    a, b = int(rng.integers(1, prime)), int(rng.integers(0, prime))
+    # of the first r + (prime - pairs) numbers at most prime - pairs fall beyond the pairs
+    p = spark.range(min(prime, r + prime - pairs)).select(F.col("id").alias("k"), F.expr(f"cast((cast(id as decimal(20,0)) * {a} + {b}) % {prime} as long)").alias("p")).where(F.col("p") < pairs)
+    p = p.orderBy("k").limit(r)
+    j = F.floor((1 + F.sqrt(1 + 8 * F.col("p").cast("double"))) / 2)
+    p = p.withColumn("j", j.cast("long"))
+    low, high = F.expr("j * (j - 1) div 2"), F.expr("j * (j + 1) div 2")
+    p = p.withColumn("j", F.when(F.col("p") < low, F.col("j") - 1).when(F.col("p") >= high, F.col("j") + 1).otherwise(F.col("j")))  # square roots round
+    return p.select(F.col("k").alias("sample"), (F.col("p") - F.expr("j * (j - 1) div 2")).alias("i"), "j")
 
 
 def sampled_edge_betweenness(edges: DataFrame, eps: float = 0.1, delta: float = 0.1, c: float = 1.0, seed: int = 42, replace: bool = True, samples: int | None = None) -> DataFrame:
@@ -176,9 +178,8 @@ def sampled_edge_betweenness(edges: DataFrame, eps: float = 0.1, delta: float =
     if replace:
         draw = spark.range(r).select(F.col("id").alias("sample"), F.floor(uniform(F.col("id"), seed, 1) * n).alias("i"), F.floor(uniform(F.col("id"), seed, 2) * n).alias("j"))
     else:
+        draw = _distinct_pairs(spark, n, min(r, n * (n - 1) // 2), seed)
         r = min(r, n * (n - 1) // 2)
-        pairs = ids.select(F.col("k").alias("i")).join(ids.select(F.col("k").alias("j")), F.col("i") < F.col("j"))
-        draw = pairs.orderBy(F.xxhash64(F.lit(seed), "i", "j")).limit(r).withColumn("sample", F.xxhash64("i", "j"))
     named = draw.join(ids.select(F.col("k").alias("i"), F.col("id").alias("source")), "i").join(ids.select(F.col("k").alias("j"), F.col("id").alias("target")), "j").where("source <> target")
     hits = random_paths(edges, named, seed).groupBy("u", "v").agg((F.count("*") / float(r)).alias("score"))
     return edges.select("u", "v").join(hits, ["u", "v"], "left").fillna(0.0, ["score"])
@@ -204,15 +205,15 @@ def estimate_betweenness(edges: DataFrame, n_samples: int, seed: int = 42) -> Da
     nodes = nodes_of(edges)
     n = nodes.count()
     some = nodes.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n_samples)
-    return _node_view(edges, _sum_edges(edges, some, lambda g, s: (np.zeros(g.m), g.brandes(s)[1])), n / max(1, min(n, n_samples)) / 2)
+    return _node_view(edges, sum_over_sources(edges, some, lambda g, s: (None, g.brandes(s)[1])), n / max(1, min(n, n_samples)) / 2)
 
 
 # ---- trees (EC-11 to EC-14) ----------------------------------------------------------------------------------------------
 
 
 def tree_sides(tree: DataFrame) -> DataFrame:
-    """(u, v, below, n): how many nodes hang on one side of the edge. Trees of a size that one task may hold are folded there; larger
-    ones by leaves, level by level."""
+    """(u, v, child, below, n): how many nodes hang on the child's side of the edge. Trees of a size that one task may hold are folded
+    there; larger ones by leaves, level by level."""
     if tree.limit(KERNEL_EDGES + 1).count() <= KERNEL_EDGES:
         return _sides_kernel(tree)
     n = nodes_of(tree).count()
@@ -223,7 +224,7 @@ def tree_sides(tree: DataFrame) -> DataFrame:
         leaf = deg.where("d = 1").select("id").join(mass, "id")
         a, b = leaf.select(F.col("id").alias("u"), F.col("m").alias("mu")), leaf.select(F.col("id").alias("v"), F.col("m").alias("mv"))
         cut = written(live.join(a, "u", "left").join(b, "v", "left").where("mu is not null or mv is not null").select("u", "v", "mu", "mv"), "cut")
-        row = cut.select("u", "v", F.coalesce("mu", "mv").alias("below"))
+        row = cut.select("u", "v", F.when(F.col("mu").isNull(), F.col("v")).otherwise(F.col("u")).alias("child"), F.coalesce("mu", "mv").alias("below"))
         done = row if done is None else done.unionByName(row)
         up = cut.where("mu is null or mv is null").select(F.when(F.col("mu").isNull(), F.col("u")).otherwise(F.col("v")).alias("id"), F.coalesce("mu", "mv").alias("add")).groupBy("id").agg(F.sum("add").alias("add"))
         mass = written(mass.join(up, "id", "left").select("id", (F.col("m") + F.coalesce("add", F.lit(0))).alias("m")), "mass")
@@ -232,26 +233,28 @@ def tree_sides(tree: DataFrame) -> DataFrame:
 
 
 def _sides_kernel(tree: DataFrame) -> DataFrame:
-    u, v, _ = bounded_graph(tree.select("u", "v", F.lit(1).alias("w")))
-    g = Csr(u, v, np.ones(len(u)))
-    seen, size, order, up = np.zeros(g.n, bool), np.ones(g.n, np.int64), [], np.full(g.n, -1)
-    parent = np.full(g.n, -1)
-    for root in range(g.n):
-        stack = [] if seen[root] else [root]
-        seen[root] = True
-        while stack:
-            x = stack.pop()
-            order.append(x)
-            for y, e, _ in g.adj[x]:
-                if not seen[y]:
-                    seen[y], parent[y], up[y] = True, x, e
-                    stack.append(y)
-    below = np.zeros(g.m, np.int64)
-    for x in reversed(order):
-        if up[x] >= 0:
-            below[up[x]] = size[x]
-            size[parent[x]] += size[x]
-    return _frame(tree, {"u": u, "v": v, "below": below, "n": g.n}, "u long, v long, below long, n long")
+    def run(u, v, w) -> pd.DataFrame:
+        g = Csr(u, v, np.ones(len(u)))
+        seen, size, order, up = np.zeros(g.n, bool), np.ones(g.n, np.int64), [], np.full(g.n, -1)
+        parent = np.full(g.n, -1)
+        for root in range(g.n):
+            stack = [] if seen[root] else [root]
+            seen[root] = True
+            while stack:
+                x = stack.pop()
+                order.append(x)
+                for y, e, _ in g.adj[x]:
+                    if not seen[y]:
+                        seen[y], parent[y], up[y] = True, x, e
+                        stack.append(y)
+        below, child = np.zeros(g.m, np.int64), np.zeros(g.m, np.int64)
+        for x in reversed(order):
+            if up[x] >= 0:
+                below[up[x]], child[up[x]] = size[x], g.ids[x]
+                size[parent[x]] += size[x]
+        return pd.DataFrame({"u": u, "v": v, "child": child, "below": below, "n": g.n})
+
+    return one_task(tree.select("u", "v", F.lit(1).alias("w")), run, "u long, v long, child long, below long, n long")
 
 
 def tree_edge_centrality(tree: DataFrame, alpha: float = 1.0, weighted: bool = False) -> DataFrame:
@@ -263,21 +266,12 @@ def tree_edge_centrality(tree: DataFrame, alpha: float = 1.0, weighted: bool = F
 
 def tree_node_centrality(tree: DataFrame) -> DataFrame:
     """EC-12: n - 1 and the pairs whose path runs through the node (unordered)."""
-    s = written(tree_sides(tree), "sides")
-    n = nodes_of(tree).count()
     # the branches at a node have, over its edges, the sizes of the far sides; pairs between different branches run through it
-    far = s.select(F.explode(F.array("u", "v")).alias("id"), "u", "v", "below")
-    root = tree_branch_sizes(tree, far, n)
-    return root.groupBy("id").agg(((F.lit(n - 1) ** 2 - F.sum(F.col("far") * F.col("far"))) / 2 + n - 1).alias("score"))
-
-
-def tree_branch_sizes(tree: DataFrame, far: DataFrame, n: int) -> DataFrame:
-    """(id, far): size of the branch behind each edge at each node; of an edge's two sides, `below` was the one folded first."""
-    parts = written(sssp(tree.select("u", "v", F.lit(1).alias("w")), nodes_of(tree)).select("source", "id", "dist"), "hops")
-    near = parts.select(F.col("source").alias("x"), F.col("id").alias("u"), F.col("dist").alias("du"))
-    other = parts.select(F.col("source").alias("x"), F.col("id").alias("v"), F.col("dist").alias("dv"))
-    side = tree.select("u", "v").join(near, "u").join(other, ["x", "v"]).groupBy("u", "v").agg(F.count_if(F.col("du") < F.col("dv")).alias("at_u"))
-    return side.select(F.col("u").alias("id"), (n - F.col("at_u")).alias("far")).unionAll(side.select(F.col("v").alias("id"), F.col("at_u").alias("far")))
+    s = written(tree_sides(tree), "sides")
+    other = F.col("n") - F.col("below")
+    at_u, at_v = (s.select(F.col(x).alias("id"), F.when(F.col("child") == F.col(x), other).otherwise(F.col("below")).alias("far"), "n") for x in "uv")
+    n = F.max("n") - 1
+    return at_u.unionAll(at_v).groupBy("id").agg(((n * n - F.sum(F.col("far") * F.col("far"))) / 2 + n).alias("score"))
 
 
 def plot_widths(scores: DataFrame, most: float = 12.0) -> DataFrame:
@@ -294,11 +288,11 @@ def centroid(edges: DataFrame) -> DataFrame:
 # ---- linear algebra in one task (EC-15, EC-16, CN-35 to CN-37) ----------------------------------------------------------------
 
 
-def _dense(edges: DataFrame) -> tuple[Csr, np.ndarray]:
-    g = Csr(*bounded_graph(edges))
-    if g.n > DENSE_NODES:
+def _dense(edges: DataFrame, fn: Callable[[Csr, np.ndarray], dict], schema: str) -> DataFrame:
+    """fn(graph, weights) -> columns, in one task over a graph of at most `DENSE_NODES` nodes."""
+    if nodes_of(edges).count() > DENSE_NODES:
         raise ValueError(f"more than {DENSE_NODES} nodes for a dense inverse")
-    return g, np.array(g.w, float)
+    return one_task(edges, lambda u, v, w: pd.DataFrame(fn(Csr(u, v, w), np.array(w, float))), schema)
 
 
 def _laplacian_inverse(g: Csr, w: np.ndarray) -> np.ndarray:
@@ -309,20 +303,24 @@ def _laplacian_inverse(g: Csr, w: np.ndarray) -> np.ndarray:
     return np.linalg.pinv(lap, hermitian=True)
 
 
-def _frame(edges: DataFrame, cols: dict, schema: str) -> DataFrame:
-    return edges.sparkSession.createDataFrame(pd.DataFrame(cols), schema)
+_EDGE = "u long, v long, score double"
 
 
-def flow_betweenness(edges: DataFrame) -> DataFrame:
-    """EC-15: current-flow betweenness of edges: mean over unordered pairs of the absolute current of a unit from s to t."""
-    g, w = _dense(edges)
+def _edges_of(g: Csr, score: np.ndarray) -> dict:
+    return {"u": g.ids[g.a], "v": g.ids[g.b], "score": score}
+
+
+def flow_scores(g: Csr, w: np.ndarray) -> np.ndarray:
+    """EC-15: mean over unordered pairs of the absolute current over each edge of a unit from s to t."""
     inv = _laplacian_inverse(g, w)
     pot = (inv[g.a] - inv[g.b]) * w[:, None]  # current over each edge for a unit into each node
-    score = np.zeros(g.m)
-    for e in range(g.m):
-        x = np.sort(pot[e])
-        score[e] = (x * (2 * np.arange(g.n) - g.n + 1)).sum()  # sum of |x_s - x_t| over pairs
-    return _frame(edges, {"u": g.ids[g.a], "v": g.ids[g.b], "score": score / (g.n * (g.n - 1) / 2)}, "u long, v long, score double")
+    x = np.sort(pot, 1)
+    return (x * (2 * np.arange(g.n) - g.n + 1)).sum(1) / max(1, g.n * (g.n - 1) / 2)  # sums of |x_s - x_t| over pairs
+
+
+def flow_betweenness(edges: DataFrame) -> DataFrame:
+    """EC-15: current-flow betweenness of edges."""
+    return _dense(edges, lambda g, w: _edges_of(g, flow_scores(g, w)), _EDGE)
 
 
 def rsp_matrices(cost: np.ndarray, reference: np.ndarray, theta: float) -> tuple[np.ndarray, np.ndarray]:
@@ -334,49 +332,55 @@ def rsp_matrices(cost: np.ndarray, reference: np.ndarray, theta: float) -> tuple
 def rsp_scores(z: np.ndarray, wmat: np.ndarray) -> np.ndarray:
     """EC-16: mean expected passages over each edge of randomized shortest paths between all pairs; the diagonal least."""
     n = len(z)
-    bet = wmat * (z @ (1 / z - n * np.diag(1 / np.diag(z))) @ z).T / (n * (n - 1)) if n > 1 else wmat * 0
+    bet = wmat * (z @ (1 / z - n * np.diag(1 / np.diag(z))) @ z) / (n * (n - 1)) if n > 1 else wmat * 0
     bet[np.arange(n), np.arange(n)] = bet.min() - 1
     return bet
 
 
 def rsp_edge_betweenness(edges: DataFrame, theta: float = 15.0) -> DataFrame:
-    g, w = _dense(edges)
-    cost = np.zeros((g.n, g.n))
-    cost[g.a, g.b] = cost[g.b, g.a] = w / w.mean()
-    ref = (cost > 0) / np.maximum(1, (cost > 0).sum(1))[:, None]
-    wmat, z = rsp_matrices(cost, ref, theta)
-    b = rsp_scores(z, wmat)
-    return _frame(edges, {"u": g.ids[g.a], "v": g.ids[g.b], "score": b[g.a, g.b] + b[g.b, g.a]}, "u long, v long, score double")
+    def run(g: Csr, w: np.ndarray) -> dict:
+        cost = np.zeros((g.n, g.n))
+        cost[g.a, g.b] = cost[g.b, g.a] = w / w.mean()
+        ref = (cost > 0) / np.maximum(1, (cost > 0).sum(1))[:, None]
+        wmat, z = rsp_matrices(cost, ref, theta)
+        b = rsp_scores(z, wmat)
+        return _edges_of(g, b[g.a, g.b] + b[g.b, g.a])
+
+    return _dense(edges, run, _EDGE)
 
 
 def spanning_edge(edges: DataFrame, unweighted: bool = True) -> DataFrame:
     """CN-35: the share of spanning trees that hold the edge: its effective resistance (times its weight)."""
-    g, w = _dense(edges)
-    w = np.ones(g.m) if unweighted else w
-    inv = _laplacian_inverse(g, w)
-    r = (inv[g.a, g.a] + inv[g.b, g.b] - 2 * inv[g.a, g.b]) * w
-    return _frame(edges, {"u": g.ids[g.a], "v": g.ids[g.b], "score": r}, "u long, v long, score double")
+
+    def run(g: Csr, w: np.ndarray) -> dict:
+        w = np.ones(g.m) if unweighted else w
+        inv = _laplacian_inverse(g, w)
+        return _edges_of(g, (inv[g.a, g.a] + inv[g.b, g.b] - 2 * inv[g.a, g.b]) * w)
+
+    return _dense(edges, run, _EDGE)
 
 
 def electrical_closeness(edges: DataFrame) -> DataFrame:
     """CN-36: (id, diagonal, score): (n - 1) / (n l_vv + trace) from the Laplacian's pseudo-inverse."""
-    g, _ = _dense(edges)
-    inv = _laplacian_inverse(g, np.ones(g.m))
-    d = np.diag(inv)
-    return _frame(edges, {"id": g.ids, "diagonal": d, "score": (g.n - 1) / (g.n * d + d.sum())}, "id long, diagonal double, score double")
+
+    def run(g: Csr, w: np.ndarray) -> dict:
+        d = np.diag(_laplacian_inverse(g, np.ones(g.m)))
+        return {"id": g.ids, "diagonal": d, "score": (g.n - 1) / (g.n * d + d.sum())}
+
+    return _dense(edges, run, "id long, diagonal double, score double")
 
 
 def sampled_spanning_edge(edges: DataFrame, eps: float = 0.1, delta: float = 0.1, seed: int = 42, trees: int | None = None) -> DataFrame:
     """CN-37: shares of random spanning trees (loop-erased walks, a task's trees by their numbers) that hold each edge; as many
     trees as keep all edges within eps with probability 1 - delta."""
-    graph = bounded_graph(edges)
-    trees = trees or share_samples(math.log(max(1, len(graph[0]))), eps, delta)
-    arrays = edges.sparkSession.sparkContext.broadcast(graph)
+    graph = SharedGraph(edges)
+    trees = trees or share_samples(math.log(max(1, graph.m)), eps, delta)
+    load = graph.in_task()
 
     def run(batches):
         g = None
         for pdf in batches:
-            g = g or Csr(*arrays.value)
+            g = g or Csr(*load())
             count = np.zeros(g.m)
             for k in pdf["id"]:
                 rng = np.random.default_rng([seed, k])
@@ -657,32 +661,36 @@ def group_betweenness(edges: DataFrame, k: int, eps: float = 0.05, delta: float
 
 def ged_walk(edges: DataFrame, k: int, alpha: float | None = None, steps: int = 12) -> tuple[list[int], float]:
     """CN-22: in turn the node whose joining the group adds most walks (of up to `steps`, discounted by alpha a step) that meet it."""
-    g = Csr(*bounded_graph(edges))
-    deg = np.array([len(a) for a in g.adj])
-    alpha = alpha or 1.0 / (1 + deg.max())
-
-    def walks(out: np.ndarray) -> float:
-        x, total, f = (~out).astype(float), 0.0, 1.0
-        for _ in range(steps):
-            y = np.zeros(g.n)
-            np.add.at(y, g.a, x[g.b])
-            np.add.at(y, g.b, x[g.a])
-            x, f = np.where(out, 0.0, y), f * alpha
-            total += f * x.sum()
-        return total
-
-    every = walks(np.zeros(g.n, bool))
-    out, group = np.zeros(g.n, bool), []
-    for _ in range(k):
-        best = min((walks(out | (np.arange(g.n) == i)), int(g.ids[i]), i) for i in range(g.n) if not out[i])
-        out[best[2]] = True
-        group.append(best[1])
-    return group, float(every - walks(out))
+
+    def run(u, v, w) -> pd.DataFrame:
+        g = Csr(u, v, w)
+        a = alpha or 1.0 / (1 + max(map(len, g.adj)))
+
+        def walks(out: np.ndarray) -> float:
+            x, total, f = (~out).astype(float), 0.0, 1.0
+            for _ in range(steps):
+                y = np.zeros(g.n)
+                np.add.at(y, g.a, x[g.b])
+                np.add.at(y, g.b, x[g.a])
+                x, f = np.where(out, 0.0, y), f * a
+                total += f * x.sum()
+            return total
+
+        every = walks(np.zeros(g.n, bool))
+        out, group = np.zeros(g.n, bool), []
+        for _ in range(min(k, g.n)):
+            best = min((walks(out | (np.arange(g.n) == i)), int(g.ids[i]), i) for i in range(g.n) if not out[i])
+            out[best[2]] = True
+            group.append(best[1])
+        return pd.DataFrame({"id": group, "score": float(every - walks(out))})
+
+    rows = one_task(edges, run, "id long, score double").collect()  # k rows
+    return [r.id for r in rows], rows[0].score if rows else 0.0
 
 
 def k_path(edges: DataFrame, alpha: float = 0.2, k: int = 0, seed: int = 42) -> DataFrame:
     """CN-25: shares of drawn self-avoiding walks of up to k steps that come to the node; less-walked edges are likelier."""
-    arrays = edges.sparkSession.sparkContext.broadcast(bounded_graph(edges))
+    load = SharedGraph(edges).in_task()
     n = nodes_of(edges).count()
     k = k or max(1, round(math.log(max(2, n + edges.count()))))
     t = max(1, int(2 * k**2 * n ** (1 - 2 * alpha) * math.log(max(2, n))))
@@ -690,7 +698,7 @@ def k_path(edges: DataFrame, alpha: float = 0.2, k: int = 0, seed: int = 42) ->
     def run(batches):
         g = None
         for pdf in batches:
-            g = g or Csr(*arrays.value)
+            g = g or Csr(*load())
             count = np.zeros(g.n)
             for i in pdf["id"]:
                 rng = np.random.default_rng([seed, i])

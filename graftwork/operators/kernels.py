@@ -170,6 +170,109 @@ def greedy_pick(u, v, w, score, forest: UnionFind, most: int, whole_level: bool
     return taken, cyclic
 
 
+class Dependencies:
+    """Edge dependencies of every source, kept up to date when an edge's weight falls: only the sources from which the edge is now on
+    a shortest path are run anew (SP-07, EC-10). `ran` counts the sources run in all; `incremental` off runs all each time."""
+
+    def __init__(self, g: Csr, incremental: bool = True) -> None:
+        self.g, self.incremental, self.ran = g, incremental, 0
+        self.dist, self.part = np.zeros((g.n, g.n)), np.zeros((g.n, g.m))
+        self._run(range(g.n))
+
+    def _run(self, sources) -> None:
+        for s in sources:
+            self.ran += 1
+            self.dist[s] = self.g.dijkstra(s)
+            self.part[s] = self.g.brandes(s)[0]
+
+    def scores(self) -> np.ndarray:
+        return sum(self.part)  # in the order of sources, so that runs agree whichever sources were run
+
+    def lighten(self, e: int, w) -> None:
+        du, dv = self.dist[:, self.g.a[e]], self.dist[:, self.g.b[e]]
+        hit = (du + float(w) <= dv) | (dv + float(w) <= du)
+        self.g.reweigh(e, w)
+        self._run(np.flatnonzero(hit).tolist() if self.incremental else range(self.g.n))
+
+
+class Draws:
+    """Drawn shortest paths between fixed pairs of nodes; after an edge's weight fell, those paths are drawn anew whose ends are now
+    nearer or joined by another number of shortest paths (EC-09), or which ran over an edge that went."""
+
+    def __init__(self, g: Csr, pairs: np.ndarray, rng: np.random.Generator) -> None:
+        self.g, self.rng, self.drawn = g, rng, 0
+        self.pairs = [(int(s), int(t)) for s, t in pairs]
+        self.known: list[tuple[float, float]] = [(float("nan"), 0.0)] * len(self.pairs)  # distance, number of paths
+        self.paths: list[list[int]] = [[] for _ in self.pairs]
+        self.refresh(range(len(self.pairs)))
+
+    def refresh(self, samples) -> None:
+        """Draws anew where distance or number of paths differ from what is known."""
+        by: dict[int, list[int]] = {}
+        for i in samples:
+            by.setdefault(self.pairs[i][0], []).append(i)
+        for s, mine in sorted(by.items()):
+            dist = self.g.dijkstra(s)
+            dag = self.g.dag(dist)
+            sigma = self.g.counts(*dag, s)
+            for i in mine:
+                t = self.pairs[i][1]
+                now = (float(dist[t]), float(sigma[t]))
+                if now != self.known[i]:
+                    self.known[i] = now
+                    self.drawn += 1
+                    self.paths[i] = [e for _, e in self.g.random_path(dag, sigma, s, t, self.rng)] if s != t and np.isfinite(dist[t]) else []
+
+    def scores(self) -> np.ndarray:
+        edges = [e for p in self.paths for e in p]
+        return np.bincount(edges, minlength=self.g.m) / max(1, len(self.pairs))
+
+    def lighten(self, e: int, w) -> None:
+        du, dv = self.g.dijkstra(int(self.g.a[e])), self.g.dijkstra(int(self.g.b[e]))  # of an undirected graph: from every source
+        hit = (du + float(w) <= dv) | (dv + float(w) <= du)
+        self.g.reweigh(e, w)
+        self.refresh([i for i, (s, _) in enumerate(self.pairs) if hit[s]])
+
+
+def exact_picks(u: np.ndarray, v: np.ndarray, w: np.ndarray, per_round: int = 1, scorer: str = "betweenness", incremental: bool = False, unit: str = "n") -> list[tuple[int, int, float, int, float]]:
+    """TR-08, TR-09, TR-11: (u, v, w, round, score) of the edges in the order they are picked: each round the best that close no cycle,
+    whose weight falls to least / (n + 1), or (unit "m") least / (m + 1); edges of score 0 go.
+
+    scorer: betweenness, or flow (currents, weights being conductances). Weights are scaled to integers, so that ties are exact.
+    """
+    w = np.asarray(w, float)
+    n = len(np.unique(np.r_[u, v]))
+    parts = (n if unit == "n" else len(u)) + 1
+    g = Csr(u, v, np.rint(w / w.min() * 1_000_000).astype(np.int64) * parts)
+    low, forest, out = int(g.w.min()) // parts, UnionFind(), []
+    live, done = np.ones(g.m, bool), np.zeros(g.m, bool)
+    state = Dependencies(g, incremental) if scorer == "betweenness" else None
+    level = 0
+    while len(out) < n - 1:
+        if state:
+            score = np.round(state.scores(), 9)
+        else:
+            from graftwork.operators.centrality import flow_scores
+
+            score = np.round(flow_scores(g, np.where(live, np.asarray(g.w, float), 0.0)), 9)
+        live &= score > 0
+        at = np.flatnonzero(live & ~done)
+        taken, cyclic = greedy_pick(u[at], v[at], w[at], score[at], forest, per_round)
+        if not taken:
+            break
+        done[at[cyclic]] = True
+        g.drop(set(np.flatnonzero(~live).tolist()))
+        for k in at[taken].tolist():
+            done[k] = True
+            out.append((int(u[k]), int(v[k]), float(w[k]), level, float(score[k])))
+            if state:
+                state.lighten(k, low)
+            else:
+                g.reweigh(k, low)
+        level += 1
+    return out
+
+
 def iterate_tree(u, v, w, sources: np.ndarray | None, scorer: str = "cluster_all", prune: bool = True, highway: float | None = None, node_weights: np.ndarray | None = None, seeds: list[tuple[int, int]] | None = None, per_round: int = 1, seed: int = 42, samples: int = 500) -> list[tuple[int, int, float]]:
     """TR-01 to TR-05: (u, v, score) of the edges in the order they are picked.
 
@@ -193,32 +296,30 @@ def iterate_tree(u, v, w, sources: np.ndarray | None, scorer: str = "cluster_all
     nw = np.ones(g.n) if node_weights is None else np.asarray(node_weights, float)
     rng = np.random.default_rng(seed)
     live, road, out = np.ones(g.m, bool), np.zeros(g.m, bool), []
+    draws = Draws(g, rng.integers(0, g.n, (samples, 2)), rng) if scorer == "RK" else None
+    exact = Dependencies(g) if scorer == "exact" else None
 
     def take(e: int, s: float) -> None:
         road[e] = True
-        g.reweigh(e, low)
+        state = draws or exact
+        if state:
+            state.lighten(e, low)
+        else:
+            g.reweigh(e, low)
         out.append((int(u[e]), int(v[e]), float(s)))
 
     at = {(int(a), int(b)): i for i, (a, b) in enumerate(zip(u, v, strict=True))}
     for a, b in seeds or []:
         take(at[min(a, b), max(a, b)], float("inf"))
     while len(out) < n - 1:
-        if scorer == "exact":
-            score = sum(g.brandes(int(s))[0] for s in c)
+        if exact:
+            score = np.round(exact.scores(), 9)
+        elif draws:
+            score = draws.scores()
         elif scorer == "cluster_all2":
             score = sum(g.weighted_walks(int(s), nw) for s in c)
-        elif scorer == "RK":
-            score = np.zeros(g.m)
-            for s, t in rng.integers(0, g.n, (samples, 2)):
-                dist = g.dijkstra(int(s))
-                if s != t and np.isfinite(dist[t]):
-                    dag = g.dag(dist)
-                    for _, e in g.random_path(dag, g.counts(*dag, int(s)), int(s), int(t), rng):
-                        score[e] += 1 / samples
         else:
             score = sum(g.walks(int(s), targets)[0] for s in c)
-        if scorer == "exact":
-            score = np.round(score, 9)
         if prune:
             gone = live & ~road & (score == 0)
             if gone.any():

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graftwork.model import KERNEL_EDGES, both_ways
 from graftwork.operators.kernels import Csr
-from graftwork.session import written
+from graftwork.session import read_in_task, write_table, written
 
 
 def sssp_relax(edges: DataFrame, sources: DataFrame, unweighted: bool = False, max_rounds: int = 10_000) -> DataFrame:
@@ -36,31 +36,86 @@ def predecessors(edges: DataFrame, dist: DataFrame) -> DataFrame:
     return a.join(adj, "u").join(dist.select("source", F.col("id").alias("v"), F.col("dist").alias("dv")), ["source", "v"]).where("du + w = dv").select("source", F.col("u").alias("pred"), F.col("v").alias("id"))
 
 
-def bounded_graph(edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The edges as arrays, for a kernel; refuses graphs beyond `KERNEL_EDGES`."""
-    if edges.limit(KERNEL_EDGES + 1).count() > KERNEL_EDGES:
-        raise ValueError(f"more than {KERNEL_EDGES} edges: use the DataFrame relaxation")
-    pdf = edges.select("u", "v", "w").orderBy("u", "v").toPandas()
-    return pdf["u"].to_numpy(), pdf["v"].to_numpy(), pdf["w"].to_numpy()
+class SharedGraph:
+    """A graph of at most `KERNEL_EDGES` edges as a written table that tasks read for themselves; the driver never holds it."""
+
+    def __init__(self, edges: DataFrame) -> None:
+        self.spark, self.path = edges.sparkSession, write_table(edges.select("u", "v", "w"), "graph")
+        self.m = self.spark.read.parquet(self.path).count()
+        if self.m > KERNEL_EDGES:
+            raise ValueError(f"more than {KERNEL_EDGES} edges: use the DataFrame relaxation")
+
+    def in_task(self) -> Callable[[], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """What a task calls to get the arrays u, v, w, sorted by (u, v)."""
+        path = self.path
+
+        def load() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            t = read_in_task(path).sort_by([("u", "ascending"), ("v", "ascending")])
+            return tuple(t.column(c).to_numpy() for c in ("u", "v", "w"))
+
+        return load
+
+
+def one_task(edges: DataFrame, fn: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
+    """The rows of fn(u, v, w), run in one task over a graph of checked size."""
+    graph = SharedGraph(edges)
+    load = graph.in_task()
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield fn(*load())
+
+    return graph.spark.range(1).mapInPandas(run, schema)
+
+
+def _sources_in_tasks(graph: SharedGraph, sources: DataFrame) -> DataFrame:
+    return sources.select("id").distinct().repartition(max(1, graph.spark.sparkContext.defaultParallelism), "id")
+
+
+def _numbers(g: Csr, ids: list[int]) -> list[int]:
+    """The numbers of the sources that the graph has."""
+    at = np.searchsorted(g.ids, ids)
+    return [int(k) for k, s in zip(at, ids, strict=True) if k < g.n and g.ids[k] == s]
 
 
 def per_source(edges: DataFrame, sources: DataFrame, fn: Callable[[Csr, int], pd.DataFrame], schema: str) -> DataFrame:
-    """fn(graph, source number) for each source, in tasks that share one broadcast graph of checked size."""
-    spark = edges.sparkSession
-    arrays = spark.sparkContext.broadcast(bounded_graph(edges))
+    """fn(graph, source number) for each source, in tasks that each read the graph of checked size once."""
+    graph = SharedGraph(edges)
+    load = graph.in_task()
 
     def run(batches):
         g = None
         for pdf in batches:
-            if g is None:
-                g = Csr(*arrays.value)
-            for s in pdf["id"].tolist():
-                k = int(np.searchsorted(g.ids, s))
-                if k < g.n and g.ids[k] == s:
-                    yield fn(g, k)
+            if g is None and len(pdf):
+                g = Csr(*load())
+            for k in _numbers(g, pdf["id"].tolist()) if g else ():
+                yield fn(g, k)
 
-    n = max(1, spark.sparkContext.defaultParallelism)
-    return sources.select("id").distinct().repartition(n, "id").mapInPandas(run, schema)
+    return _sources_in_tasks(graph, sources).mapInPandas(run, schema)
+
+
+def sum_over_sources(edges: DataFrame, sources: DataFrame, fn: Callable[[Csr, int], tuple[np.ndarray | None, np.ndarray | None]]) -> DataFrame:
+    """(kind, u, v, score): the (edge, node) arrays that fn(graph, source number) gives, summed within each task over all its sources and
+    then over tasks. kind 0: an edge; kind 1: u = v = a node."""
+    graph = SharedGraph(edges)
+    load = graph.in_task()
+
+    def run(batches):
+        g = total = None
+        for pdf in batches:
+            if g is None and len(pdf):
+                g = Csr(*load())
+                total = [np.zeros(g.m), np.zeros(g.n)]
+            for k in _numbers(g, pdf["id"].tolist()) if g else ():
+                for t, x in zip(total, fn(g, k), strict=True):
+                    if x is not None:
+                        t += x
+        if g:
+            e, n = (np.flatnonzero(t) for t in total)
+            yield pd.DataFrame({"kind": np.r_[np.zeros(len(e), int), np.ones(len(n), int)], "u": np.r_[g.ids[g.a[e]], g.ids[n]], "v": np.r_[g.ids[g.b[e]], g.ids[n]], "score": np.r_[total[0][e], total[1][n]]})
+
+    return _sources_in_tasks(graph, sources).mapInPandas(run, "kind int, u long, v long, score double").groupBy("kind", "u", "v").agg(F.sum("score").alias("score"))
 
 
 def sssp(edges: DataFrame, sources: DataFrame, unweighted: bool = False) -> DataFrame:
@@ -77,8 +132,13 @@ def sssp(edges: DataFrame, sources: DataFrame, unweighted: bool = False) -> Data
 
 def distance_between(edges: DataFrame, source: int, target: int) -> float:
     """SP-03: stops at the target."""
-    g = Csr(*bounded_graph(edges))
-    return float(g.dijkstra(int(np.searchsorted(g.ids, source)), int(np.searchsorted(g.ids, target)))[np.searchsorted(g.ids, target)])
+
+    def run(u, v, w) -> pd.DataFrame:
+        g = Csr(u, v, w)
+        s, t = (int(np.searchsorted(g.ids, x)) for x in (source, target))
+        return pd.DataFrame({"dist": [float(g.dijkstra(s, t)[t])]})
+
+    return one_task(edges, run, "dist double").first().dist
 
 
 def apsp(edges: DataFrame, unweighted: bool = False) -> DataFrame:
@@ -122,12 +182,12 @@ def tree_append(dist: DataFrame, at: int, new: int, w: float) -> DataFrame:
 
 def random_paths(edges: DataFrame, pairs: DataFrame, seed: int = 42) -> DataFrame:
     """SP-10: (sample, source, target, step, u, v): a shortest path for each (sample, source, target), drawn among all alike."""
-    arrays = edges.sparkSession.sparkContext.broadcast(bounded_graph(edges))
+    load = SharedGraph(edges).in_task()
 
     def run(batches):
         g, memo = None, {}
         for pdf in batches:
-            g = g or Csr(*arrays.value)
+            g = g or Csr(*load())
             out = []
             for k, s, t in pdf.itertuples(index=False):
                 i, j = np.searchsorted(g.ids, (s, t))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graftwork.operators.distance import euclid
-from graftwork.session import written
+from graftwork.session import read_in_task, write_table, written
 
 #: Cells of a cost matrix that one task may hold for the exact plan.
 EXACT_CELLS = 250_000
@@ -118,11 +118,19 @@ def earth_mover(costs: DataFrame, a: DataFrame, b: DataFrame, reg: float = 0.1,
         return sinkhorn(costs, a, b, reg, rounds)
     if costs.limit(EXACT_CELLS + 1).count() > EXACT_CELLS:
         raise ValueError("too many cells for the exact plan: give reg > 0")
-    x, y = a.orderBy("id").toPandas(), b.orderBy("id").toPandas()
-    c = costs.toPandas().pivot(index="i", columns="j", values="cost").loc[x["id"], y["id"]].to_numpy()
-    f = exact_plan(c, x["mass"].to_numpy(), y["mass"].to_numpy())
-    i, j = np.nonzero(f > 0)
-    return costs.sparkSession.createDataFrame(pd.DataFrame({"i": x["id"].to_numpy()[i], "j": y["id"].to_numpy()[j], "flow": f[i, j], "cost": c[i, j]}), "i long, j long, flow double, cost double")
+    tables = [write_table(t.select(*c), "cells") for t, c in ((costs, ("i", "j", "cost")), (a, ("id", "mass")), (b, ("id", "mass")))]
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                c, x, y = (read_in_task(t).to_pandas() for t in tables)
+                x, y = x.sort_values("id"), y.sort_values("id")
+                c = c.pivot(index="i", columns="j", values="cost").loc[x["id"], y["id"]].to_numpy()
+                f = exact_plan(c, x["mass"].to_numpy(), y["mass"].to_numpy())
+                i, j = np.nonzero(f > 0)
+                yield pd.DataFrame({"i": x["id"].to_numpy()[i], "j": y["id"].to_numpy()[j], "flow": f[i, j], "cost": c[i, j]})
+
+    return costs.sparkSession.range(1).mapInPandas(run, "i long, j long, flow double, cost double")
 
 
 def transport_cost(plan: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -12,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graftwork.model import canonical, nodes_of
+from graftwork.model import KERNEL_EDGES, canonical, nodes_of
 from graftwork.operators import kernels as K
 from graftwork.operators.components import connected_components
 from graftwork.operators.graph import components, degrees
-from graftwork.operators.paths import bounded_graph
+from graftwork.operators.paths import SharedGraph, one_task
 from graftwork.session import written
 
 _TREE = "u long, v long, w double"
@@ -48,8 +49,8 @@ def iterated_centrality_tree(edges: DataFrame, scorer: str = "cluster_all", cent
         raise ValueError(f"unknown scorer {scorer}")
     c = np.array(sorted(r.id for r in centers.select("id").distinct().collect()), np.int64) if centers is not None else None  # few by their meaning
     nw = {r.id: float(r.w) for r in node_weights.collect()} if node_weights is not None else None
-    if not groups:
-        bounded_graph(edges)
+    if not groups and edges.limit(KERNEL_EDGES + 1).count() > KERNEL_EDGES:
+        raise ValueError(f"more than {KERNEL_EDGES} edges for one task")
     g = edges.select("u", "v", F.col("w").cast("double").alias("w"), (F.col(groups) if groups else F.lit(0)).cast("long").alias("grp"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -97,41 +98,39 @@ def update_tree(edges: DataFrame, tree: DataFrame, centers: DataFrame, cuts: int
     return iterated_centrality_tree(written(new, "reweighed"), "cluster_all", centers, True)
 
 
+_PICKED = "u long, v long, w double, step long, score double"
+
+
 def _one_task(edges: DataFrame, fn: Callable[[np.ndarray, np.ndarray, np.ndarray], list[tuple]], schema: str = _TREE) -> DataFrame:
-    """fn(u, v, w) -> rows over one graph of checked size."""
-    u, v, w = bounded_graph(edges)
+    """The rows that fn(u, v, w) gives, in one task over a graph of checked size."""
     names = [x.split()[0] for x in schema.split(", ")]
-    return edges.sparkSession.createDataFrame(pd.DataFrame(fn(u, v, np.asarray(w, float)), columns=names), schema)
+    return one_task(edges, lambda u, v, w: pd.DataFrame(fn(u, v, np.asarray(w, float)), columns=names), schema)
 
 
-def exact_tree(edges: DataFrame, per_round: int = 1, keep: str = "original") -> DataFrame:
-    """TR-08, TR-09, TR-11: betweenness each round, greedy picks without cycles, picked edges at least / (n + 1); own weights stay."""
+def exact_tree(edges: DataFrame, per_round: int = 1, scorer: str = "betweenness", dynamic: bool = False, unit: str = "n") -> DataFrame:
+    """TR-08, TR-09, TR-11: (u, v, w, step, score): betweenness (or flow) each round, greedy picks without cycles, picked edges at
+    least / (n + 1) (unit "m": least / (m + 1)); own weights stay. `dynamic` runs only the sources anew that a pick affects."""
+    return _one_task(edges, lambda u, v, w: K.exact_picks(u, v, w, per_round, scorer, dynamic, unit), _PICKED)
 
-    def build(u, v, w):
-        scale = np.rint(w / w.min() * 1_000_000).astype(np.int64)
-        g = K.Csr(u, v, scale * (len(np.unique(np.r_[u, v])) + 1))
-        low, forest, out, done = int(g.w.min()) // (g.n + 1), K.UnionFind(), [], np.zeros(g.m, bool)
-        live = np.ones(g.m, bool)
-        while len(out) < g.n - 1:
-            score = np.round(sum(g.brandes(s)[0] for s in range(g.n)), 9)
-            live &= score > 0
-            at = np.flatnonzero(live & ~done)
-            taken, cyclic = K.greedy_pick(u[at], v[at], w[at], score[at], forest, per_round)
-            if not taken:
-                break
-            done[at[cyclic]] = True
-            for k in at[taken]:
-                done[k] = True
-                g.reweigh(int(k), low)
-                out.append((int(u[k]), int(v[k]), float(w[k])))
-            g.drop(set(np.flatnonzero(~live).tolist()))
-        return out
 
-    return _one_task(edges, build)
+def greedy_forest(edges: DataFrame, scores: DataFrame, most: int, whole_level: bool = False) -> DataFrame:
+    """GP-13: (u, v, w, score, taken): edges by falling score, then rising weight, till `most` are taken; those that would close a
+    cycle on the way come with taken false. In one task over a graph of checked size."""
+    scored = written(edges.join(scores.select("u", "v", "score"), ["u", "v"]).select("u", "v", "w", "score"), "scored")
+    if scored.limit(KERNEL_EDGES + 1).count() > KERNEL_EDGES:
+        raise ValueError(f"more than {KERNEL_EDGES} edges for one task")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        u, v, w, s = (pdf[c].to_numpy() for c in ("u", "v", "w", "score"))
+        taken, cyclic = K.greedy_pick(u, v, w, s, K.UnionFind(), most, whole_level)
+        out = pdf.iloc[[*taken, *cyclic]][["u", "v", "w", "score"]]
+        return out.assign(w=out["w"].astype(float), taken=[True] * len(taken) + [False] * len(cyclic))
+
+    return scored.groupBy().applyInPandas(run, "u long, v long, w double, score double, taken boolean")
 
 
 def merge_tree(edges: DataFrame) -> DataFrame:
-    """TR-10: the best edge's ends merge; between two merged classes the cheapest own edge is taken; parallel edges keep the least."""
+    """TR-10: (u, v, w, step, score): the best edge's ends merge; between two merged classes the cheapest own edge is taken; parallel edges keep the least."""
 
     def build(u, v, w):
         cls, out = {int(x): int(x) for x in np.r_[u, v]}, []
@@ -143,7 +142,7 @@ def merge_tree(edges: DataFrame) -> DataFrame:
             i = int(np.lexsort(([k[1] for k in keys], [k[0] for k in keys], g.w, -score))[0])
             a, b = keys[i]
             c, x, y = cur[keys[i]]
-            out.append((min(x, y), max(x, y), c))
+            out.append((min(x, y), max(x, y), c, len(out), float(score[i])))
             for n in cls:
                 cls[n] = a if cls[n] == b else cls[n]
             new: dict[tuple[int, int], tuple] = {}
@@ -155,16 +154,17 @@ def merge_tree(edges: DataFrame) -> DataFrame:
             cur = new
         return out
 
-    return _one_task(edges, build)
+    return _one_task(edges, build, _PICKED)
 
 
 def approx_tree(edges: DataFrame, eps: float = 0.1, delta: float = 0.1, seed: int = 42, per_round: int = 1, exact_below: int = 150, new_weight: float | None = None, samples: int | None = None) -> DataFrame:
-    """TR-12: drawn paths instead of all, as many in each round as (eps, delta) and the nodes ask for; up to `exact_below` nodes the exact tree."""
+    """TR-12: drawn paths instead of all, as many as (eps, delta) and the nodes ask for, kept from round to round where a pick leaves
+    their ends' distance and number of paths alone (EC-09); up to `exact_below` nodes the exact tree."""
     from graftwork.operators.centrality import sample_size
 
     n = nodes_of(edges).count()
     if n <= exact_below:
-        return exact_tree(edges, per_round)
+        return exact_tree(edges, per_round).select("u", "v", "w")
     samples = samples or sample_size(n, eps, delta)
     return _one_task(edges, lambda u, v, w: [(a, b, float(w[(u == a) & (v == b)][0])) for a, b, _ in K.iterate_tree(u, v, w, None, "RK", False, new_weight, None, None, per_round, seed, samples)])
 
@@ -175,7 +175,7 @@ def centroid_order(dist: DataFrame) -> DataFrame:
 
 
 def centroid_tree(edges: DataFrame, theta: float = 1.0, proportion: float = 1.0) -> DataFrame:
-    """TR-13: nodes join in the order of their mean distances, each at the tree node next to it that is near and central in the
+    """TR-13: (u, v, w, step, score): nodes join in the order of their mean distances (the score), each at the tree node next to it that is near and central in the
     tree: largest exp(-theta w) / mean tree distance; its edge then costs least * proportion in the distances."""
 
     def build(u, v, w):
@@ -196,16 +196,16 @@ def centroid_tree(edges: DataFrame, theta: float = 1.0, proportion: float = 1.0)
             row = td[t] + c
             td = np.block([[td, row[:, None]], [row[None, :], np.zeros((1, 1))]])
             inside.append(x)
-            out.append((int(min(g.ids[a], g.ids[x])), int(max(g.ids[a], g.ids[x])), c))
+            out.append((int(min(g.ids[a], g.ids[x])), int(max(g.ids[a], g.ids[x])), c, len(out), float(d[x].mean())))
             low = w.min() * proportion
             d = np.minimum(d, np.minimum(d[:, [a]] + low + d[[x], :], d[:, [x]] + low + d[[a], :]))
         return out
 
-    return _one_task(edges, build)
+    return _one_task(edges, build, _PICKED)
 
 
 def rsp_tree(edges: DataFrame, theta: float = 15.0) -> DataFrame:
-    """TR-15: randomized shortest-path scores; the best edge that closes no cycle gets cheap, and Z follows by rank-one updates."""
+    """TR-15, GP-14: (u, v, w, step, score): randomized shortest-path scores; the best edge that closes no cycle gets cheap, and Z follows by rank-one updates."""
     from graftwork.operators.centrality import rsp_matrices, rsp_scores
 
     def build(u, v, w):
@@ -225,7 +225,7 @@ def rsp_tree(edges: DataFrame, theta: float = 15.0) -> DataFrame:
                 break
             k = int(at[taken[0]])
             done[k] = True
-            out.append((int(u[k]), int(v[k]), float(w[k])))
+            out.append((int(u[k]), int(v[k]), float(w[k]), len(out), float(score[k])))
             for i, j in ((g.a[k], g.b[k]), (g.b[k], g.a[k])):
                 new = ref[i, j] * math.exp(-theta * low)
                 step = new - wm[i, j]
@@ -233,7 +233,7 @@ def rsp_tree(edges: DataFrame, theta: float = 15.0) -> DataFrame:
                 wm[i, j] = new
         return out
 
-    return _one_task(edges, build)
+    return _one_task(edges, build, _PICKED)
 
 
 def representatives_tree(tree: DataFrame, points: DataFrame, centers: DataFrame) -> DataFrame:
@@ -285,7 +285,7 @@ def contraction_tree(edges: DataFrame, mu: float = 10.0, seed: int = 42) -> Data
 def grow(g: K.Csr, p: np.ndarray, roots: list[int], rng: np.random.Generator) -> list[int]:
     """TR-25: edge numbers of a tree grown from the roots, each step an edge on its border drawn by p."""
     inside = np.zeros(g.n, bool)
-    inside[roots[:1]] = True
+    inside[roots] = True
     out = []
     while True:
         at = np.flatnonzero(inside[g.a] != inside[g.b])
@@ -363,17 +363,17 @@ def local_search(g: K.Csr, tree: list[int], cost: Callable, rounds: int | None =
 def _search(edges: DataFrame, cost: Callable, next_p: Callable, population: int, rounds: int, patience: int, seed: int, local: int) -> DataFrame:
     """Rounds of trees built side by side in tasks (one row a builder), the best kept; next_p makes the next probabilities."""
     spark = edges.sparkSession
-    arrays = bounded_graph(edges)
-    shared = spark.sparkContext.broadcast(arrays)
-    g = K.Csr(*arrays)
-    state, best, still = next_p(g, None, None), None, 0
+    graph = SharedGraph(edges)
+    load = graph.in_task()
+    size = _Size(nodes_of(edges).count(), graph.m, np.array([r.w for r in edges.orderBy("u", "v").select("w").collect()], float))  # edges of a graph of checked size
+    state, best, still = next_p(size, None, None), None, 0
     for r in range(rounds):
         probs = spark.sparkContext.broadcast(state["p"])
 
         def run(batches, r=r, probs=probs):
             graph = None
             for pdf in batches:
-                graph = graph or K.Csr(*shared.value)
+                graph = graph or K.Csr(*load())
                 out = []
                 for i in pdf["id"]:
                     rng = np.random.default_rng([seed, r, i])
@@ -390,9 +390,55 @@ def _search(edges: DataFrame, cost: Callable, next_p: Callable, population: int,
         best = min(best, (got[0].cost, list(got[0].tree))) if best else (got[0].cost, list(got[0].tree))
         if still >= patience:
             break
-        state = next_p(g, state, [(x.cost, list(x.tree)) for x in got])
-    tree = local_search(g, best[1], cost)
-    return spark.createDataFrame([(int(g.ids[g.a[e]]), int(g.ids[g.b[e]]), float(g.w[e])) for e in tree], _TREE)
+        state = next_p(size, state, [(x.cost, list(x.tree)) for x in got])
+    return improved(edges, best[1], cost)
+
+
+class _Size(NamedTuple):
+    """What the probabilities of a search need of its graph: numbers of nodes and edges, and weights by (u, v)."""
+
+    n: int
+    m: int
+    w: np.ndarray
+
+
+def improved(edges: DataFrame, tree: list[int], cost: Callable, rounds: int | None = None) -> DataFrame:
+    """TR-24: (u, v, w) of the tree (edge numbers by (u, v)) after local search, in one task."""
+
+    def build(u, v, w):
+        g = K.Csr(u, v, w)
+        return [(int(u[e]), int(v[e]), float(w[e])) for e in local_search(g, tree, cost, rounds)]
+
+    return _one_task(edges, build)
+
+
+def grown(edges: DataFrame, roots: list[int], trees: int, seed: int = 42) -> DataFrame:
+    """TR-25: (tree, u, v, w) of trees grown from the roots, each step an edge on the border drawn by its weight's share."""
+    load = SharedGraph(edges).in_task()
+
+    def run(batches):
+        g = None
+        for pdf in batches:
+            g = g or K.Csr(*load())
+            at = [int(k) for k in np.searchsorted(g.ids, roots)]
+            p = np.asarray(g.w, float) / float(np.sum(g.w))
+            rows = [(int(i), int(g.ids[g.a[e]]), int(g.ids[g.b[e]]), float(g.w[e])) for i in pdf["id"] for e in grow(g, p, at, np.random.default_rng([seed, int(i)]))]
+            yield pd.DataFrame(rows, columns=["tree", "u", "v", "w"])
+
+    return edges.sparkSession.range(trees).mapInPandas(run, "tree long, u long, v long, w double")
+
+
+def tree_cost(edges: DataFrame, tree: DataFrame, cost: Callable) -> DataFrame:
+    """TR-26: (cost) of a tree of the graph's edges under a cost functional, in one task."""
+    chosen = edges.join(tree.select("u", "v", F.lit(True).alias("in")), ["u", "v"], "left")
+    marks = written(chosen.select("u", "v", "w", F.coalesce("in", F.lit(False)).alias("in")), "marks")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["u", "v"])
+        g = K.Csr(*(pdf[c].to_numpy() for c in ("u", "v", "w")))
+        return pd.DataFrame({"cost": [float(cost(g, np.flatnonzero(pdf["in"].to_numpy()).tolist()))]})
+
+    return marks.groupBy().applyInPandas(run, "cost double")
 
 
 def ant_colony(edges: DataFrame, cost: Callable, ants: int = 200, rounds: int = 200, patience: int = 10, a: float = 1.0, b: float = -2.0, rho: float = 0.1, q: float = 2.0, p_best: float = 0.5, local: int = 4, seed: int = 42) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graftwork import model as M
 from graftwork.operators import centrality as C
+from graftwork.operators import dynamic as DY
 from graftwork.operators import paths as S
 from graftwork.operators import trees as T
 from graftwork.plans.q_graph import KNN, knn_edges, r6
@@ -174,11 +175,22 @@ def ec08_sampled_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _near_exact(C.edge_betweenness(e), C.sampled_edge_betweenness(e, 0.1, 0.1, replace=False), 0.1, 25)
 
 
+@query(f"{LOWER}, {AP} SELECT s AS source, n AS target, d::DOUBLE AS length, 1 AS within FROM ap WHERE s <> n")
+def ec09_sampled_update(spark: SparkSession, d: str) -> DataFrame:
+    """After the change every sample's path is a shortest one, and shares are near the exact ones; enough samples to hold all pairs."""
+    m = DY.DynApproxBetweenness(kept(spark, d), samples=20_000)
+    m.update(3, 17, 100)
+    pairs = m.samples.select("sample", "source", "target", F.explode("path").alias("e")).select("sample", "source", "target", "e.u", "e.v").join(m.edges, ["u", "v"])
+    lengths = pairs.groupBy("sample", "source", "target").agg(F.sum("w").cast("double").alias("length")).select("source", "target", "length").distinct()
+    near = _near_exact(C.edge_betweenness(m.edges), m.edge_scores(), 0.02, 25).select("within")
+    return lengths.crossJoin(F.broadcast(near))  # one row
+
+
 @query(EB.replace(G, LOWER) + " SELECT u, v, round(score, 6) AS score FROM eb")
 def ec10_betweenness_after_decrease(spark: SparkSession, d: str) -> DataFrame:
-    e = kept(spark, d)
-    lower = e.withColumn("w", F.when((F.col("u") == 3) & (F.col("v") == 17), F.lit(100)).otherwise(F.col("w")).cast("long"))
-    return r6(C.edge_betweenness(lower), "score")
+    m = DY.DynBetweenness(kept(spark, d))
+    m.update(3, 17, 100)
+    return r6(m.edge_scores(), "score")
 
 
 MST = f"""{G}, rk AS (SELECT u, v, w, row_number() OVER (ORDER BY w, u, v) AS k FROM nation_edges), ra AS (SELECT u, v, k FROM rk UNION ALL SELECT v, u, k FROM rk),
@@ -219,6 +231,19 @@ def ec16_rsp(spark: SparkSession, d: str) -> DataFrame:
     return r6(C.rsp_edge_betweenness(kept(spark, d)), "score")
 
 
+@query(MST.replace(G, f"{EB.replace('eb AS (SELECT e.u, e.v,', 'eb AS (SELECT e.u, e.v, e.w,')}").replace("row_number() OVER (ORDER BY w, u, v) AS k FROM nation_edges", "row_number() OVER (ORDER BY round(score, 6) DESC, w, u, v) AS k, round(score, 6) AS score FROM eb").replace("SELECT rk.u, rk.v, rk.w FROM", "SELECT rk.u, rk.v, rk.w, rk.k FROM") + " SELECT rk.u, rk.v, rk.w::DOUBLE AS w, rk.score, (mst.u IS NOT NULL) AS taken FROM rk LEFT JOIN mst USING (u, v) WHERE rk.k <= (SELECT max(k) FROM mst)")
+def gp13_greedy_pick(spark: SparkSession, d: str) -> DataFrame:
+    e = kept(spark, d)
+    return T.greedy_forest(e, r6(C.edge_betweenness(e), "score"), 24)
+
+
+@query()
+def gp14_greedy_pick_rsp(spark: SparkSession, d: str) -> DataFrame:
+    """Held against a brute force in the tests."""
+    e = kept(spark, d)
+    return T.greedy_forest(e, C.rsp_edge_betweenness(e, 1.0).withColumn("score", F.round("score", 9)), 24)
+
+
 # ---- 2.12 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -258,6 +283,32 @@ def cn09_kadabra(spark: SparkSession, d: str) -> DataFrame:
     return C.kadabra(kept(spark, d), 1, 0.03)[0].select("id")
 
 
+CHANGED = G.replace("nation_edges AS (SELECT u, v, floor(1000000.0/n + 0.5)::BIGINT AS w", "all_edges AS (SELECT u, v, CASE WHEN u = 3 AND v = 17 THEN 100 WHEN u = 2 AND v = 9 THEN 30000 ELSE floor(1000000.0/n + 0.5)::BIGINT END AS w").replace(", adj AS", ", nation_edges AS (SELECT * FROM all_edges WHERE NOT (u = 0 AND v = 9)), adj AS", 1)
+#: One edge lighter, one heavier, one away.
+CHANGES = [(3, 17, 100), (9, 2, 30000), (0, 9, None)]
+
+
+@query(f"{NB.replace(G, CHANGED)} SELECT n.id, round(coalesce(score, 0) / 2, 6) AS score FROM nodes n LEFT JOIN nb USING (id)")
+def cn10_dyn_betweenness(spark: SparkSession, d: str) -> DataFrame:
+    m = DY.DynBetweenness(kept(spark, d))
+    m.update_batch(CHANGES)
+    return r6(m.nodes(), "score")
+
+
+@query("SELECT 25::BIGINT AS n, 1 AS within")
+def cn11_dyn_approx_betweenness(spark: SparkSession, d: str) -> DataFrame:
+    m = DY.DynApproxBetweenness(kept(spark, d), 0.05, 0.1)
+    m.update_batch(CHANGES)
+    return _within(_shares(spark, m.edges), m.nodes(), 0.05)
+
+
+@query(f"{NB.replace(G, CHANGED)} SELECT n.id, round(coalesce(score, 0) / 2, 6) AS score FROM nodes n LEFT JOIN nb USING (id) WHERE n.id = 9")
+def cn12_dyn_one_node(spark: SparkSession, d: str) -> DataFrame:
+    m = DY.DynBetweennessOneNode(kept(spark, d), 9)
+    m.update_batch(CHANGES)
+    return r6(m.score(), "score")
+
+
 @query(f"{GA}, f AS (SELECT s AS id, sum(d) AS far, count(*) AS r FROM ap GROUP BY s) SELECT id, round((r - 1) / far, 9) AS score FROM f")
 def cn13_closeness(spark: SparkSession, d: str) -> DataFrame:
     return C.closeness(kept(spark, d)).withColumn("score", F.round("score", 9))
@@ -291,6 +342,14 @@ def cn18_top_harmonic(spark: SparkSession, d: str) -> DataFrame:
     return r6(C.Scores(C.harmonic(knn_edges(spark, d), False, True).withColumn("score", F.round("score", 9))).top(5), "score")
 
 
+@query(f"{KG.replace('SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges', 'SELECT u, v FROM edges UNION SELECT v, u FROM edges UNION SELECT * FROM (VALUES (0, 250), (250, 0), (0, 400), (400, 0))')}, {HOPS}, c AS (SELECT s AS id, sum(CASE WHEN d > 0 THEN 1.0 / d ELSE 0 END) AS score FROM hp GROUP BY s) SELECT id, round(score, 6) AS score FROM c ORDER BY round(c.score, 9) DESC, id LIMIT 5")
+def cn19_dyn_top_harmonic(spark: SparkSession, d: str) -> DataFrame:
+    m = DY.DynTopHarmonicCloseness(knn_edges(spark, d), 5)
+    m.update(0, 250, 1.0)
+    m.update(400, 0, 1.0)
+    return r6(m.top(), "score")
+
+
 @query(f"{KG}, p AS (SELECT id, label FROM points) SELECT a.u AS id, round(avg((x.label = y.label)::INT), 6) AS score FROM adj a JOIN p x ON x.id = a.u JOIN p y ON y.id = a.v GROUP BY 1")
 def cn20_partition_coverage(spark: SparkSession, d: str) -> DataFrame:
     return r6(C.partition_coverage(knn_edges(spark, d), M.points(spark, d).select("id", F.col("label").alias("part"))), "score")

@@ -14,8 +14,9 @@ from graftwork.operators import graph as GR
 from graftwork.operators import patch as PA
 from graftwork.operators import transport as OT
 from graftwork.operators import trees as T
+from graftwork.plans import tree_sql as Q
 from graftwork.plans.q_graph import KNN, knn_edges, r6
-from graftwork.plans.q_paths import GA, MST, centers, kept
+from graftwork.plans.q_paths import GA, MST, SIDES, centers, kept
 from graftwork.session import load, scratch_path, written
 from graftwork.streaming import graph_events as ST
 
@@ -56,21 +57,24 @@ def some_centers(spark: SparkSession) -> DataFrame:
 # ---- 2.7 -----------------------------------------------------------------------------------------------------------------
 
 
-@query(TREE25)
+def picks(tree: DataFrame) -> DataFrame:
+    """The picked edges with round and score, as the SQL of `tree_sql` gives them."""
+    return tree.select("u", "v", F.col("step").cast("long").alias("step"), F.round(F.col("score").cast("double"), 6).alias("score"))
+
+
+@query(Q.tree(Q.iterated("a", "SELECT u, v, w FROM nation_edges", "cluster_all")))
 def tr01_ict_cluster_all(spark: SparkSession, d: str) -> DataFrame:
-    return shape(T.iterated_centrality_tree(kept(spark, d), "cluster_all", centers(spark), True))
+    return picks(T.iterated_centrality_tree(kept(spark, d), "cluster_all", centers(spark), True))
 
 
-@query(TREE25)
+@query(Q.tree(Q.iterated("a", "SELECT u, v, w FROM nation_edges", "exact")))
 def tr01_ict_exact(spark: SparkSession, d: str) -> DataFrame:
-    return shape(T.iterated_centrality_tree(kept(spark, d), "exact", None, True))
+    return picks(T.iterated_centrality_tree(kept(spark, d), "exact", None, True))
 
 
-@query("SELECT 1 AS connects")
+@query(Q.tree(Q.iterated("a", "SELECT u, v, w FROM nation_edges", "cluster")))
 def tr03_ict_cluster(spark: SparkSession, d: str) -> DataFrame:
-    t = written(T.iterated_centrality_tree(kept(spark, d), "cluster", centers(spark), True), "steiner")
-    c = GR.connected_components(t).join(centers(spark), "id").agg((F.countDistinct("component") == 1).cast("int").alias("connects"))
-    return c
+    return picks(T.iterated_centrality_tree(kept(spark, d), "cluster", centers(spark), True))
 
 
 @query(f"{GA}, b AS (SELECT e.u, e.v, sum(x.c * y.c * 1.0 / z.c) AS score FROM adj e JOIN sg x ON x.n = e.u JOIN ap dx ON dx.s = x.s AND dx.n = x.n JOIN sg y ON y.s = e.v JOIN ap dy ON dy.s = y.s AND dy.n = y.n JOIN ap dz ON dz.s = x.s AND dz.n = y.n JOIN sg z ON z.s = x.s AND z.n = y.n WHERE dx.d + e.w + dy.d = dz.d AND x.s <> y.n GROUP BY 1, 2) SELECT least(u, v) AS u, greatest(u, v) AS v FROM b JOIN adj USING (u, v) GROUP BY 1, 2 ORDER BY sum(score) DESC, min(w), 1, 2 LIMIT 1")
@@ -97,21 +101,32 @@ def tr06_tree_of(spark: SparkSession, d: str) -> DataFrame:
     return T.tree_of(T.minimum_spanning_tree(kept(spark, d)), 0.5)
 
 
-@query(TREE25)
+@query(Q.updated(3, 100))
 def tr07_update_tree(spark: SparkSession, d: str) -> DataFrame:
     e = kept(spark, d)
     t = written(T.iterated_centrality_tree(e, "cluster_all", centers(spark), True), "ict")
-    return shape(T.update_tree(e, t, centers(spark), cuts=3))
+    return picks(T.update_tree(e, t, centers(spark), cuts=3))
 
 
-@query(TREE25)
+@query(Q.tree(Q.greedy("a", Q.NODES + 1)))
 def tr08_exact_tree(spark: SparkSession, d: str) -> DataFrame:
-    return shape(T.exact_tree(kept(spark, d)))
+    return picks(T.exact_tree(kept(spark, d)))
 
 
-@query(TREE25)
+@query()
+def tr09_flow_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Held against a brute force in the tests: SQL has no inverse."""
+    return picks(T.exact_tree(kept(spark, d), scorer="flow", unit="m"))
+
+
+@query(Q.tree(Q.merging("a")))
 def tr10_merge_tree(spark: SparkSession, d: str) -> DataFrame:
-    return shape(T.merge_tree(kept(spark, d)))
+    return picks(T.merge_tree(kept(spark, d)))
+
+
+@query(Q.tree(Q.greedy("a", Q.NODES * (Q.NODES - 1) // 2 + 1)))
+def tr11_dynamic_exact_tree(spark: SparkSession, d: str) -> DataFrame:
+    return picks(T.exact_tree(kept(spark, d), dynamic=True, unit="m"))
 
 
 @query(TREE25)
@@ -119,9 +134,9 @@ def tr12_approx_tree(spark: SparkSession, d: str) -> DataFrame:
     return shape(T.approx_tree(kept(spark, d), exact_below=10))
 
 
-@query(TREE25)
+@query(Q.tree(Q.centroid("a", 0.0005)))
 def tr13_centroid_tree(spark: SparkSession, d: str) -> DataFrame:
-    return shape(T.centroid_tree(kept(spark, d)))
+    return picks(T.centroid_tree(kept(spark, d), 0.0005))
 
 
 @query(f"{GA} SELECT s AS id, round(avg(d), 6) AS far FROM ap GROUP BY s")
@@ -177,6 +192,31 @@ def tr23_genetic(spark: SparkSession, d: str) -> DataFrame:
     return shape(T.genetic_search(kept(spark, d), T.centrality_cost(0.5)))
 
 
+@query(f"{MST} SELECT u, v, w::DOUBLE AS w FROM mst")
+def tr24_local_search(spark: SparkSession, d: str) -> DataFrame:
+    """Under total weight the only tree that no swap helps is the least one, wherever the search begins."""
+    e = kept(spark, d)
+    star = [i for i, r in enumerate(e.orderBy("u", "v").select("u").collect()) if r.u == 0]  # 25 nodes
+    return T.improved(e, star, T.centrality_cost(0.0))
+
+
+@query("SELECT i AS tree, 24::BIGINT AS n_edges, 25::BIGINT AS n_nodes FROM range(8) t(i)")
+def tr25_grown_trees(spark: SparkSession, d: str) -> DataFrame:
+    t = written(T.grown(kept(spark, d), [0], 8), "grown")
+    n = t.select("tree", F.explode(F.array("u", "v")).alias("id")).groupBy("tree").agg(F.countDistinct("id").alias("n_nodes"))
+    return t.groupBy("tree").agg(F.count("*").alias("n_edges")).join(n, "tree")
+
+
+@query(f"""{MST}, ta AS (SELECT u, v, w FROM mst UNION ALL SELECT v, u, w FROM mst),
+far AS (WITH RECURSIVE r(a, b, w, n, f) AS (SELECT u, v, w, v, u FROM ta UNION ALL SELECT r.a, r.b, r.w, t.v, r.n FROM r JOIN ta t ON t.u = r.n WHERE t.v <> r.f) SELECT a, b, any_value(w) AS w, count(*) AS n, bool_or(n = 0) AS root FROM r GROUP BY ALL)
+SELECT round(sum(w * sqrt(n)) FILTER (NOT root), 4) AS steiner, round(sum(w * sqrt(n * (25 - n))) FILTER (NOT root), 4) AS central FROM far""")
+def tr26_tree_costs(spark: SparkSession, d: str) -> DataFrame:
+    e = kept(spark, d)
+    t = written(T.minimum_spanning_tree(e), "mst")
+    a = T.tree_cost(e, t, T.gilbert_steiner(0, 0.5)).select(F.round("cost", 4).alias("steiner"))
+    return a.crossJoin(T.tree_cost(e, t, T.centrality_cost(0.5)).select(F.round("cost", 4).alias("central")))  # one row each
+
+
 # ---- 2.8 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -296,18 +336,22 @@ def rw02_clusters(spark: SparkSession, d: str) -> DataFrame:
 def rw03_endpoints(spark: SparkSession, d: str) -> DataFrame:
     p, e = plane_knn(spark, d)
     t = written(T.minimum_spanning_tree(e), "mst")
-    spine = spark.createDataFrame([(int(x),) for x in PA.backbone(t)[0]], "id long")
+    spine = PA.backbone(t).where("path = 0").select("id")
     w = PA.endpoint_weights(t, p, p.select("id", F.lit(1.0).alias("w")), spine)
     return w.agg(F.count("*").alias("n"), (F.max("w") > 1).alias("grew"))
 
 
-@query("SELECT 1 AS is_path")
+BACKBONE = f"""{SIDES}, sc AS (SELECT a AS u, b AS v, far * (25 - far) AS s FROM sd),
+top AS (SELECT u, v FROM sc WHERE u < v ORDER BY s DESC, u, v LIMIT 1),
+wk AS (WITH RECURSIVE r(way, k, x, f) AS (SELECT 0, 0, u, v FROM top UNION ALL SELECT 1, 0, v, u FROM top UNION ALL
+  SELECT way, k + 1, y, x FROM (SELECT r.way, r.k, r.x, sc.v AS y, row_number() OVER (PARTITION BY r.way, r.k ORDER BY sc.s DESC, sc.v) AS i FROM r JOIN sc ON sc.u = r.x AND sc.v <> r.f) WHERE i = 1) SELECT way, k, x FROM r)
+SELECT row_number() OVER (ORDER BY CASE WHEN way = 0 THEN -k - 1 ELSE k END) - 1 AS place, x AS id FROM wk"""
+
+
+@query(BACKBONE)
 def bb01_backbone(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbours on the backbone are joined by tree edges."""
     t = written(T.minimum_spanning_tree(kept(spark, d)), "mst")
-    b = PA.backbone(t)[0]
-    steps = spark.createDataFrame([(min(x, y), max(x, y)) for x, y in zip(b, b[1:], strict=False)], "u long, v long")
-    return steps.join(t, ["u", "v"], "left").agg(F.min(F.col("w").isNotNull().cast("int")).alias("is_path"))
+    return PA.backbone(t).where("path = 0").select("place", "id")
 
 
 @query("SELECT true AS apart")

@@ -36,12 +36,27 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def write_table(df: DataFrame, name: str = "t") -> str:
+    """The folder of a Parquet table of the rows in the shared folder."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
 def written(df: DataFrame, name: str = "t") -> DataFrame:
     """The rows as a written Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
+
+
+def read_in_task(path: str):
+    """A written table as an Arrow table, read by the task that asks: for tables of checked size."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    files = sorted(f.path for f in store.get_file_info(fs.FileSelector(place)) if f.base_name.startswith("part-"))
+    return pa.concat_tables([pq.read_table(f, filesystem=store) for f in files])
 
 
 @atexit.register
