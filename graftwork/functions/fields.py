@@ -118,19 +118,19 @@ def wrap(x: Column, v: Column, t: Column | float, size: float) -> Column:
     return F.pmod(x + v * t, F.lit(float(size)))
 
 
-def langevin(points: DataFrame, step: float = 0.01, sigmas: tuple[float, ...] = (1.0, 4.0), seed: int = 42, tick: int = 0) -> DataFrame:
-    """DY-02: one step of each point towards the origin with Gaussian noise."""
+def langevin(points: DataFrame, step: float = 0.01, sigmas: tuple[float, ...] = (1.0, 4.0), seed: int = 42, tick: int | Column = 0) -> DataFrame:
+    """DY-02: one step of each point towards the origin with Gaussian noise, drawn by seed, tick and id."""
     from graftwork.sources.generators import normal
 
     pos = F.array(*(F.col("pos")[i] * (1 - step / s) + math.sqrt(2 * step) * normal(F.col("id"), seed + tick, 10 * i) for i, s in enumerate(sigmas)))
     return points.withColumn("pos", pos)
 
 
-def move(points: DataFrame, kind: str = "uniform", t: float = 1.0, seed: int = 42, speed: float = 0.1) -> DataFrame:
+def move(points: DataFrame, kind: str = "uniform", t: float | Column = 1.0, seed: int = 42, speed: float = 0.1) -> DataFrame:
     """DY-03: Gaussian clouds take a Langevin step; uniform ones move in a seeded direction and bounce in [0, 4] x [0, 1]."""
     from graftwork.sources.generators import uniform
 
     if kind.startswith("gauss"):
-        return langevin(points, seed=seed, tick=int(t))
+        return langevin(points, seed=seed, tick=F.floor(t).cast("int") if isinstance(t, Column) else int(t))
     a = 2 * math.pi * uniform(F.col("id"), seed, 1)
     return points.withColumn("pos", F.array(bounce(F.col("pos")[0], speed * F.cos(a), t, 4.0), bounce(F.col("pos")[1], speed * F.sin(a), t, 1.0)))

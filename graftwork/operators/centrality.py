@@ -17,7 +17,7 @@ from graftwork.model import KERNEL_EDGES, both_ways, nodes_of
 from graftwork.operators.graph import degrees
 from graftwork.operators.kernels import Csr
 from graftwork.operators.paths import SharedGraph, one_task, sssp, sum_over_sources
-from graftwork.session import written
+from graftwork.session import Rounds, written
 
 #: Nodes of graphs whose dense inverse one task may hold.
 DENSE_NODES = 5000
@@ -528,10 +528,11 @@ def core_numbers(edges: DataFrame) -> DataFrame:
 
 def _iterate(nodes: DataFrame, adj: DataFrame, start, step, tolerance: float, max_rounds: int, norm) -> tuple[DataFrame, int]:
     """x -> step(sums of neighbours' x), till the norm of the change is at most the tolerance."""
-    x = written(nodes.withColumn("x", start), "x")
+    keep = Rounds(nodes.sparkSession)
+    x = keep.written(nodes.withColumn("x", start), "x")
     for k in range(1, max_rounds + 1):
         s = adj.join(x.select(F.col("id").alias("v"), F.col("x").alias("xv")), "v").groupBy(F.col("u").alias("id")).agg(F.sum(F.col("xv") * F.col("w")).alias("s"))
-        y = written(step(x.join(s, "id", "left").fillna(0.0, ["s"])).select(*nodes.columns, "x", F.abs(F.col("x") - F.col("old")).alias("d")), "x")
+        y = keep.written(step(x.join(s, "id", "left").fillna(0.0, ["s"])).select(*nodes.columns, "x", F.abs(F.col("x") - F.col("old")).alias("d")), "x")
         change = y.agg(norm("d").alias("d")).first().d or 0.0
         x = y.drop("d")
         if change <= tolerance:

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graftwork.session import written
+from graftwork.session import Rounds
 
 
 #: Edges that one task handles; the number of tasks follows the edges.
@@ -50,19 +50,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     and loops are ignored; nodes without an edge don't appear.
     """
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(_forest, "u long, v long").distinct(), "edges")
+    keep = Rounds(edges.sparkSession)
+    e = keep.written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(_forest, "u long, v long").distinct(), "edges")
     parts = max(4, -(-e.count() // EDGES_A_TASK))
     # every node points at its smallest neighbour or itself
-    labels = written(e.union(e.select("v", "u")).groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("component")).coalesce(parts), "labels")
+    labels = keep.written(e.union(e.select("v", "u")).groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("component")).coalesce(parts), "labels")
     for _ in range(max_rounds):
         a, b = labels.select(F.col("id").alias("u"), F.col("component").alias("cu")), labels.select(F.col("id").alias("v"), F.col("component").alias("cv"))
         # contract: edges between labels; those within one label are done
-        e = written(e.join(a, "u").join(b, "v").where("cu <> cv").select(F.greatest("cu", "cv").alias("u"), F.least("cu", "cv").alias("v")).distinct().coalesce(parts), "edges")
+        e = keep.written(e.join(a, "u").join(b, "v").where("cu <> cv").select(F.greatest("cu", "cv").alias("u"), F.least("cu", "cv").alias("v")).distinct().coalesce(parts), "edges")
         hook = e.groupBy("u").agg(F.min("v").alias("to"))
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("next"))
         step = labels.join(jump, "component", "left").select("id", F.coalesce("next", "component").alias("component"), (F.col("next") != F.col("component")).alias("moved"))
         step = step.join(hook, step.component == hook.u, "left").select("id", F.coalesce("to", "component").alias("component"), (F.coalesce("moved", F.lit(False)) | F.col("to").isNotNull()).alias("moved"))
-        step = written(step.coalesce(parts), "labels")
+        step = keep.written(step.coalesce(parts), "labels")
         labels = step.select("id", "component")
         if step.where("moved").isEmpty():
             return labels

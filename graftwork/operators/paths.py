@@ -11,21 +11,22 @@ from pyspark.sql import functions as F
 
 from graftwork.model import KERNEL_EDGES, both_ways
 from graftwork.operators.kernels import Csr
-from graftwork.session import read_in_task, write_table, written
+from graftwork.session import Rounds, read_in_task, write_table, written
 
 
 def sssp_relax(edges: DataFrame, sources: DataFrame, unweighted: bool = False, max_rounds: int = 10_000) -> DataFrame:
     """(source, id, dist): every round relaxes the edges of the nodes whose distance fell, all sources at once; no size bound."""
     adj = written(both_ways(edges).select("u", "v", F.lit(1).alias("w") if unweighted else "w"), "adj")
     kind = adj.schema["w"].dataType
-    dist = written(sources.select(F.col("id").alias("source"), "id", F.lit(0).cast(kind).alias("dist")), "dist")
-    front = dist
+    keep = Rounds(edges.sparkSession)
+    dist = keep.written(sources.select(F.col("id").alias("source"), "id", F.lit(0).cast(kind).alias("dist")), "dist")
+    front = keep.written(dist, "front")
     for _ in range(max_rounds):
         step = front.join(adj, front["id"] == adj["u"]).groupBy("source", F.col("v").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
-        front = written(step.join(dist, ["source", "id"], "left").where("dist is null or new < dist").select("source", "id", F.col("new").alias("dist")), "front")
+        front = keep.written(step.join(dist, ["source", "id"], "left").where("dist is null or new < dist").select("source", "id", F.col("new").alias("dist")), "front")
         if front.isEmpty():
             return dist
-        dist = written(dist.unionAll(front).groupBy("source", "id").agg(F.min("dist").alias("dist")), "dist")
+        dist = keep.written(dist.unionAll(front).groupBy("source", "id").agg(F.min("dist").alias("dist")), "dist")
     raise RuntimeError("distances did not settle")
 
 

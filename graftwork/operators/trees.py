@@ -18,7 +18,7 @@ from graftwork.operators import kernels as K
 from graftwork.operators.components import connected_components
 from graftwork.operators.graph import components, degrees
 from graftwork.operators.paths import SharedGraph, one_task
-from graftwork.session import written
+from graftwork.session import Rounds, written
 
 _TREE = "u long, v long, w double"
 
@@ -28,14 +28,15 @@ def minimum_spanning_tree(edges: DataFrame, largest: bool = False) -> DataFrame:
     e = written(canonical(edges, "max" if largest else "min"), "edges")
     key = F.struct((-F.col("w") if largest else F.col("w")).alias("k"), "u", "v", "w")
     nodes = written(nodes_of(e), "nodes")
+    keep = Rounds(edges.sparkSession)
     label = nodes.select("id", F.col("id").alias("component"))
     live, tree = e.select("u", "v", "w", F.col("u").alias("cu"), F.col("v").alias("cv")), None
     while not live.isEmpty():
         best = live.select(F.explode(F.array("cu", "cv")).alias("c"), key.alias("key")).groupBy("c").agg(F.min("key").alias("b")).select("b.u", "b.v", "b.w").distinct()
-        tree = written(best if tree is None else tree.unionByName(best), "tree")
-        label = written(components(tree, nodes), "label")
+        tree = keep.written(best if tree is None else tree.unionByName(best), "tree")
+        label = keep.written(components(tree, nodes), "label")
         a, b = label.select(F.col("id").alias("u"), F.col("component").alias("cu")), label.select(F.col("id").alias("v"), F.col("component").alias("cv"))
-        live = written(live.select("u", "v", "w").join(a, "u").join(b, "v").where("cu <> cv").select("u", "v", "w", "cu", "cv"), "live")
+        live = keep.written(live.select("u", "v", "w").join(a, "u").join(b, "v").where("cu <> cv").select("u", "v", "w", "cu", "cv"), "live")
     return tree if tree is not None else e
 
 

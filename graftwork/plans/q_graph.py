@@ -200,6 +200,14 @@ def src14_default_points(spark: SparkSession, d: str) -> DataFrame:
     return p.agg(F.count("*").alias("n"), F.min(F.col("pos")[0].between(0, 4) & F.col("pos")[1].between(0, 1)).alias("inside"))
 
 
+@query(f"WITH {KNN} SELECT 'knn' AS mode, u, v, round(w, 6) AS w FROM knn WHERE u < v AND rank <= 10 UNION ALL SELECT 'complete', a.id, b.id, round(list_distance(a.pos, b.pos), 6) FROM points a, points b WHERE a.id < b.id")
+def src18_create_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Graphs by the names of their modes, over whole vectors."""
+    p = M.points(spark, d)
+    modes = [C.create_graph(p, m, k=10).select(F.lit(m).alias("mode"), "u", "v", "w") for m in ("knn", "complete")]
+    return r6(modes[0].unionByName(modes[1]), "w")
+
+
 # ---- 2.2 sinks ---------------------------------------------------------------------------------------------------
 
 
@@ -275,7 +283,9 @@ def gc08_delaunay(spark: SparkSession, d: str) -> DataFrame:
     return r6(C.delaunay(M.plane_points(spark, d)), "w")
 
 
-@query("SELECT 11::BIGINT AS k")
+@query(f"""WITH RECURSIVE {P}, knn AS (SELECT a.id AS u, b.id AS v, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.pos, b.pos), b.id) AS rank FROM points a JOIN points b ON a.id <> b.id QUALIFY rank <= 16),
+both_ AS (SELECT u, v, rank FROM knn UNION ALL SELECT v, u, rank FROM knn), r(k, n) AS (SELECT k, (SELECT min(id) FROM points) FROM range(8, 17) t(k) UNION SELECT r.k, e.v FROM r JOIN both_ e ON e.u = r.n AND e.rank <= r.k),
+least_ AS (SELECT min(k) AS k FROM (SELECT k FROM r GROUP BY k HAVING count(*) = (SELECT count(*) FROM points))) SELECT floor(1.33 * k)::BIGINT + 1 AS k FROM least_""")
 def gc09_smallest_k(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(1).select(F.lit(C.smallest_connecting_k(M.points(spark, d))).cast("long").alias("k"))
 

@@ -117,6 +117,22 @@ def sp10_random_path_lengths(spark: SparkSession, d: str) -> DataFrame:
     return S.random_paths(e, pairs).join(e, ["u", "v"]).groupBy("source", "target").agg(F.sum("w").cast("double").alias("length"))
 
 
+#: The neighbour graph of all embeddings, which grows with the data: adjacency, distances from the three centers, shortest-path graph.
+KW = f"""WITH RECURSIVE {KNN}, adj AS (SELECT u, v, w FROM edges UNION ALL SELECT v, u, w FROM edges),
+ap AS (WITH RECURSIVE r(s, n, d) USING KEY (s, n) AS (SELECT id, id, 0.0::DOUBLE FROM points WHERE id IN (0, 7, 13) UNION SELECT x.s, e.v, min(x.d + e.w) FROM r x JOIN adj e ON e.u = x.n
+  LEFT JOIN recurring.r q ON q.s = x.s AND q.n = e.v WHERE q.d IS NULL OR x.d + e.w < q.d GROUP BY 1, 2) SELECT s, n, d FROM r)"""
+
+
+@query(f"{KW} SELECT s AS source, n AS id, round(d, 6) AS dist FROM ap")
+def sp01_knn_sssp(spark: SparkSession, d: str) -> DataFrame:
+    return r6(S.sssp(knn_edges(spark, d), centers(spark)).select("source", "id", "dist"), "dist")
+
+
+@query(f"{KW} SELECT s AS source, n AS id, round(d, 6) AS dist FROM ap")
+def sp02_knn_relax(spark: SparkSession, d: str) -> DataFrame:
+    return r6(S.sssp_relax(knn_edges(spark, d), centers(spark)), "dist")
+
+
 # ---- 2.6 -----------------------------------------------------------------------------------------------------------------
 
 EB = f"""{GA}, b AS (SELECT e.u, e.v, sum(x.c * y.c * 1.0 / z.c) AS score FROM adj e JOIN sg x ON x.n = e.u JOIN ap dx ON dx.s = x.s AND dx.n = x.n JOIN sg y ON y.s = e.v JOIN ap dy ON dy.s = y.s AND dy.n = y.n
@@ -151,6 +167,13 @@ def ec05_cluster_nodes(spark: SparkSession, d: str) -> DataFrame:
     return C.cluster_to_all_nodes(kept(spark, d), centers(spark))
 
 
+@query(f"""{KW}, dag AS (SELECT a.s, e.u AS p, e.v AS x FROM ap a JOIN adj e ON e.u = a.n JOIN ap b ON b.s = a.s AND b.n = e.v WHERE abs(a.d + e.w - b.d) < 1e-9),
+k AS (WITH RECURSIVE k(s, x, p) AS (SELECT s, x, p FROM dag UNION ALL SELECT k.s, d.x, d.p FROM k JOIN dag d ON d.s = k.s AND d.x = k.p) SELECT least(x, p) AS u, greatest(x, p) AS v, count(*)::DOUBLE AS score FROM k GROUP BY 1, 2)
+SELECT e.u, e.v, coalesce(score, 0.0) AS score FROM edges e LEFT JOIN k USING (u, v)""")
+def ec03_knn_cluster_all(spark: SparkSession, d: str) -> DataFrame:
+    return C.cluster_to_all(knn_edges(spark, d), centers(spark))
+
+
 def _near_exact(exact: DataFrame, drawn: DataFrame, eps: float, n: int) -> DataFrame:
     """Whether all shares of drawn paths are within eps of exact shares of ordered pairs."""
     j = exact.select("u", "v", (F.col("score") / (n * n)).alias("x")).join(drawn.select("u", "v", F.col("score").alias("y")), ["u", "v"])

@@ -161,6 +161,18 @@ def tr17_maximum_spanning_tree(spark: SparkSession, d: str) -> DataFrame:
     return T.minimum_spanning_tree(kept(spark, d), largest=True)
 
 
+@query(f"""WITH {M.PART_SQL}, n AS (SELECT u AS id FROM part_edges UNION SELECT v FROM part_edges),
+best AS (SELECT id, min(w) AS w FROM (SELECT u AS id, w FROM part_edges UNION ALL SELECT v, w FROM part_edges) GROUP BY id)
+SELECT (SELECT count(*) FROM n) AS n_nodes, (SELECT count(*) FROM n) - 1 AS n_edges, 1::BIGINT AS n_components, (SELECT count(*) FROM best) AS holds_least""")
+def tr16_parts_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The tree of the graph of parts and suppliers, which grows with the data; every node's least weight is on an edge of it."""
+    e = written(M.part_supplier_edges(spark, d), "parts")
+    t = written(T.minimum_spanning_tree(e), "mst")
+    least = M.both_ways(e).groupBy("u").agg(F.min("w").alias("w"))
+    held = M.both_ways(t).groupBy("u").agg(F.min("w").alias("w")).join(least, ["u", "w"]).agg(F.count("*").alias("holds_least"))
+    return shape(t).crossJoin(held)  # one row each
+
+
 @query("SELECT 2::BIGINT AS n_edges, 3::BIGINT AS n_nodes, 1::BIGINT AS n_components")
 def tr18_representatives(spark: SparkSession, d: str) -> DataFrame:
     p, e = plane_knn(spark, d)

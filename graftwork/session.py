@@ -16,9 +16,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one, in local mode alone."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = f"file://{tempfile.mkdtemp(prefix='graftwork-')}"
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d) if not spark.sparkContext.getCheckpointDir() else None
@@ -48,6 +50,22 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
 
 
+class Rounds:
+    """Written tables of a loop's state: a name's next table replaces the one before, whose files are deleted, so that a loop holds
+    as many tables as names, however many rounds it takes. The last ones stay."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = write_table(df, name)
+        if old := self.paths.get(name):
+            delete_path(self.spark, old)
+            _scratch["paths"].remove(old)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def read_in_task(path: str):
     """A written table as an Arrow table, read by the task that asks: for tables of checked size."""
     import pyarrow as pa

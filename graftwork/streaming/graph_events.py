@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graftwork.session import scratch_path, written
+from graftwork.session import Rounds, delete_path, scratch_path
 
+_EDGES = "u long, v long, w double"
 SCHEMA = "seq long, type string, u long, v long, w double"
 
 
@@ -34,26 +35,55 @@ def apply_events(edges: DataFrame, events: DataFrame) -> DataFrame:
 
 
 class GraphState:
-    """The current edges as a written table; each micro-batch makes the next version, and a batch that comes again is skipped."""
+    """The current edges as a written table; each micro-batch makes the next version, and a batch that comes again is skipped.
 
-    def __init__(self, spark: SparkSession, edges: DataFrame | None = None, measure: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    With a `folder` the state outlives the session: versions and the stream's checkpoint stand there, and a state that is made
+    anew goes on from the last version. The batch's number is part of its version's name, and a version counts once its writer's
+    success mark is there, so that a batch is applied once even if the driver goes between writing and the stream's own commit.
+    Versions before the last two are deleted.
+    """
+
+    def __init__(self, spark: SparkSession, edges: DataFrame | None = None, measure: Callable[[DataFrame], DataFrame] | None = None, folder: str | None = None) -> None:
         self.spark, self.measure = spark, measure
-        self.edges = written(edges if edges is not None else empty_edges(spark), "state")
+        self.folder = folder or scratch_path(spark, "state")
         self.scores: DataFrame | None = None
-        self.batch = -1
+        found = self._versions()
+        if found:
+            self.batch = found[-1]
+            self.edges = spark.read.schema(_EDGES).parquet(self._place(self.batch))
+        else:
+            self.batch = -1
+            self.edges = self._write(edges if edges is not None else empty_edges(spark))
+        self.rounds = Rounds(spark)
+
+    def _place(self, batch: int) -> str:
+        return f"{self.folder}/edges/batch-{batch + 1:012d}"
+
+    def _versions(self) -> list[int]:
+        """Numbers of the complete versions."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/edges/batch-*/_SUCCESS")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
+        return sorted(int(f.getPath().getParent().getName()[6:]) - 1 for f in found or ())
+
+    def _write(self, edges: DataFrame) -> DataFrame:
+        edges.select("u", "v", F.col("w").cast("double").alias("w")).write.mode("overwrite").parquet(self._place(self.batch))
+        return self.spark.read.schema(_EDGES).parquet(self._place(self.batch))
 
     def update(self, events: DataFrame, batch: int | None = None) -> None:
         batch = self.batch + 1 if batch is None else batch
         if batch <= self.batch:
             return
-        self.edges = written(apply_events(self.edges, events), "state")
+        new = apply_events(self.edges, events)
         self.batch = batch
+        self.edges = self._write(new)
+        for old in self._versions()[:-2]:
+            delete_path(self.spark, self._place(old))
         if self.measure:
-            self.scores = written(self.measure(self.edges), "scores")
+            self.scores = self.rounds.written(self.measure(self.edges), "scores")
 
     def follow(self, stream: DataFrame):
-        """Starts the streaming query."""
-        return stream.writeStream.foreachBatch(lambda df, k: self.update(df, k)).option("checkpointLocation", scratch_path(self.spark, "stream")).start()
+        """Starts the streaming query; its checkpoint stands beside the versions."""
+        return stream.writeStream.foreachBatch(lambda df, k: self.update(df, k)).option("checkpointLocation", f"{self.folder}/stream").start()
 
     def replay(self, folder: str, files_a_batch: int = 1) -> None:
         """All of a folder's event files, as a stream, to its end."""
@@ -66,16 +96,18 @@ class DistanceState:
     """ST-03: all distances under edges that come in or get lighter: one join a change."""
 
     def __init__(self, dist: DataFrame) -> None:
-        self.dist = written(dist.select("source", "id", "dist"), "dist")
+        self.rounds = Rounds(dist.sparkSession)
+        self.dist = self.rounds.written(dist.select("source", "id", "dist"), "dist")
 
     def decrease(self, u: int, v: int, w: float) -> None:
         from graftwork.operators.paths import apsp_decrease
 
-        self.dist = written(apsp_decrease(self.dist, u, v, w), "dist")
+        self.dist = self.rounds.written(apsp_decrease(self.dist, u, v, w), "dist")
 
 
 def motion(stream: DataFrame, kind: str = "uniform", seed: int = 42) -> DataFrame:
-    """ST-04: the places of (id, pos, t) rows at their ticks: a stateless map."""
+    """ST-04: the places of (id, pos, t) rows at their ticks: a stateless map. Uniform points bounce; Gaussian ones take the Langevin
+    step of their tick, whose noise is drawn by id and tick."""
     from graftwork.functions.fields import move
 
-    return move(stream, kind, F.col("t"), seed) if kind == "uniform" else move(stream, kind, 1.0, seed)
+    return move(stream, kind, F.col("t"), seed)

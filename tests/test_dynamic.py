@@ -268,3 +268,95 @@ def test_grown_trees_span(spark, seed):
         assert r["count"] == 15
     one = T.grown(frame(spark, edges), [5], 1, seed)
     assert connected_components(one).select("component").distinct().count() == 1
+
+
+def test_state_goes_on_after_a_restart(spark):
+    """Versions and checkpoint in a folder: a new state, as after a crash, applies what is left, and nothing twice."""
+    from graftwork.session import scratch_path
+    from graftwork.streaming import graph_events as ST
+
+    events, folder = scratch_path(spark, "events"), scratch_path(spark, "state")
+    rows = [(0, "add", 1, 2, 1.0), (1, "increment", 1, 2, 2.0), (2, "add", 2, 3, 4.0), (3, "increment", 1, 2, 5.0), (4, "remove", 2, 3, 0.0), (5, "add", 3, 4, 1.0)]
+
+    def put(some):
+        spark.createDataFrame(some, ST.SCHEMA).coalesce(1).write.mode("append").parquet(events)
+
+    put(rows[:2])
+    ST.GraphState(spark, folder=folder).replay(events)
+    put(rows[2:4])
+    again = ST.GraphState(spark, folder=folder)
+    assert again.batch == 0 and [tuple(r) for r in again.edges.collect()] == [(1, 2, 3.0)]
+    again.replay(events)
+    again.update(spark.createDataFrame(rows[2:4], ST.SCHEMA), again.batch)  # a batch that comes again
+    put(rows[4:])
+    last = ST.GraphState(spark, folder=folder)
+    last.replay(events)
+    assert sorted(tuple(r) for r in last.edges.collect()) == [(1, 2, 8.0), (3, 4, 1.0)]
+    assert len(last._versions()) == 2
+
+
+def test_motion_by_tick(spark):
+    from graftwork.streaming import graph_events as ST
+
+    p = spark.createDataFrame([(i, [1.0, 0.5], float(t)) for i in range(3) for t in range(3)], "id long, pos array<double>, t double")
+    got = {(r.id, r.t): tuple(r.pos) for r in ST.motion(p, "gauss").collect()}
+    assert len(set(got.values())) == 9 and got == {(r.id, r.t): tuple(r.pos) for r in ST.motion(p, "gauss").collect()}
+
+
+def test_rounds_keep_one_table_a_name(spark):
+    import os
+
+    from graftwork.session import Rounds
+
+    keep, seen = Rounds(spark), []
+    for k in range(3):
+        df = keep.written(spark.range(k + 1), "x")
+        seen.append(keep.paths["x"].removeprefix("file://"))
+    assert df.count() == 3 and [os.path.exists(s) for s in seen] == [False, False, True]
+
+
+def test_spanning_shares(spark):
+    """Shares of the spanning trees that hold each edge, by going through all trees."""
+    edges = {e: 1 for e in grid(random.Random(2), 3)}
+    names = sorted(edges)
+
+    def spans(t):
+        uf = K.UnionFind()
+        return all(uf.join(*e) for e in t)
+
+    trees = [t for t in itertools.combinations(names, 8) if spans(t)]
+    want = {e: sum(e in t for t in trees) / len(trees) for e in names}
+    got = {(r.u, r.v): r.score for r in C.spanning_edge(frame(spark, edges)).collect()}
+    assert all(abs(got[e] - want[e]) < 1e-9 for e in names)
+    drawn = {(r.u, r.v): r.score for r in C.sampled_spanning_edge(frame(spark, edges), 0.1, 0.01).collect()}
+    assert all(abs(drawn[e] - want[e]) <= 0.1 for e in names)
+
+
+def test_katz_bounds_hold(spark):
+    edges = {e: 1 for e in grid(random.Random(2), 4)}
+    a = np.zeros((16, 16))
+    for x, y in edges:
+        a[x, y] = a[y, x] = 1
+    alpha = 1 / (a.sum(1).max() + 1)
+    exact = np.linalg.solve(np.eye(16) - alpha * a, np.ones(16)) - 1
+    got = C.dyn_katz_bounds(frame(spark, edges), 16, rounds=10).collect()
+    assert len(got) == 16 and all(r.lower - 1e-9 <= exact[r.id] <= r.upper + 1e-9 for r in got)
+
+
+def test_walks_that_meet_a_group(spark):
+    """All walks counted one by one."""
+    edges = {e: 1 for e in grid(random.Random(2), 3)}
+    near = {x: [b if a == x else a for a, b in edges if x in (a, b)] for x in range(9)}
+    alpha, steps = 1 / (1 + max(map(len, near.values()))), 4
+
+    def met(group):
+        total, walks = 0.0, [((x,), 1.0) for x in near]
+        for _ in range(steps):
+            walks = [((*w, y), f * alpha) for w, f in walks for y in near[w[-1]]]
+            total += sum(f for w, f in walks if set(w) & set(group))
+        return total
+
+    first = max(near, key=lambda x: (round(met([x]), 9), -x))
+    second = max((x for x in near if x != first), key=lambda x: (round(met([first, x]), 9), -x))
+    group, score = C.ged_walk(frame(spark, edges), 2, steps=steps)
+    assert group == [first, second] and abs(score - met(group)) < 1e-9
