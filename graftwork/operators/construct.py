@@ -15,6 +15,9 @@ from graftwork.operators import distance as D
 from graftwork.operators.graph import TRANSFORMS, components, is_connected, map_weights
 from graftwork.session import written
 
+#: Points of one group that a task may triangulate.
+DELAUNAY_POINTS = 50_000
+
 
 def complete(points: DataFrame, gamma: float | None = None) -> DataFrame:
     """GC-02, GC-03: all pairs; with gamma the weight is exp(gamma d) - 1."""
@@ -195,10 +198,13 @@ def triangulate(xy: np.ndarray) -> set[tuple[int, int]]:
 
 
 def delaunay(points: DataFrame, group: str | None = None) -> DataFrame:
-    """GC-08: the Delaunay graph of plane points, a task for each group (all in one without groups: for small clouds)."""
+    """GC-08: the Delaunay graph of plane points, a task for each group (all in one without groups), of `DELAUNAY_POINTS` at most."""
     if points.where(F.size("pos") != 2).limit(1).count():
         raise RuntimeError("Delaunay needs two dimensions")
     rows = points.withColumn("grp", F.col(group) if group else F.lit(0))
+    most = rows.groupBy("grp").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
+    if most > DELAUNAY_POINTS:
+        raise ValueError(f"a group of {most} points: more than {DELAUNAY_POINTS} for one task")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")

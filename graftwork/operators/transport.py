@@ -12,6 +12,8 @@ from graftwork.session import read_in_task, write_table, written
 
 #: Cells of a cost matrix that one task may hold for the exact plan.
 EXACT_CELLS = 250_000
+#: Cells of a cost matrix at all.
+COST_CELLS = 1 << 28
 
 
 def discretize(tree: DataFrame, points: DataFrame, resolution: int = 10) -> DataFrame:
@@ -33,9 +35,17 @@ def histogram(measure: DataFrame) -> DataFrame:
     return measure.crossJoin(F.broadcast(total)).withColumn("mass", F.col("mass") / F.col("total")).drop("total")
 
 
+def _all_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Every row of a with every row of b, at most `COST_CELLS`: a cost matrix is all pairs by its meaning, so its size is checked."""
+    n, m = a.count(), b.count()
+    if n * m > COST_CELLS:
+        raise ValueError(f"{n} x {m} cells: more than {COST_CELLS}; discretize more coarsely")
+    return a.crossJoin(b)
+
+
 def point_costs(a: DataFrame, b: DataFrame) -> DataFrame:
     """OT-03: (i, j, cost) of all pairs of (id, pos); the cost matrix is the result itself."""
-    return a.select(F.col("id").alias("i"), F.col("pos").alias("p")).crossJoin(b.select(F.col("id").alias("j"), F.col("pos").alias("q"))).select("i", "j", euclid("p", "q").alias("cost"))
+    return _all_pairs(a.select(F.col("id").alias("i"), F.col("pos").alias("p")), b.select(F.col("id").alias("j"), F.col("pos").alias("q"))).select("i", "j", euclid("p", "q").alias("cost"))
 
 
 def segment_distance(u1: Column, v1: Column, u2: Column, v2: Column) -> Column:
@@ -52,7 +62,7 @@ def segment_distance(u1: Column, v1: Column, u2: Column, v2: Column) -> Column:
 def edge_costs(a: DataFrame, b: DataFrame) -> DataFrame:
     """OT-05: (i, j, cost) of all pairs of (id, p, q) edges."""
     x, y = a.select(F.col("id").alias("i"), F.col("p").alias("p1"), F.col("q").alias("q1")), b.select(F.col("id").alias("j"), F.col("p").alias("p2"), F.col("q").alias("q2"))
-    return x.crossJoin(y).select("i", "j", segment_distance(F.col("p1"), F.col("q1"), F.col("p2"), F.col("q2")).alias("cost"))
+    return _all_pairs(x, y).select("i", "j", segment_distance(F.col("p1"), F.col("q1"), F.col("p2"), F.col("q2")).alias("cost"))
 
 
 def sinkhorn(costs: DataFrame, a: DataFrame, b: DataFrame, reg: float = 0.1, rounds: int = 50) -> DataFrame:

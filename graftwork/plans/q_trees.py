@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graftwork import model as M
@@ -232,9 +233,9 @@ def tr26_tree_costs(spark: SparkSession, d: str) -> DataFrame:
 # ---- 2.8 -----------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT 112::BIGINT AS k")
+@query("SELECT least(floor(sqrt((floor(log2(greatest(2, count(*) - 1))) + 1 + ln(10)) / 0.0009)), count(*))::BIGINT AS k FROM embeddings")
 def cl01_representatives(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(1).select(F.lit(CL.representative_count(500)).cast("long").alias("k"))
+    return spark.range(1).select(F.lit(CL.representative_count(M.points(spark, d).count())).cast("long").alias("k"))
 
 
 @query("SELECT 8::BIGINT AS centers, (SELECT count(*) FROM embeddings) AS labelled")
@@ -316,10 +317,18 @@ def pa03_patch_boundaries(spark: SparkSession, d: str) -> DataFrame:
     return f.join(g.select("u", "v"), ["u", "v"], "left_anti").agg((F.count("*") == 0).alias("holds_forest")).crossJoin(sides.agg((F.count("*") > 0).alias("has_sides")))
 
 
-@query(TREE25)
+SEEDED = f"""{MST}, seeds AS (SELECT u, v FROM mst WHERE u < 5),
+{Q.iterated("a", "SELECT u, v, w FROM nation_edges", "exact", seeds="seeds")}
+SELECT u, v, step, round(score, 6) AS score FROM picksa WHERE step < 24 - (SELECT count(*) FROM seeds)"""
+
+
+@query(SEEDED)
 def pa04_fixed_patching(spark: SparkSession, d: str) -> DataFrame:
+    """What is picked after the fixed edges."""
     e = kept(spark, d)
-    return shape(PA.patched_tree(e, T.minimum_spanning_tree(e).where("u < 5")))
+    seeds = written(T.minimum_spanning_tree(e).where("u < 5"), "seeds")
+    t = picks(PA.patched_tree(e, seeds).where("not isnan(score) and score < double('infinity')"))
+    return t.withColumn("step", F.col("step") - seeds.count())
 
 
 FACTOR = "CASE WHEN mx > 0 THEN d / mx * 0.8 + 0.3 ELSE 1.0 END"
@@ -366,11 +375,11 @@ def bb01_backbone(spark: SparkSession, d: str) -> DataFrame:
     return PA.backbone(t).where("path = 0").select("place", "id")
 
 
-@query("SELECT true AS apart")
+@query(BACKBONE.rsplit("SELECT row_number()", 1)[0].rstrip() + """, lf AS (SELECT u AS id FROM ta GROUP BY u HAVING count(*) = 1)
+SELECT x AS id, 'on' AS side FROM wk UNION ALL SELECT id, 'off' FROM lf WHERE id NOT IN (SELECT x FROM wk)""")
 def bb02_split(spark: SparkSession, d: str) -> DataFrame:
-    p, e = plane_knn(spark, d)
-    on, off = PA.split_backbone(T.minimum_spanning_tree(e), p, 1)
-    return on.select("id").join(off.select("id"), "id").agg((F.count("*") == 0).alias("apart"))
+    on, off = PA.split_backbone(written(T.minimum_spanning_tree(kept(spark, d)), "mst"), spark.range(25))
+    return on.select("id", F.lit("on").alias("side")).unionByName(off.select("id", F.lit("off").alias("side")))
 
 
 # ---- 2.10 ----------------------------------------------------------------------------------------------------------------
@@ -447,6 +456,16 @@ def ot08_flow_graph(spark: SparkSession, d: str) -> DataFrame:
     return OT.flow_graph(OT.earth_mover(*_hists(spark, d), 0.0)).agg(F.round(F.sum("w"), 3).alias("total"))
 
 
+@query("""WITH x AS (SELECT embedding[1]::DOUBLE AS x, label FROM embeddings WHERE label IN (1, 2)), m AS (SELECT x, CASE WHEN label = 1 THEN 1.0 ELSE -1.0 END / count(*) OVER (PARTITION BY label) AS m FROM x),
+f AS (SELECT x, sum(m) OVER (ORDER BY x) AS gap, lead(x) OVER (ORDER BY x) - x AS step FROM (SELECT x, sum(m) AS m FROM m GROUP BY x)) SELECT round(sum(abs(gap) * step), 6) AS distance FROM f""")
+def ot07_exact_line(spark: SparkSession, d: str) -> DataFrame:
+    """On a line the least cost is the area between the two distribution functions: the exact plan must cost as much."""
+    p = M.points(spark, d).select("id", F.slice("pos", 1, 1).alias("pos"), "label")
+    a, b = (written(p.where(F.col("label") == k).withColumn("mass", 1.0 / F.count("*").over(W.partitionBy("label"))), "cloud") for k in (1, 2))
+    plan = OT.earth_mover(written(OT.point_costs(a, b), "costs"), a, b, reg=0)
+    return OT.transport_cost(plan).select(F.round("distance", 6).alias("distance"))
+
+
 # ---- 2.11 ----------------------------------------------------------------------------------------------------------------
 
 

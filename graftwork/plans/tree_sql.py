@@ -39,10 +39,15 @@ def _picks(name: str, rounds: int) -> str:
     return " UNION ALL ".join(f"SELECT u, v, {r}::BIGINT AS step, score::DOUBLE AS score FROM t{name}{r}" for r in range(rounds))
 
 
-def iterated(name: str, graph: str, scorer: str, rounds: int = NODES - 1) -> str:
-    """TR-01 as CTEs, ending in picks{name} (u, v, step, score); `graph` gives (u, v, w). Weights are scaled to integers."""
+def iterated(name: str, graph: str, scorer: str, rounds: int = NODES - 1, seeds: str = "(SELECT 0 AS u, 0 AS v WHERE false)") -> str:
+    """TR-01 as CTEs, ending in picks{name} (u, v, step, score); `graph` gives (u, v, w), `seeds` the (u, v) that are highways from
+    the start. Weights are scaled to integers."""
     sources = "nodes" if scorer == "exact" else CENTERS
-    out = [f"w{name} AS ({graph})", f"e{name}0 AS (SELECT u, v, b, b AS c, false AS road, true AS live FROM (SELECT u, v, round(w::DOUBLE / (SELECT min(w) FROM w{name}) * 1000000)::BIGINT * {4 * NODES} AS b FROM w{name}))"]
+    out = [
+        f"w{name} AS ({graph})",
+        f"b{name} AS (SELECT u, v, round(w::DOUBLE / (SELECT min(w) FROM w{name}) * 1000000)::BIGINT * {4 * NODES} AS b, (u, v) IN (SELECT (u, v) FROM {seeds}) AS road FROM w{name})",
+        f"e{name}0 AS (SELECT u, v, b, CASE WHEN road THEN (SELECT min(b) FROM b{name}) // {4 * NODES} ELSE b END AS c, road, true AS live FROM b{name})",
+    ]
     for r in range(rounds):
         at, adj = f"{name}{r}", f"a{name}{r}"
         out.append(f"{adj} AS (SELECT u, v, c FROM e{at} WHERE live UNION ALL SELECT v, u, c FROM e{at} WHERE live)")
@@ -50,7 +55,7 @@ def iterated(name: str, graph: str, scorer: str, rounds: int = NODES - 1) -> str
         out.append(_betweenness(at, adj) if scorer == "exact" else _walks(at, "true" if scorer == "cluster_all" else f"x IN {CENTERS}"))
         out.append(f"z{at} AS (SELECT e.*, coalesce(k.score, 0) AS score FROM e{at} e LEFT JOIN k{at} k USING (u, v))")
         out.append(f"t{at} AS (SELECT u, v, score FROM z{at} WHERE live AND NOT road AND score > 0 ORDER BY score DESC, b, u, v LIMIT 1)")
-        out.append(f"e{name}{r + 1} AS (SELECT z.u, z.v, b, CASE WHEN t.u IS NULL THEN c ELSE (SELECT min(b) FROM e{name}0) // {4 * NODES} END AS c, road OR t.u IS NOT NULL AS road, live AND (road OR z.score > 0) AS live FROM z{at} z LEFT JOIN t{at} t USING (u, v))")
+        out.append(f"e{name}{r + 1} AS (SELECT z.u, z.v, b, CASE WHEN t.u IS NULL THEN c ELSE (SELECT min(b) FROM b{name}) // {4 * NODES} END AS c, road OR t.u IS NOT NULL AS road, live AND (road OR z.score > 0) AS live FROM z{at} z LEFT JOIN t{at} t USING (u, v))")
     return ",\n".join([*out, f"picks{name} AS ({_picks(name, rounds)})"])
 
 
