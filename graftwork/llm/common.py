@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graftwork.session import written
+
 #: Rows of a labelled sample that a classifier is fitted on at most (its documented bound).
 FIT_ROWS = 20_000
 
@@ -48,13 +50,21 @@ def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iter
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int = FIT_ROWS) -> DataFrame:
     """(doc_id, text, y) of at most `rows` labelled documents outside the held-out fold: those with the smallest hashes.
 
-    Labels that are null or neither 0 nor 1 don't count; a document with contradicting labels takes the larger one.
-    The ids that are broadcast number `rows` at most.
+    Labels that are null or neither 0 nor 1 don't count; a document with contradicting labels takes the larger one, and an id
+    that stands on several rows gives the text with the least hash. The ids that are broadcast number `rows` at most.
     """
     y = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), folds) != held_out))
     y = y.select("doc_id", F.col(label).cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")
+    y = F.broadcast(written(y, "labelled"))
+    found = docs.select("doc_id", "text").join(y, "doc_id")
+    # ids that stand on several rows, `rows` at most, found without reading texts; where there are none, no text is shuffled
+    many = docs.select("doc_id").join(y, "doc_id").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    many = written(many, "many")
+    if many.isEmpty():
+        return found
+    again = found.join(F.broadcast(many), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))
+    return found.join(F.broadcast(many), "doc_id", "left_anti").unionByName(again)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
@@ -102,6 +112,18 @@ def file_count(df: DataFrame, most_bytes: int) -> int:
     return max(least, -(-size // most_bytes)) if size < 1 << 60 else least  # beyond that nothing is known
 
 
+def open_store(uri: str):
+    """The file system of a path that Spark names, and the path in it: for reads by range in a task."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+
+
+def stream(rows: DataFrame, name: str, parts: int = 4) -> Iterator:
+    """The rows, brought to the driver part by part: for results of bounded size. A job a part, not one a shuffle partition."""
+    return written(rows, name).coalesce(parts).toLocalIterator()
+
+
 #: Bits of a broadcast membership sketch at most (16 MiB).
 BLOOM_BITS = 1 << 27
 _BLOCK = 1 << 12  # bytes
@@ -123,7 +145,7 @@ def bounded_bloom(hashes: DataFrame) -> bytes:
 
     Beyond that bound it only lets more pass that wasn't put in, so that users must give right results for these too.
     """
-    (col,) = hashes.columns
+    hashes = written(hashes, "hashes")
     n = hashes.count()
     bits = min(BLOOM_BITS, max(8 * _BLOCK, 1 << (16 * max(1, n) - 1).bit_length()))
 
@@ -142,6 +164,6 @@ def bounded_bloom(hashes: DataFrame) -> bytes:
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([t.tobytes()], pa.binary())})
 
     out = bytearray(bits >> 3)
-    for r in hashes.mapInArrow(blocks, "block int, bits binary").groupBy("block").applyInArrow(either, "block int, bits binary").toLocalIterator():
+    for r in stream(hashes.mapInArrow(blocks, "block int, bits binary").groupBy("block").applyInArrow(either, "block int, bits binary"), "bloom"):
         out[r.block * _BLOCK : (r.block + 1) * _BLOCK] = r.bits
     return bytes(out)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graftwork.llm.common import file_count, join_hot, pieces
+from graftwork.llm.common import file_count, join_hot, open_store, pieces
 from graftwork.session import written
 
 LEAST_PAYLOAD = 100
@@ -155,7 +155,7 @@ _CAPTURE = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("file", pa
 def _capture_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path in b.column("path").to_pylist():
-            store, place = _store(path)
+            store, place = open_store(path)
             with store.open_input_stream(place) as f:
                 found = members(f.read)
                 while rows := [_capture(path, *m) for m in itertools.islice(found, 5000)]:
@@ -221,13 +221,6 @@ def lines_of(data: bytes) -> list[list]:
     return [json.loads(x) for x in zlib.decompress(data).decode("utf-8", "surrogatepass").split("\n")]
 
 
-def _store(uri: str):
-    """The file system and the path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
-
-
 def _read_spans(wanted: list[tuple[str, int, int]]) -> dict[tuple[str, int], bytes]:
     """The records' bytes by (file, offset): neighbours in one range read."""
     out, k = {}, 0
@@ -239,7 +232,7 @@ def _read_spans(wanted: list[tuple[str, int, int]]) -> dict[tuple[str, int], byt
         while j < len(wanted) and wanted[j][0] == file and wanted[j][1] - end <= 65536 and wanted[j][1] + wanted[j][2] - start <= SPAN:
             end, j = wanted[j][1] + wanted[j][2], j + 1
         if opened is None or opened[0] != file:
-            store, path = _store(file)
+            store, path = open_store(file)
             opened = (file, store.open_input_file(path))
         opened[1].seek(start)
         raw = opened[1].read(end - start)
