@@ -8,11 +8,13 @@ it finds are inner products of the original vectors in double precision.
 
 Equal vectors are one point with its smallest ids (as many as an answer can name), gathered by partial aggregates, so that a
 vector that stands a million times is no burden and nothing is lost. Shards are dealt by a hash of the vector and hold about
-`SHARD` points at most; query blocks hold `QUERY_BLOCK`, and a shard's index is read once for each block.
+`SHARD` points at most; each has a graph, however few points it holds. A task reads a shard's graph once and then all queries
+as a stream, so that its memory is bounded by the shard.
 
 Null, empty and zero vectors and those with null or non-finite components take no part; vectors of different lengths
-don't meet. Ties go to the smaller id. Rows with equal ids count as one candidate each time but a query never finds its own id.
-Null ids take no part. Extra columns play no part.
+don't meet. Ties go to the smaller id, of what the beams hold: where more distinct vectors tie at the edge than a beam has places,
+some of them aren't seen. Rows with equal ids count as one candidate each, but a query never finds its own id; as queries, those
+with different vectors have a ranking each, exact repeats one together. Null ids take no part. Extra columns play no part.
 """
 
 from __future__ import annotations
@@ -28,9 +30,9 @@ from pyspark.sql import functions as F
 from graftwork.session import written
 
 DEGREE, SLACK, BUILD_BEAM, BEAM, ALPHA = 32, 48, 64, 128, 1.2
-SHARDS, SHARD, QUERY_BLOCK = 8, 1 << 16, 1 << 16
-#: Points up to which a shard is searched in full.
-PLAIN = 256
+SHARDS, SHARD = 8, 1 << 16
+#: Points that a graph begins with, and that enter at once at most.
+FIRST, BATCH = 8, 512
 
 
 def _d2(x: np.ndarray, norms: np.ndarray, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -158,15 +160,15 @@ class Graph:
         g = cls(x)
         n = len(x)
         order = np.random.default_rng(seed).permutation(n).astype(np.int32)
-        first = order[: min(n, 512)]
-        g.entries = first[:8]
+        first = order[:FIRST]
+        g.entries = first
         d = g.norms[first][None, :] - 2 * (g.x[first] @ g.x[first].T)
         near = np.argsort(d, 1, kind="stable")[:, : BUILD_BEAM + 1]
         g._set(first, first[near])
         g._back(first)
         at = len(first)
         while at < n:
-            batch = order[at : at + min(512, at)]
+            batch = order[at : at + min(BATCH, at)]
             cand, _ = g.search(g.x[batch], BUILD_BEAM)
             d = g.norms[batch][None, :] - 2 * (g.x[batch] @ g.x[batch].T)
             near = batch[np.argpartition(d, min(8, len(batch) - 1), 1)[:, :9]]
@@ -177,7 +179,7 @@ class Graph:
             g._back(batch)
             at += len(batch)
         mean = g.x.mean(0)
-        g.entries = np.unique(np.r_[np.argmin(g.norms - 2 * (g.x @ mean)), first[:15]]).astype(np.int32)
+        g.entries = np.unique(np.r_[np.argmin(g.norms - 2 * (g.x @ mean)), order[:15]]).astype(np.int32)
         return g
 
 
@@ -226,63 +228,90 @@ def _matrix(col: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
 
 
+_INDEX = pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("place", pa.int32()), ("v", pa.binary()), ("ids", pa.list_(pa.int64())), ("edges", pa.binary()), ("entry", pa.bool_())])
+_INDEX_DDL = "dim int, shard int, place int, v binary, ids array<long>, edges binary, entry boolean"
+
+
+def _level(x: np.ndarray, largest: float) -> np.ndarray:
+    """The vectors with one more component that makes all norms the largest one."""
+    return np.hstack([x, np.sqrt(np.maximum(largest - (x**2).sum(1), 0))[:, None]])
+
+
 def _build(largest: dict[int, float]):
     def run(key, t):
         t = t.sort_by("v")  # runs agree
-        x = _matrix(t.column("v"))
-        n = len(x)
-        schema = pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("v", pa.binary()), ("ids", pa.list_(pa.int64())), ("edges", pa.binary()), ("entry", pa.bool_())])
-        if n > PLAIN:
-            extra = np.sqrt(np.maximum(largest[key[0].as_py()] - (x**2).sum(1), 0))
-            g = Graph.build(np.hstack([x, extra[:, None]]))
-            edges, entry = [e[:d].tobytes() for e, d in zip(g.edges, g.degree, strict=True)], np.isin(np.arange(n), g.entries)
-        else:
-            edges, entry = [b""] * n, np.zeros(n, bool)
-        return pa.Table.from_arrays([pa.array([key[0].as_py()] * n, pa.int32()), pa.array([key[1].as_py()] * n, pa.int32()), t.column("v"), t.column("ids"), pa.array(edges, pa.binary()), pa.array(entry)], schema=schema)
+        dim, shard, n = key[0].as_py(), key[1].as_py(), t.num_rows
+        g = Graph.build(_level(_matrix(t.column("v")), largest[dim]))
+        edges = [e[:d].tobytes() for e, d in zip(g.edges, g.degree, strict=True)]
+        return pa.Table.from_arrays([pa.array([dim] * n, pa.int32()), pa.array([shard] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), t.column("v"), t.column("ids"), pa.array(edges, pa.binary()), pa.array(np.isin(np.arange(n), g.entries))], schema=_INDEX)
 
     return run
 
 
+class _Shard:
+    """One shard's graph, from its rows in order of place."""
+
+    def __init__(self, rows: pa.Table, largest: float) -> None:
+        self.x = _matrix(rows.column("v"))
+        self.ids = rows.column("ids").to_pylist()
+        self.graph = Graph(_level(self.x, largest))
+        for i, e in enumerate(rows.column("edges").to_pylist()):
+            a = np.frombuffer(e, np.int32)
+            self.graph.edges[i, : len(a)] = a
+        self.graph.entries = np.flatnonzero(rows.column("entry").to_numpy()).astype(np.int32)
+
+    def answer(self, names: list[int], q: np.ndarray, k: int, beam: int) -> tuple[list, list]:
+        """For each query the ids and the scores of its k nearest found."""
+        found, _ = self.graph.search(np.hstack([q, np.zeros((len(q), 1))]).astype(np.float32), max(beam, k + 2))
+        score = np.where(found >= 0, np.einsum("akd,ad->ak", self.x[np.maximum(found, 0)], q), -np.inf)
+        ids, scores = [], []
+        for name, f, s in zip(names, found.tolist(), score, strict=True):
+            best = np.argsort(-s, kind="stable")[: k + 1].tolist()
+            edge = s[best[-1]]
+            more = [j for j in range(len(f)) if s[j] == edge and j not in best] if len(f) > k + 1 else []
+            pairs = sorted((-s[j], i) for j in [*best, *more] if f[j] >= 0 for i in self.ids[f[j]] if i != name)[:k]
+            ids.append([i for _, i in pairs])
+            scores.append([-z for z, _ in pairs])
+        return ids, scores
+
+
 def _search(k: int, largest: dict[int, float], beam: int):
-    schema = pa.schema([("query_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
-
-    def run(key, index, queries):
-        if not index.num_rows or not queries.num_rows:
-            return schema.empty_table()
-        index = index.sort_by("v")
-        x, q = _matrix(index.column("v")), _matrix(queries.column("v"))
-        ids = index.column("ids").to_pylist()
-        g = None
-        if len(x) > PLAIN:
-            extra = np.sqrt(np.maximum(largest[key[0].as_py()] - (x**2).sum(1), 0))
-            g = Graph(np.hstack([x, extra[:, None]]))
-            for i, e in enumerate(index.column("edges").to_pylist()):
-                a = np.frombuffer(e, np.int32)
-                g.edges[i, : len(a)] = a
-            g.entries = np.flatnonzero(index.column("entry").to_numpy()).astype(np.int32)
-        out = ([], [], [])
-        names = queries.column("id").to_pylist()
-        step = max(16, min(512, (64 << 20) // len(x)))
-        for at in range(0, len(q), step):
-            part = q[at : at + step]
-            if g is None:
-                found = np.argsort(-(part @ x.T), 1, kind="stable")[:, : 2 * k + 2]
-            else:
-                found, _ = g.search(np.hstack([part, np.zeros((len(part), 1))]).astype(np.float32), max(beam, k + 2))
-            score = np.where(found >= 0, np.einsum("akd,ad->ak", x[np.maximum(found, 0)], part), -np.inf)
-            for name, f, s in zip(names[at : at + step], found.tolist(), score, strict=True):
-                best = np.argsort(-s, kind="stable")[: k + 1].tolist()
-                edge = s[best[-1]]
-                more = [j for j in range(len(f)) if s[j] == edge and j not in best] if len(f) > k + 1 else []
-                pairs = sorted((-s[j], i) for j in [*best, *more] if f[j] >= 0 for i in ids[f[j]] if i != name)[:k]
-                out[0].append(name)
-                out[1].append([i for _, i in pairs])
-                out[2].append([-z for z, _ in pairs])
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+    """Each shard's rows come first, in order of place, then its queries."""
+    schema = pa.schema([("query_id", pa.int64()), ("ask", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
+
+    def run(batches):
+        shard, key, held = None, None, []
+        for b in batches:
+            at = 0
+            while at < b.num_rows:
+                mine = (b.column("dim")[at].as_py(), b.column("shard")[at].as_py())
+                if mine != key:
+                    shard, key, held = None, mine, []
+                same = np.flatnonzero((b.column("dim").to_numpy()[at:] != mine[0]) | (b.column("shard").to_numpy()[at:] != mine[1]))
+                part = b.slice(at, int(same[0]) if len(same) else b.num_rows - at)
+                at += part.num_rows
+                asks = part.column("asks").to_numpy(zero_copy_only=False)
+                held += [part.filter(pa.array(~asks))] * bool((~asks).any())
+                queries = part.filter(pa.array(asks))
+                if not queries.num_rows or not held and shard is None:
+                    continue
+                if shard is None:
+                    shard, held = _Shard(pa.Table.from_batches(held), largest[mine[0]]), []
+                step = max(16, min(512, (64 << 20) // len(shard.x)))
+                for a in range(0, queries.num_rows, step):
+                    q = queries.slice(a, step)
+                    ids, scores = shard.answer(q.column("id").to_pylist(), _matrix(q.column("v")), k, beam)
+                    yield pa.RecordBatch.from_arrays([q.column("id"), q.column("ask"), pa.array(ids, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))], schema=schema)
 
     return run
 
 
+def build_index(points: DataFrame, largest: dict[int, float], count: Column) -> DataFrame:
+    """The shards' graphs (dim, shard, place, v, ids, edges, entry) of the points (v, ids, dim), as a written table."""
+    dealt = points.withColumn("shard", F.pmod(F.xxhash64("v"), count).cast("int"))
+    return written(dealt.groupBy("dim", "shard").applyInArrow(_build(largest), _INDEX_DDL), "index")
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", shards: int | None = None, beam: int = BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): each query row's k nearest found, of all rows but its own."""
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
@@ -291,18 +320,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     points = written(found.select("v", "ids", dim.alias("dim")), "points")
     norms = points.select("dim", "v").mapInArrow(_norms, "dim int, n long, most double").groupBy("dim").agg(F.sum("n").alias("n"), F.max("most").alias("most")).collect()  # a row for each length of vectors
     largest = {r.dim: r.most for r in norms}
-    count = F.create_map(*[F.lit(x) for r in norms for x in (r.dim, max(shards or SHARDS, -(-r.n // SHARD)))]) if norms else F.create_map(F.lit(0), F.lit(1))
-    dealt = points.withColumn("shard", F.pmod(F.xxhash64("v"), F.element_at(count, F.col("dim"))).cast("int"))
-    index = written(dealt.groupBy("dim", "shard").applyInArrow(_build(largest), "dim int, shard int, v binary, ids array<long>, edges binary, entry boolean"), "index")
-    asked = rows.where("asks").select("id", "v").mapInArrow(_keep_usable, "id long, v binary").dropDuplicates(["id", "v"])
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.withColumn("dim", dim).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), (F.element_at(count, F.col("dim")) - 1).cast("int"))))
-    index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ("dim", "shard", "block")
-    hits = index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search(k, largest, beam), "query_id long, ids array<long>, scores array<double>")
-    flat = hits.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("h")).select("query_id", F.col("h.ids").alias("vec_id"), F.col("h.scores").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    counts = {r.dim: max(shards or SHARDS, -(-r.n // SHARD)) for r in norms}
+    count = F.element_at(F.create_map(*[F.lit(x) for item in (counts or {0: 1}).items() for x in item]), F.col("dim"))
+    index = build_index(points, largest, count)
+    asked = rows.where("asks").select("id", "v").mapInArrow(_keep_usable, "id long, v binary").dropDuplicates(["id", "v"]).withColumn("dim", dim)
+    asked = asked.select("dim", F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))).alias("shard"), "v", "id", F.xxhash64("v").alias("ask"), F.lit(True).alias("asks"))
+    both = index.withColumn("asks", F.lit(False)).unionByName(asked, allowMissingColumns=True)
+    parts = max(sum(counts.values()), 1)
+    hits = both.repartition(parts, "dim", "shard").sortWithinPartitions("dim", "shard", "asks", "place").mapInArrow(_search(k, largest, beam), "query_id long, ask long, ids array<long>, scores array<double>")
+    flat = hits.select("query_id", "ask", F.explode(F.arrays_zip("ids", "scores")).alias("h")).select("query_id", "ask", F.col("h.ids").alias("vec_id"), F.col("h.scores").alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id", "ask").orderBy(F.desc("score"), "vec_id"))
     return flat.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
