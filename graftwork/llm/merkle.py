@@ -1,13 +1,14 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and sentences.
 
 A text splits after blank lines into sections, after line ends into paragraphs and after sentence ends into leaves; the
-separators stay with the piece before them, so that the leaves join to the text; a leaf has 256 characters before its end at most. A node's digest is the SHA-256 of its level and
-its children's digests, cut to 16 bytes; the root's digest tests equality, and the walk down differing branches
-locates edits. The likeness of two trees is the Dice share of leaf bytes in common, as multisets (1 for equal
-trees, of two empty ones too), so that moved paragraphs still count.
-
-Null counts as empty text; the empty text's tree is the root alone. Documents are put in order by (id, text), null ids
-first, so that rows with equal ids have a defined order. Other columns play no part.
+separators stay with the piece before them, so that the leaves join to the text; a leaf has 256 characters before its end at
+most. A node's digest is the SHA-256 of its level and its children's digests, cut to 16 bytes; the root's digest tests equality,
+and the walk down differing branches locates edits: `edits` counts the leaves that it finds in a text against its edited text. The
+likeness of two trees is the Dice share of leaf bytes in common, as multisets (1 for equal trees, of two empty ones too), so
+that moved paragraphs still count.
+
+Null counts as empty text; the empty text's tree is the root alone. Documents are put in order by id, null ids first, then by
+their texts' hashes, so that rows with equal ids have a defined order. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -22,13 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graftwork.llm.common import pieces
+from graftwork.llm.common import file_count, pieces
 from graftwork.session import written
 
 _SECTIONS = re.compile(r".*?(?:\n[ \t\r]*\n\s*|\Z)", re.S)
 _SENTENCES = re.compile(r"[^.!?]{0,255}[.!?]+\s*|[^.!?]{1,256}", re.S)
 
 
+#: Bytes of input, as Catalyst estimates them, that one range is swept over, about.
+RANGE = 1 << 30
+
+
 def _digest(level: bytes, parts: list[bytes]) -> bytes:
     return hashlib.sha256(level + b"".join(parts)).digest()[:16]
 
@@ -102,14 +107,16 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("edits", pa.int64())])
+_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edits long"
+_SWEPT = pa.schema([("kind", pa.int32()), ("part", pa.int32()), *_SCHEMA, ("text", pa.string())])
 _ROW = f"kind int, part int, {_OUT}, text string"
 
 
 def _compare(text: str, tree: Tree, following: str, next_tree: Tree) -> tuple:
     e = edited(text, following)
     other = Tree(e)
-    return len(text), hashlib.sha256(_utf8(e)).hexdigest(), tree.root.hex(), other.root.hex(), likeness(tree, other), likeness(tree, next_tree)
+    return len(text), hashlib.sha256(_utf8(e)).hexdigest(), tree.root.hex(), other.root.hex(), likeness(tree, other), likeness(tree, next_tree), len(differing(tree, other))
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +124,7 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string())])
-    none, last = (None,) * 6, None
+    none, last = (None,) * 7, None
     for b in pieces(batches):
         rows = []
         for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -129,16 +135,15 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 rows.append((0, part, last[0], *_compare(last[1], last[2], text, tree), None))
             last = (doc_id, text, tree)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SWEPT, strict=True)], schema=_SWEPT) if rows else pa.RecordBatch.from_pylist([], _SWEPT)
     if last is not None:
-        yield pa.RecordBatch.from_pylist([{"kind": 2, "part": part, "doc_id": last[0], "text": last[1]}], schema)
+        yield pa.RecordBatch.from_pylist([{"kind": 2, "part": part, "doc_id": last[0], "text": last[1]}], _SWEPT)
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [(d, *_compare(t, Tree(t), n, Tree(n))) for d, t, n in zip(*(b.column(k).to_pylist() for k in ("doc_id", "text", "following")), strict=True)]
-        names = [x.split()[0] for x in _OUT.split(", ")]
-        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]))
+        yield pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, r, strict=True)) for r in rows], _SCHEMA)
 
 
 def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -147,13 +152,12 @@ def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     Documents are dealt out by ranges of (id, text) and swept in order. A range's last document meets the next
     non-empty range's first one afterwards: two rows a range.
     """
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or file_count(docs.select("text"), RANGE)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    swept = written(rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(_sweep, _ROW), "merkle")
-    names = [x.split()[0] for x in _OUT.split(", ")]
-    ends = swept.where("kind > 0").select("kind", "part", "doc_id", "text")
-    order = W.orderBy("part", "kind")
-    first = ends.where("kind = 1").orderBy("part").limit(1).select(F.col("text").alias("wrap"))
-    lasts = ends.withColumn("following", F.lead("text").over(order)).where("kind = 2").crossJoin(F.broadcast(first))  # one row
-    closing = lasts.select("doc_id", "text", F.coalesce("following", "wrap").alias("following"))
-    return swept.where("kind = 0").select(*names).unionByName(closing.repartition(8).mapInArrow(_close, _OUT))
+    order = ("doc_id", F.xxhash64("text"))
+    swept = written(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_sweep, _ROW), "merkle")
+    firsts = swept.where("kind = 1").select(F.col("part").alias("after"), F.col("text").alias("following"))
+    # the window sees the numbers of the ranges alone, one row a range; the last one is followed by the first
+    turn = firsts.select(F.col("after").alias("part"), F.coalesce(F.lead("after").over(W.orderBy("after")), F.min("after").over(W.partitionBy(F.lit(0)))).alias("after"))
+    closing = swept.where("kind = 2").select("part", "doc_id", "text").join(turn, "part").join(firsts, "after").select("doc_id", "text", "following")
+    return swept.where("kind = 0").select(*_SCHEMA.names).unionByName(closing.mapInArrow(_close, _OUT))

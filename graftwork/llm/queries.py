@@ -15,7 +15,8 @@ URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net"
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graftwork.llm.url_rules import filter_urls
 
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {values} AS rules(host, path, verdict)")
     out = filter_urls(load(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return out.select("page_id", "host", "path", "rule", "verdict")
 
