@@ -5,11 +5,13 @@ pieces, distinct pieces are encoded by the library's model and remembered, and i
 pre-tokenizer, a normalizer, a post-processor or added tokens with special handling go to the library as whole texts.
 
 `encode_documents` cuts texts at places chosen by a rolling hash of the last 16 bytes. Chunks that stand more than once in the
-corpus are encoded once, by a distributed count and an equi-join; documents that share nothing are encoded where they are
-read, and only the others (compressed) and the ids of their shared chunks are shuffled. A cut may fall anywhere, so
+corpus are encoded once, by a distributed count and an equi-join from which the most frequent chunks are split off; documents
+that share nothing are encoded where they are read, and only the others (compressed) and the ids of their shared chunks are
+shuffled. A cut may fall anywhere, so
 joins are repaired: text between the last place before and the first place behind a cut where pieces must end (a visible
 ASCII sign before a blank) is encoded anew, and ids on either side are kept where their bytes end exactly there;
-a chunk without such places, or whose ids don't end there, is encoded anew with its neighbours.
+a chunk without such places, or whose ids don't end there, is encoded anew with its neighbours. That rule has its ground in the
+byte-level pre-tokenizer, so that with files of another kind nothing is cut: whole texts go to the library.
 
 Null counts as empty text, with no ids. Rows are matched by a hash of id and text, so that repeated rows and ids are all kept.
 """
@@ -29,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graftwork.llm.common import bloom_has, bounded_bloom, pieces
+from graftwork.llm.common import bloom_has, bounded_bloom, join_hot, pieces
+from graftwork.session import written
 
 #: The published pre-tokenizer pattern of byte-level BPE; its white space is Unicode's.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -39,6 +42,8 @@ LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^ \t-\r{LATI
 #: Pieces that one process remembers; beyond that the later ones go.
 MEMO = 350_000
 LEAST, MOST, MEAN_BITS = 256, 8192, 10
+#: Chunks that are broadcast with their ids at most (16 MiB in the worst case).
+HOT_CHUNKS = 1000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -59,6 +64,14 @@ class _Memo(dict):
         return ids
 
 
+def by_piece(spec: dict) -> bool:
+    """Whether pieces of the byte-level pre-tokenizer are encoded each by itself, and nothing else changes the text."""
+    added, pre = spec.get("added_tokens") or [], spec.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+    special = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in added)
+    return bool(plain and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout") and not special)
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         import re
@@ -72,11 +85,7 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         added = spec.get("added_tokens") or []
-        pre = spec.get("pre_tokenizer") or {}
-        self.by_piece = (
-            pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
-            and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout") and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in added)
-        )
+        self.by_piece = by_piece(spec)
         self.find, self.find_latin = regex.compile(PATTERN).findall, re.compile(LATIN_PATTERN).findall
         self.latin = re.compile(rf"[\x00-\x7f{LATIN[6:]}]*").fullmatch
         self.special = {t["content"]: t["id"] for t in added}
@@ -280,24 +289,6 @@ def _encode_chunks(path: str):
     return run
 
 
-def _sharing(bits):
-    """(key, doc_id, packed text, places of chunks that may be shared) of documents that have such."""
-    import zlib
-
-    def run(batches):
-        for b in pieces(batches):
-            rows = []
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                raw = _raw(t)
-                refs = [{"seq": i, "hash": h} for i, c in enumerate(chunks(raw)) if bloom_has(bits.value, h := chunk_hash(c))] if raw else []
-                if refs:
-                    rows.append((_row_key(d, raw), d, zlib.compress(raw, 1), refs))
-            k, d, z, r = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(d, b.column("doc_id").type), pa.array(z, pa.binary()), pa.array(r, pa.list_(pa.struct([("seq", pa.int32()), ("hash", pa.binary())])))], names=["key", "doc_id", "packed", "refs"])
-
-    return run
-
-
 def _digests(enc: Encoder, ids: np.ndarray) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(enc.decimal(ids).encode()).hexdigest(), hashlib.sha256(enc.decode(ids).encode()).hexdigest()
 
@@ -309,16 +300,46 @@ def _result(doc_ids: pa.Array, ids: list[np.ndarray], enc: Encoder, full: bool)
     return pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def _alone(path: str, bits, full: bool):
-    """Results of the documents that share no chunk."""
+def _whole(path: str, full: bool):
+    """Results of the library for whole texts."""
 
     def run(batches):
         enc = encoder(path)
         for b in pieces(batches, 4 << 20):
-            raws = [_raw(t) for t in b.column("text").to_pylist()]
-            mine = [not r or not any(bloom_has(bits.value, chunk_hash(c)) for c in chunks(r)) for r in raws]
-            ids = enc.encode_batch([r.decode("utf-8", "surrogatepass") for r, m in zip(raws, mine, strict=True) if m])
-            yield _result(b.column("doc_id").filter(pa.array(mine, pa.bool_())), ids, enc, full)
+            yield _result(b.column("doc_id"), enc.encode_batch([t or "" for t in b.column("text").to_pylist()]), enc, full)
+
+    return run
+
+
+_REFS = pa.list_(pa.struct([("seq", pa.int32()), ("hash", pa.binary())]))
+
+
+def _first(path: str, bits, full: bool):
+    """Results of the documents that share no chunk; key, packed text and places of chunks that may be shared of the others."""
+    import zlib
+
+    def run(batches):
+        enc = encoder(path)
+        for b in pieces(batches, 4 << 20):
+            alone, mine, texts, rest = [], [], [], []
+            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                raw = _raw(t)
+                refs = [{"seq": i, "hash": h} for i, c in enumerate(chunks(raw)) if bloom_has(bits.value, h := chunk_hash(c))] if raw else []
+                alone.append(not refs)
+                if refs:
+                    rest.append((_row_key(d, raw), zlib.compress(raw, 1), refs))
+                else:
+                    texts.append(t or "")
+                mine.append(d)
+            kind = b.column("doc_id").type
+            r = _result(pa.array([d for d, a in zip(mine, alone, strict=True) if a], kind), enc.encode_batch(texts), enc, full)
+            n, m = r.num_rows, len(rest)
+            none = [pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, _REFS)]
+            yield pa.RecordBatch.from_arrays([*r.columns, *none], names=[*r.schema.names, "key", "packed", "refs"])
+            k, z, f = zip(*rest, strict=True) if rest else ((), (), ())
+            shared = [pa.array(k, pa.binary()), pa.array(z, pa.binary()), pa.array(f, _REFS)]
+            ids = pa.array([d for d, a in zip(mine, alone, strict=True) if not a], kind)
+            yield pa.RecordBatch.from_arrays([ids, *(pa.nulls(m, c.type) for c in r.columns[1:]), *shared], names=[*r.schema.names, "key", "packed", "refs"])
 
     return run
 
@@ -343,14 +364,20 @@ def encode_documents(docs: DataFrame, path: str, full: bool = False) -> DataFram
     rows = docs.select("doc_id", "text")
     sc = docs.sparkSession.sparkContext
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counts = rows.select("text").mapInArrow(_count_chunks, "hash binary, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    bits = sc.broadcast(bounded_bloom(counts.where("n > 1").select("hash")))
     out = f"doc_id {kind}, ids array<int>, decoded string" if full else f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    alone = rows.mapInArrow(_alone(path, bits, full), out)
+    with open(path, encoding="utf-8") as f:
+        plain = by_piece(json.load(f))
+    if not plain:
+        return rows.mapInArrow(_whole(path, full), out)
+    counts = rows.select("text").mapInArrow(_count_chunks, "hash binary, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    shared = written(counts.where("n > 1"), "shared")
+    bits = sc.broadcast(bounded_bloom(shared.select("hash")))
     once = rows.select("text").mapInArrow(_shared_chunks(bits), "hash binary, chunk binary").groupBy("hash").agg(F.first("chunk").alias("chunk"))
-    coded = once.mapInArrow(_encode_chunks(path), "hash binary, ids binary")
-    sharing = rows.mapInArrow(_sharing(bits), f"key binary, doc_id {kind}, packed binary, refs array<struct<seq:int,hash:binary>>")
+    coded = written(once.mapInArrow(_encode_chunks(path), "hash binary, ids binary").join(shared, "hash"), "coded")
+    first = written(rows.mapInArrow(_first(path, bits, full), f"{out}, key binary, packed binary, refs array<struct<seq:int,hash:binary>>"), "first")
+    bits.destroy()
+    alone, sharing = first.where("key is null").drop("key", "packed", "refs"), first.where("key is not null").select("key", "doc_id", "packed", "refs")
     refs = sharing.select("key", F.explode("refs").alias("r")).select("key", "r.seq", "r.hash").distinct()
-    got = refs.join(coded, "hash").groupBy("key").agg(F.collect_list(F.struct("seq", "ids")).alias("got"))
-    joined = sharing.select("key", "doc_id", "packed").join(got, "key", "left").select("doc_id", "packed", "got")
+    got = join_hot(refs, coded, ["hash"], "n", HOT_CHUNKS).groupBy("key").agg(F.collect_list(F.struct("seq", "ids")).alias("got"))
+    joined = sharing.join(got, "key", "left").select("doc_id", "packed", "got")
     return alone.unionByName(joined.mapInArrow(_assembled(path, full), out))
