@@ -5,9 +5,8 @@ they imitate, invisible characters dropped, all else than letters and digits tur
 lexicon are whole words (" word ") or beginnings of words (" stem"), each with a weight; one automaton holds them and the
 exception phrases. A hit inside an exception phrase doesn't count. Of nested hits at one word the heaviest counts.
 
-The lexicon is learned from a bounded labelled sample (`common.FIT_ROWS`): documents of either label that hold a word or
-stem are counted in a distributed aggregate, and entries with strong log odds are kept, `MOST_ENTRIES` at most (a bound of
-the model, not of the texts scored). How much surprise an entry needs grows with the number of terms it was picked from
+The lexicon is learned from a bounded labelled sample (`common.FIT_ROWS`), folded once: documents of either label that hold a word
+or stem are counted in a distributed aggregate, and all entries with strong log odds are kept (`entries` sets a bound). How much surprise an entry needs grows with the number of terms it was picked from
 (`level`), so that few labels teach a short lexicon rather than none. The default lexicon fills in the words that the labels
 say nothing about. Two-word phrases that hold an entry and stand mostly in clean documents
 become exceptions. A logistic curve over the total weight and the weight by length gives the score.
@@ -18,7 +17,9 @@ lexicon serves with a fixed curve. Tied or repeated rows are scored alike; other
 
 from __future__ import annotations
 
+import bisect
 import dataclasses
+import itertools
 import re
 import unicodedata
 from collections import Counter
@@ -32,7 +33,6 @@ from pyspark.sql import functions as F
 from graftwork.llm.common import FIT_ROWS, fit_logistic, labelled_sample, pieces, texts
 from graftwork.session import written
 
-MOST_ENTRIES = 4096
 STEMS = range(3, 9)
 #: Log likelihood ratio from which a term counts as more than chance, whatever the number of terms.
 SURPRISE = 14
@@ -46,7 +46,8 @@ DEFAULT_CURVE = (1.0, 1.0, -2.0)
 
 _LOOK = str.maketrans(LOOKALIKES)
 _SUB = str.maketrans(SUBSTITUTES)
-_MIXED = re.compile(r"[\w$][\w@$]*[0-9@$][\w@$]*|[0-9$][\w@$]+")
+#: Words that hold a digit or sign; begun at word starts alone and never tried again, so that time follows the length.
+_MIXED = re.compile(r"(?<![\w$])(?=[\w$])[^\W0-9]*+[0-9@$][\w@$]*+")
 _OTHER = re.compile(r"[\W_]+")
 _MARKS = re.compile("[̀-ͯ­​-‏⁠﻿]")
 
@@ -75,13 +76,12 @@ class Model:
     curve: tuple[float, float, float] = (1.0, 0.5, -2.0)
 
     def automaton(self):
+        """Of entries and exceptions: each pattern's length and weight, None for an exception."""
         import ahocorasick
 
         a = ahocorasick.Automaton()
-        for e, w in self.entries.items():
+        for e, w in (self.entries | dict.fromkeys(self.exceptions)).items():
             a.add_word(e, (len(e), w))
-        for e in self.exceptions:
-            a.add_word(e, (len(e), 0.0 if e not in self.entries else self.entries[e]))
         if len(a):
             a.make_automaton()
         return a
@@ -91,19 +91,21 @@ class Model:
         found, skip = {}, []
         if not len(automaton):
             return []
-        quiet = set(self.exceptions)
         for end, (n, w) in automaton.iter(folded):
             start = end - n + 1
-            if w == 0.0 or (quiet and folded[start : end + 1] in quiet):
+            if w is None:
                 skip.append((start, end))
             elif w > found.get(start, (0, 0.0))[1]:
                 found[start] = (end, w)
         if skip:
-            found = {s: x for s, x in found.items() if not any(a <= s and x[0] <= b for a, b in skip)}
+            skip.sort()
+            starts, reach = [a for a, _ in skip], list(itertools.accumulate((b for _, b in skip), max))
+            # a hit is quiet if a phrase that begins at or before it ends at or behind it
+            found = {s: x for s, x in found.items() if not (k := bisect.bisect_right(starts, s)) or reach[k - 1] < x[0]}
         return [(s, e, w) for s, (e, w) in sorted(found.items())]
 
-    def features(self, automaton, text: str) -> tuple[float, float, int]:
-        folded = fold(text)
+    def features(self, automaton, folded: str) -> tuple[float, float, int]:
+        """Logarithm of the total weight, the weight by length, and the number of hits of a folded text."""
         total = 0.0
         n = 0
         for _, _, w in self.hits(automaton, folded):
@@ -114,9 +116,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x[:, 0] * self.curve[0] + x[:, 1] * self.curve[1] + self.curve[2], -30, 30)))
 
 
-def _terms(text: str) -> set[str]:
-    words = fold(text).split()
-    seen = set(words)
+def _terms(folded: str) -> set[str]:
+    seen = set(folded.split())
     out = {f" {w} " for w in seen}
     for w in seen:
         out.update(f" {w[:n]}" for n in STEMS if n <= len(w))
@@ -145,7 +146,7 @@ def _phrases(model: Model):
         a, bad, good = model.automaton(), Counter(), Counter()
         for b in pieces(batches):
             for t, y in zip(texts(b), b.column("y").to_pylist(), strict=True):
-                f, mine = fold(t), set()
+                f, mine = t, set()
                 for s, e, _ in model.hits(a, f):
                     e = f.index(" ", max(e, s + 1))
                     before, after = f.rfind(" ", 0, s), f.find(" ", e + 1)
@@ -160,17 +161,22 @@ def _phrases(model: Model):
     return run
 
 
-def _features(model: Model, keep: tuple[str, ...]):
+def _fold_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in pieces(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([fold(t) for t in texts(b)], pa.string()), b.column("y")], names=["text", "y"])
+
+
+def _features(model: Model, keep: tuple[str, ...], folded: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = model.automaton()
         for b in pieces(batches):
-            x = np.array([model.features(a, t) for t in texts(b)], float).reshape(-1, 3)
+            x = np.array([model.features(a, t if folded else fold(t)) for t in texts(b)], float).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2].astype(np.int32)), pa.array(model.score(x))], names=[*keep, "total", "by_length", "hits", "score"])
 
     return run
 
 
-def choose(counts: Iterable[tuple[str, int, int]], n_bad: int, n_good: int, odds: float = 2.0) -> dict[str, float]:
+def choose(counts: Iterable[tuple[str, int, int]], n_bad: int, n_good: int, odds: float = 2.0, most: int | None = None) -> dict[str, float]:
     """Entries by log odds: of a stem and what extends it, the longest that most of the stem's documents share."""
     scored = {}
     for term, bad, good in counts:
@@ -191,7 +197,7 @@ def choose(counts: Iterable[tuple[str, int, int]], n_bad: int, n_good: int, odds
         w, bad = scored[term]
         if narrower[term] < 0.7 * bad and all(w > kept[p] + 1.0 for p in stems(term) if p in kept):
             kept[term] = w
-    return dict(sorted(kept.items(), key=lambda kv: (-kv[1] * np.sqrt(scored[kv[0]][1]), kv[0]))[:MOST_ENTRIES])
+    return dict(sorted(kept.items(), key=lambda kv: (-kv[1] * np.sqrt(scored[kv[0]][1]), kv[0]))[:most])
 
 
 def level(candidates: int) -> float:
@@ -205,25 +211,28 @@ def filled(learned: dict[str, float], seen: Iterable[tuple[str, int, int]], base
     return learned | {e: w for e, w in DEFAULT_LEXICON.items() if e not in clean and not any(e.startswith(k) for k in learned)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, rows: int = FIT_ROWS) -> Model:
-    sample = written(labelled_sample(docs, labels, "toxic", folds, held_out, rows), "toxic-sample")
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, rows: int = FIT_ROWS, entries: int | None = None) -> Model:
+    """The model of a labelled sample of `rows` documents at most; `entries` bounds lexicon and exceptions (None: all that qualify)."""
+    sample = labelled_sample(docs, labels, "toxic", folds, held_out, rows).select("text", "y").mapInArrow(_fold_rows, "text string, y int")
+    sample = written(sample, "toxic-sample")
     n = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return Model(dict(DEFAULT_LEXICON), [], DEFAULT_CURVE)
-    counts = sample.select("text", "y").mapInArrow(_count_terms, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    both = (F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = sample.mapInArrow(_count_terms, "term string, bad long, good long").groupBy("term").agg(*both)
     counts = written(counts.where(f"bad + good >= {LEAST_DOCS}"), "toxic-terms")
     least = level(counts.count())
     base = n[1] / (n[1] + n[0])
     surprise = F.expr(f"bad * ln(bad / ((bad + good) * {base}D)) + if(good = 0, 0D, good * ln(good / ((bad + good) * {1 - base}D)))")
-    strong = counts.where(f"bad >= {LEAST_DOCS} and bad > {2 * base}D * (bad + good)").withColumn("w", surprise).where(f"w >= {least}D")
-    top = strong.orderBy(F.desc("w"), F.desc("bad"), "term").limit(16 * MOST_ENTRIES).collect()
-    learned = choose(((r.term, r.bad, r.good) for r in top), n[1], n[0])
+    strong = counts.where(f"bad >= {LEAST_DOCS} and bad > {2 * base}D * (bad + good)").where(surprise >= least).collect()  # terms of the sample
+    learned = choose(((r.term, r.bad, r.good) for r in strong), n[1], n[0], most=entries)
     if not learned:
         return Model(dict(DEFAULT_LEXICON), [], DEFAULT_CURVE)
     model = Model(filled(learned, counts.where(F.col("term").isin(*DEFAULT_LEXICON)).collect(), base), [])
-    phrases = sample.select("text", "y").mapInArrow(_phrases(model), "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    model.exceptions = [r.term for r in phrases.where("good >= 5 and good > 9 * bad").orderBy(F.desc("good"), "term").limit(MOST_ENTRIES).collect()]
-    x = sample.select("text", "y").mapInArrow(_features(model, ("y",)), "y int, total double, by_length double, hits int, score double").select("y", "total", "by_length").toPandas()
+    phrases = sample.mapInArrow(_phrases(model), "term string, bad long, good long").groupBy("term").agg(*both)
+    quiet = [r.term for r in phrases.where("good >= 5 and good > 9 * bad").orderBy(F.desc("good"), "term").collect() if r.term not in model.entries]
+    model.exceptions = quiet[:entries]
+    x = sample.mapInArrow(_features(model, ("y",), folded=True), "y int, total double, by_length double, hits int, score double").select("y", "total", "by_length").toPandas()
     w = fit_logistic(x[["total", "by_length"]].to_numpy(), x["y"].to_numpy(float))
     model.curve = tuple(float(v) for v in w)
     return model
@@ -241,7 +250,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
     def run(batches):
         a = model.automaton()
         for b in pieces(batches):
-            x = np.array([model.features(a, t) for t in texts(b)], float).reshape(-1, 3)
+            x = np.array([model.features(a, fold(t)) for t in texts(b)], float).reshape(-1, 3)
             yield b.filter(pa.array(model.score(x) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
