@@ -39,6 +39,9 @@ def awkward(spark, seed=1):
     texts = [*base, None, "", "   ", "<|endoftext|> a <|endoftext|>", words(r, 9000), "x" * 20000, base[0], base[0], base[1].upper(), base[2] + " more", "\n\n" + base[3], "a\u00a0b  c\t\td\r\n e"]
     rows = [(i * 3, t, None if i % 7 == 0 else "en", None if i % 5 == 0 else f"s{i % 3}", None) for i, t in enumerate(texts)]
     rows += [rows[4], rows[4]]
+    rows += [(None, base[5], "en", "s1", 1), (None, base[5], "en", "s1", 1), (None, None, None, None, None)]  # no ids
+    rows += [(9, base[6], "en", "s1", 1), (500, " ".join(words(r, 40000).split()), "en", "s2", 1)]  # an id twice; over a megabyte with the next
+    rows += [(501, words(r, 3) + "long" * 300_000, "en", "s2", 1)]
     return spark.createDataFrame([(*x, 0.5, 1, 2, 3, 4) for x in rows], DOCS), rows
 
 
@@ -64,9 +67,10 @@ def test_ann(spark):
     x = rng.normal(size=(900, 12))
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000 + i, x[7].tolist()) for i in range(60)]
     rows += [(9000, None), (9001, [0.0] * 12), (9002, [float("nan")] * 12), (9003, [None, 1.0]), (None, x[0].tolist()), (9004, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     from pyspark.sql import functions as F
 
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS rank", "2L AS query_id", "array(1.0D) AS ids", "0 AS dim", "'x' AS v")
+
     got = collections.defaultdict(list)
     for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 20, shards=2).collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
@@ -84,6 +88,54 @@ def test_ann(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_graph_at_every_size(monkeypatch):
+    """Shards of any size have a graph whose search finds what brute force finds; nothing is searched in full."""
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 5, 9, 40, 300, 1500):
+        x = rng.normal(size=(n, 6))
+        g = ann.Graph.build(x)
+        assert n < 2 or (g.degree > 0).all()
+        looked = []
+        monkeypatch.setattr(ann, "_d2", lambda x, norms, ids, q, f=ann._d2: looked.append(ids.size) or f(x, norms, ids, q))
+        q = rng.normal(size=(30, 6)).astype(np.float32)
+        found, _ = g.search(q, 32)
+        monkeypatch.undo()
+        assert n <= len(g.entries) or sum(looked) > 0  # the walk along the edges
+        want = np.argsort(((x[None] - q[:, None]) ** 2).sum(2), 1, kind="stable")[:, :10]
+        hits = np.mean([len(set(w) & set(f)) / len(w) for w, f in zip(want.tolist(), found.tolist(), strict=True)])
+        assert hits >= 0.95, n
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_recall_on_embeddings(spark, sf):
+    from graftwork.session import load
+
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in load(spark, sf, "embeddings").select("vec_id", "embedding").collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    got = collections.defaultdict(set)
+    for r in queries.op1_ann(spark, sf).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = []
+    for k in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[k]
+        score[k] = -np.inf
+        want = ids[np.lexsort((ids, -score))[:20]]
+        hits.append(len(set(want.tolist()) & got[int(ids[k])]) / len(want))
+    assert np.mean(hits) >= 0.9
+
+
+def test_ann_repeated_ids(spark):
+    """Rows of one id are a candidate each; as queries, those with different vectors have a ranking each, equal ones one together."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(40, 4))
+    rows = [(i + 1, v.tolist()) for i, v in enumerate(x)] + [(20, x[0].tolist()), (20, x[1].tolist()), (20, x[1].tolist()), (7, x[2].tolist())]
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.Counter((r.query_id, r["rank"]) for r in ann.nearest(df, F.col("vec_id") == 20, 5).collect())
+    assert got == {(20, k): 3 for k in range(1, 6)}
+
+
 # ---- archives --------------------------------------------------------------------------------------------------------
 
 
@@ -147,20 +199,33 @@ def test_blocks():
     assert (token_files.decode_block(token_files.encode_block(np.full(9, 7, np.uint32)))[0] == 7).all()
 
 
+def test_file_numbers():
+    """Numbers of five digits and of six."""
+    names = [f"file:/x/part-{n:05d}-abc-c000.txt" for n in (99_999, 100_000, 7, 1_000_000)]
+    assert sorted(names, key=token_files.file_number) == [names[i] for i in (2, 0, 1, 3)]
+
+
 def test_token_files(spark, library):
+    from pyspark.sql import functions as F
+
     df, rows = awkward(spark)
     out = scratch_path(spark, "tok")
     token_files.write_token_files(df, PATH, out)
-    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_token_files(spark, out).collect())
+    got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_token_files(spark, out).collect()]
     ids = {t: [*library.encode(t or "", add_special_tokens=False).ids, 2] for _, t, *_ in rows}
     want, at = [], 0
-    for d, t in sorted(((d, t) for d, t, *_ in rows), key=lambda x: x[0]):
+    order = {r.t: r.h for r in df.select(F.col("text").alias("t"), F.xxhash64("text").alias("h")).collect()}
+    for d, t in sorted(((d, t) for d, t, *_ in rows), key=lambda x: (x[0] is not None, x[0] or 0, order[x[1]])):
         want.append((d, at, len(ids[t]), zlib.crc32(np.array(ids[t], "<u4").tobytes())))
         at += len(ids[t])
-    assert got == want
-    part = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out).collect()[0].content
-    whole = np.concatenate([b for b in token_files.parse_file(part)[2]])
-    assert (token_files.read_range(part, 5, 30) == whole[5:35]).all()
+    assert sorted(got, key=lambda r: r[1]) == want
+    paths = [r.path for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out).select("path").collect()]
+    files = [token_files.TokenFile(p) for p in sorted(paths, key=token_files.file_number)]
+    whole = [np.concatenate([np.zeros(0, np.uint32), *f.blocks(0, len(f.starts))]) for f in files]
+    assert np.concatenate(whole).tolist() == [i for d, t in sorted(((d, t) for d, t, *_ in rows), key=lambda x: (x[0] is not None, x[0] or 0, order[x[1]])) for i in ids[t]]
+    for f, w in zip(files, whole, strict=True):
+        for first, n in ((0, 1), (5, 30), (len(w) // 2, 5000), (4095, 2), (max(0, len(w) - 3), 9)):
+            assert (f.ids(first, n) == w[first : first + n]).all()
     none = scratch_path(spark, "none")
     token_files.write_token_files(empty(spark), PATH, none)
     assert token_files.read_token_files(spark, none).count() == 0
@@ -169,27 +234,73 @@ def test_token_files(spark, library):
 # ---- mixing -----------------------------------------------------------------------------------------------------------
 
 
-def test_mixing(spark):
-    df, rows = awkward(spark)
-    a, b = (sorted((r.doc_id, r.size, r.copies, round(r.rate, 9)) for r in mixing.mix(df).collect()) for _ in range(2))
-    assert a == b and len(a) == len(rows) and all(0 <= c <= 2 for _, _, c, _ in a)
-    size = collections.defaultdict(int)
-    for _, t, _, s, _ in rows:
-        size[s] += len(re.findall(r"[^\x20\x09-\x0d]+", t or ""))
+def plain_targets(size, cap=2.0):
+    """Source -> words wanted, from source -> words: shares by weight, the excess over the cap dealt out anew."""
     names = sorted(size, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
     target, left, free = {}, 1.5 * sum(size.values()), set(names)
-    while over := {s for s in free if left * weight[s] / sum(weight[x] for x in free) > 2 * size[s]}:
+    while over := {s for s in free if left * weight[s] / sum(weight[x] for x in free) > cap * size[s]}:
         for s in over:
-            target[s] = 2 * size[s]
+            target[s] = cap * size[s]
             left -= target[s]
         free -= over
-    target |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
-    got = {(None if r.no_source else r.src): r.target for r in mixing.mix(df).collect()}
-    assert all(abs(got[s] - target[s]) < 1e-6 for s in names)
+    return target | {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+
+
+def plain_rates(sizes, target, cap=2.0):
+    """Of all rates within 0 and the cap that give the target's words, those of least relative entropy to one: by bisection."""
+    if target <= 0:
+        return [0.0 if sum(sizes) else 1.0] * len(sizes)
+    lo, hi = -800.0, 800.0
+
+    def rate(x, s):
+        return min(cap, np.exp(np.clip(x * s / max(sizes), -700, 700)))
+
+    for _ in range(200):
+        x = (lo + hi) / 2
+        lo, hi = (x, hi) if sum(rate(x, s) * s for s in sizes) < target else (lo, x)
+    return [rate(lo, s) for s in sizes]
+
+
+def check_mix(rows, got):
+    """rows: (id, text, source); got: rows of the mix, several with one id or none among them."""
+    sizes = [(d, len(re.findall(r"[^\x20\x09-\x0d]+", t or "")), s) for d, t, s in rows]
+    words, by = collections.Counter(), collections.defaultdict(list)
+    for d, n, s in sizes:
+        words[s] += n
+        by[s].append((d, n))
+    target = plain_targets(words)
+    taken, seen = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        s = None if r.no_source else r.src
+        assert 0 <= r.copies <= 2 and r.source_size == words[s] and abs(r.target - target[s]) < 1e-6 * max(1, target[s])
+        taken[s] += r.copies * r.size
+        seen[s].append((r.doc_id is not None, r.doc_id or 0, r.size, r.rate))
+    for s, docs in by.items():
+        rate = plain_rates([n for _, n in docs], target[s])
+        want = sorted((d is not None, d or 0, n, x) for (d, n), x in zip(docs, rate, strict=True))
+        assert [w[:3] for w in want] == [g[:3] for g in sorted(seen[s])]
+        assert np.allclose([w[3] for w in want], [g[3] for g in sorted(seen[s])], rtol=1e-5, atol=1e-9), s
+        # one document more or less is the most that rounding leaves
+        assert abs(taken[s] - target[s]) <= max(n for _, n in docs) / 2 + 1, s
+
+
+def test_mixing(spark):
+    df, rows = awkward(spark)
+    a, b = (collections.Counter((r.doc_id, r.size, r.src, r.copies, round(r.rate, 9)) for r in mixing.mix(df).collect()) for _ in range(2))
+    assert a == b and a.total() == len(rows)
+    check_mix([(d, t, s) for d, t, _, s, _ in rows], mixing.mix(df).collect())
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_mixing_solves_the_dual(spark):
+    """Skewed sizes, sources at, above and below the cap, one without words, one of a single document."""
+    r = random.Random(5)
+    rows = [(i, " ".join("w" * int(r.paretovariate(0.8) * 3 % 700)) if i % 9 else None, ("hot", "hot", "big", "c", None)[i % 5]) for i in range(700)]
+    rows += [(1000 + i, "", "blank") for i in range(5)] + [(2000, "one document alone", "single")]
+    check_mix(rows, mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+
+
 def test_copies_come_near_targets(spark):
     r = random.Random(9)
     df = spark.createDataFrame([(i, "w " * r.randint(1, 80), "hot" if i % 3 else f"s{i % 4}") for i in range(1500)], "doc_id long, text string, source string")
@@ -219,26 +330,53 @@ def test_urls(spark):
         fits = [(len(h + p), len(h), h + p, v) for h, p, v in rules if h is not None and "/" not in h and (host == h or host.endswith("." + h)) and path.startswith(p)]
         want = (host, path, max(fits)[2] if fits else None, max(fits)[3] if fits else "allow")
         assert got[i] == want, u
+    long = "http://a.com/en/7" + "x" * 1_000_000
+    twice = spark.createDataFrame([(1, long), (1, long), (1, None), (None, "http://x.org/"), (None, "http://x.org/")], "page_id long, url string")
+    got = collections.Counter((x.page_id, x.rule, x.verdict) for x in url_rules.filter_urls(twice, spark.createDataFrame(rules, "host string, path string, verdict string")).collect())
+    assert got == {(1, "a.com/en/7", "allow"): 2, (1, None, "allow"): 1, (None, "org/", "block"): 2}
     assert url_rules.filter_urls(df.limit(0), spark.createDataFrame([], "host string, path string, verdict string")).count() == 0
 
 
 # ---- fingerprints --------------------------------------------------------------------------------------------------------
 
 
+def leaves_of(text):
+    return [[merkle.split_sentences(p) for p in merkle.split_paragraphs(x)] for x in merkle.split_sections(text)]
+
+
+def plain_likeness(a, b):
+    """The Dice share of sentence bytes in common, without digests."""
+    x, y = (collections.Counter(s for sec in leaves_of(t) for par in sec for s in par) for t in (a, b))
+    size = {s: len(s.encode()) for s in x | y}
+    total = sum(n * size[s] for c in (x, y) for s, n in c.items())
+    return 2 * sum((x & y)[s] * size[s] for s in x & y) / total if total else 1.0
+
+
+def plain_edits(a, b):
+    """Sentences of a that aren't in the paragraph of b at the same place; whole equal sections and paragraphs have none."""
+    x, y, n = leaves_of(a), leaves_of(b), 0
+    for i, section in enumerate(x):
+        for j, paragraph in enumerate(section):
+            theirs = y[i][j] if i < len(y) and j < len(y[i]) else []
+            n += sum(s not in theirs for s in paragraph)
+    return n
+
+
 def test_merkle(spark):
     df, rows = awkward(spark)
     from pyspark.sql import functions as F
 
     order = {r.t: r.h for r in df.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
-    s = sorted(((d, t or "") for d, t, *_ in rows), key=lambda x: (x[0], order[x[1]]))
+    s = sorted(((d, t or "") for d, t, *_ in rows), key=lambda x: (x[0] is not None, x[0] or 0, order[x[1]]))
     want = collections.Counter()
     for (d, t), (_, n) in zip(s, s[1:] + s[:1], strict=True):
         half = len(t) // 2
         e = t[: len(t) - half] + n[:half]
-        want[d, len(t), hashlib.sha256(e.encode()).hexdigest(), merkle.Tree(t).root.hex(), merkle.Tree(e).root.hex(), round(merkle.likeness(merkle.Tree(t), merkle.Tree(e)), 9)] += 1
-    got = collections.Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9)) for r in merkle.fingerprints(df, 5).collect())
+        want[d, len(t), hashlib.sha256(e.encode()).hexdigest(), merkle.Tree(t).root.hex(), merkle.Tree(e).root.hex(), round(plain_likeness(t, e), 9), round(plain_likeness(t, n), 9), plain_edits(t, e)] += 1
+    got = collections.Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9), r.edits) for r in merkle.fingerprints(df, 5).collect())
     assert got == want
     a, b = merkle.Tree("One. Two.\n\nThree. Four.\nFive."), merkle.Tree("One. Two.\n\nThree. Fuor.\nFive.")
+    assert "".join(s for sec in leaves_of("a.  b\n\n c!\r\n\nd") for par in sec for s in par) == "a.  b\n\n c!\r\n\nd"
     assert merkle.differing(a, b) == [(1, 0, 1)] and merkle.differing(a, a) == [] and 0 < merkle.likeness(a, b) < 1
     assert merkle.fingerprints(empty(spark)).count() == 0
 
@@ -287,6 +425,78 @@ def test_toxicity_of_few_labels(spark):
     assert {r.doc_id for r in toxicity.keep_clean(docs, none).collect()} == set(range(9))
 
 
+def naive_hits(model, folded):
+    """Entries at each place, the heaviest that counts; quiet where an exception phrase covers it."""
+    quiet = [(i, i + len(e) - 1) for e in model.exceptions for i in range(len(folded)) if folded.startswith(e, i)]
+    out = []
+    for i in range(len(folded)):
+        best = max(((w, i + len(e) - 1) for e, w in model.entries.items() if e not in model.exceptions and folded.startswith(e, i)), default=None)
+        if best and not any(a <= i and best[1] <= b for a, b in quiet):
+            out.append((i, best[1], best[0]))
+    return out
+
+
+def test_hits_against_naive_search():
+    r = random.Random(6)
+    vocabulary = ["scum", "pond", "vequ", "vequx", "a", "moron", "not", "the", "m0ron", "b4d"]
+    m = toxicity.Model({" scum ": 3.0, " vequ": 2.0, " vequx ": 4.0, " moron ": 2.5, " mor": 1.0}, [" pond scum ", " not a moron ", " the vequ"])
+    a = m.automaton()
+    for _ in range(300):
+        f = toxicity.fold(" ".join(r.choices(vocabulary, k=r.randint(0, 25))))
+        got, want = m.hits(a, f), naive_hits(m, f)
+        assert [(s, w) for s, _, w in got] == [(s, w) for s, _, w in want]
+        total = sum(w for *_, w in want)
+        x = m.features(a, f)
+        assert x[2] == len(want) and abs(x[0] - np.log1p(total)) < 1e-9 and abs(x[1] - total / np.sqrt(1 + f.count(" "))) < 1e-9
+        z = x[0] * m.curve[0] + x[1] * m.curve[1] + m.curve[2]
+        assert abs(m.score(np.array([x], float))[0] - 1 / (1 + np.exp(-z))) < 1e-12
+
+
+def test_folding_time_follows_the_length():
+    import time
+
+    for unit in ("long", "l0ng", "a@", "1", "é", "@ "):
+        start = time.process_time()
+        toxicity.fold(unit * 300_000)
+        assert time.process_time() - start < 5
+
+
+def test_gam_score_by_its_tables():
+    """Every row's score is the logistic of base, table entries and pair entries, looked up one by one."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(800, 4)), 1)
+    m = gam.fit_arrays(x, (x[:, 0] * x[:, 1] + x[:, 2] > 0).astype(float), bins=12, rounds=15, pair_rounds=10)
+    assert m.pairs
+    for row, got in zip(x[:200], m.score(x[:200]), strict=True):
+        z = m.base + sum(t[sum(v >= c for c in cuts)] for v, cuts, t in zip(row, m.cuts, m.tables, strict=True))
+        z += sum(t[sum(row[a] >= c for c in ca)][sum(row[b] >= c for c in cb)] for a, b, ca, cb, t in m.pairs)
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_features_of_text():
+    """Some features counted anew, letter by letter."""
+    for t in ("", "Ab 12!\n\nAb 12!\nc.", "x" * 10, "é ü \t Q|", "a a a b"):
+        f = dict(zip(gam.FEATURES, gam.features(t), strict=True))
+        raw = t.encode()
+        words = raw.split()
+        assert abs(f["log_bytes"] - np.log1p(len(raw))) < 1e-12 and abs(f["log_words"] - np.log1p(len(words))) < 1e-12
+        for name, chars in (("upper", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("digits", b"0123456789"), ("spaces", b" \t\n\r\x0b\x0c")):
+            assert abs(f[name] - sum(c in chars for c in raw) / max(1, len(raw))) < 1e-12
+        assert abs(f["distinct_words"] - len(set(words)) / max(1, len(words))) < 1e-12 or not raw
+
+
+def test_sample_is_bounded_by_ids(spark):
+    """A labelled id on many rows gives one text; contradicting labels take the larger; nulls and odd labels don't count."""
+    from graftwork.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(1, "a"), *[(2, f"t{i % 3}") for i in range(300)], (3, None), (4, "d"), (None, "n"), (5, "e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 0), (2, 1), (3, 1), (4, 7), (None, 1), (5, None)], "doc_id long, toxic int")
+    for rows in (10, 2):
+        got = [(r.doc_id, r.text, r.y) for r in labelled_sample(docs, labels, "toxic", 1000, 999, rows).select("doc_id", "text", "y").collect()]
+        assert len(got) == len({d for d, _, _ in got}) == min(rows, 3)
+        assert {(d, y) for d, _, y in got} <= {(1, 0), (2, 1), (3, 1)} and all(t in {1: ["a"], 2: ["t0", "t1", "t2"], 3: [None]}[d] for d, t, _ in got)
+
+
 def test_fold_and_exceptions():
     assert toxicity.fold("Ａ İdIoT! м0rоn st@pid 12") == " " + toxicity.fold("Ａ İdIoT! м0rоn st@pid 12").strip() + " "
     assert "moron" in toxicity.fold("you m0rоn") and "idiot" in toxicity.fold("1D10T")
@@ -294,7 +504,7 @@ def test_fold_and_exceptions():
     a = m.automaton()
     assert [w for *_, w in m.hits(a, toxicity.fold("scum, pond scum. scum scum"))] == [3.0, 3.0, 3.0]
     assert [w for *_, w in m.hits(a, toxicity.fold("vequx vequard aveq"))] == [4.0, 2.0]
-    assert m.features(a, "")[2] == 0
+    assert m.features(a, toxicity.fold(""))[2] == 0
 
 
 def test_classifiers_on_awkward_rows(spark):
@@ -328,23 +538,27 @@ def sets(t):
 
 
 def brute(rows):
-    s, parent = [sets(t) for _, t in rows], {}
+    """Each row a node; the component is the least id that its row reaches. Rows without an id are alone."""
+    s, parent = [sets(t) for _, t in rows], list(range(len(rows)))
 
     def find(x):
-        while parent.setdefault(x, x) != x:
+        while parent[x] != x:
             x = parent[x]
         return x
 
     for i in range(len(rows)):
         for j in range(i):
-            if s[i] and s[j] and 100 * len(s[i] & s[j]) >= 75 * len(s[i] | s[j]):
-                a, b = find(rows[i][0]), find(rows[j][0])
-                parent[max(a, b)] = min(a, b)
-    return collections.Counter((d, len(s[i]), find(d)) for i, (d, _) in enumerate(rows))
+            if s[i] and s[j] and rows[i][0] is not None and rows[j][0] is not None and 100 * len(s[i] & s[j]) >= 75 * len(s[i] | s[j]):
+                parent[find(i)] = find(j)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            low[find(i)] = min(d, low.get(find(i), d))
+    return collections.Counter((d, len(s[i]), None if d is None else low[find(i)]) for i, (d, _) in enumerate(rows))
 
 
-def jaccard_rows(df):
-    return collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect())
+def jaccard_rows(df, **work):
+    return collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, jaccard.Work(**work)).collect())
 
 
 def test_jaccard(spark):
@@ -353,10 +567,21 @@ def test_jaccard(spark):
     assert jaccard.jaccard_components(empty(spark)).count() == 0
 
 
-def test_jaccard_near_copy_groups(spark, monkeypatch):
-    """Groups larger than the short lists, boilerplate that many share, a chain of slow drift."""
-    monkeypatch.setattr(jaccard, "SHORT", 4)
-    r = random.Random(11)
+def test_pivots_follow_the_order():
+    """Pieces of the rare-first order, as many as asked for, each with about as many shingles."""
+    rng = np.random.default_rng(1)
+    sketch = rng.choice([0, 1, 1, 1, 2, 3, 40, 900], 1 << 14).astype(np.uint16)
+    s = np.sort(rng.integers(0, 1 << 63, 1 << 14, np.uint64) * np.uint64(2) + rng.integers(0, 2, 1 << 14, np.uint64))
+    s = np.repeat(s, np.maximum(1, jaccard._counts(s, sketch)))  # a shingle as often as it is counted
+    for k in (4, 16, 50):
+        cut = jaccard.pivots(sketch, k)
+        part = np.searchsorted(cut, jaccard._order(s, jaccard._counts(s, sketch)), "right")
+        assert len(cut) == k - 1 and (np.bincount(part, minlength=k) > len(s) / k / 3).all()
+        by_rank = np.argsort(jaccard._counts(s, sketch), kind="stable")
+        assert (np.diff(part[by_rank]) >= 0).all()
+
+
+def near_copies(r):
     base, shared = [f"w{i}" for i in range(80)], [f"b{i}" for i in range(40)]
     docs = []
     for _ in range(60):
@@ -368,8 +593,14 @@ def test_jaccard_near_copy_groups(spark, monkeypatch):
     drift = [f"d{i}" for i in range(100)]
     for k in range(12):
         docs.append(" ".join(drift[2 * k :] + [f"n{i}" for i in range(2 * k)]))
-    rows = list(enumerate(docs))
-    assert jaccard_rows(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    return docs
+
+
+@pytest.mark.parametrize("work", [{"short": 4}, {"short": 4, "cuts": 16, "hubs": (1, 2)}, {"cuts": 1, "long": 3, "salts": 5}, {"long": 2, "salts": 7, "hubs": (1,), "sketch": 1 << 10}])
+def test_jaccard_near_copy_groups(spark, work):
+    """Groups larger than the short lists, lists dealt out to salts, boilerplate that many share, a chain of slow drift."""
+    rows = list(enumerate(near_copies(random.Random(11))))
+    assert jaccard_rows(spark.createDataFrame(rows, "doc_id long, text string"), **work) == brute(rows)
 
 
 # ---- encoding -----------------------------------------------------------------------------------------------------------------
@@ -411,6 +642,32 @@ def test_encode_documents(spark, library):
     assert full[0] == library.encode(rows[0][1], add_special_tokens=False).ids
 
 
+def test_files_of_another_kind_go_whole(spark, tmp_path):
+    """A BPE without pre-tokenizer merges across blanks: texts are long enough to be cut, and must not be."""
+    from tokenizers import Tokenizer, models
+
+    letters = ["a", "b", " ", "a ", "a b", "ba", "a ba"]
+    t = Tokenizer(models.BPE(vocab={x: i for i, x in enumerate(letters)}, merges=[("a", " "), ("a ", "b"), ("b", "a"), ("a ", "ba")]))
+    path = str(tmp_path / "plain.json")
+    t.save(path)
+    r = random.Random(3)
+    base = "".join(r.choices("ab ", k=3000))
+    rows = [(i, base + "".join(r.choices("ab ", k=r.randint(0, 500))) if i % 4 else None) for i in range(12)]
+    got = {x.doc_id: (x.n_tokens, x.ids_sha256) for x in bpe.encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()}
+    for d, text in rows:
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        assert got[d] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_hot_chunks(spark, library):
+    """A passage that most documents share is split off the join; results stay the library's."""
+    r = random.Random(2)
+    shared = words(r, 400)
+    rows = [(i, words(r, r.randint(1, 60)) + "\n" + shared * r.randint(1, 2) + words(r, 5)) for i in range(60)]
+    got = {x.doc_id: x.n_tokens for x in bpe.encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()}
+    assert got == {d: len(library.encode(t, add_special_tokens=False).ids) for d, t in rows}
+
+
 # ---- the pipeline ----------------------------------------------------------------------------------------------------------------
 
 
@@ -432,9 +689,54 @@ def test_pipeline(spark, library):
     assert out == collections.Counter({(d, len(library.encode(t, add_special_tokens=False).ids)): n for (d, t), n in texts.items()})
 
 
-def test_pipeline_on_awkward_rows(spark):
+def test_pipeline_on_awkward_rows(spark, library):
     pipeline = pytest.importorskip("corpus_pipeline")
+    from graftwork.session import load, written
+
     df, _ = awkward(spark)
-    for docs in (df, empty(spark)):
-        for _, stage in pipeline.STAGES[:-1]:
-            assert stage(spark, docs, SF).select(*pipeline.COLUMNS).count() >= 0
+    df, columns = written(df), pipeline.COLUMNS
+    stages = dict(pipeline.STAGES)
+
+    def rows(x):
+        return collections.Counter(tuple(r[c] for c in columns) for r in x.select(*columns).collect())
+
+    before = rows(df)
+    for name, m, score in (("toxicity", toxicity, lambda v: v < 0.3), ("quality", gam, lambda v: v >= 0.3)):
+        model = m.fit(df.select(*columns), load(spark, SF, "labels"))
+        scored = m.score(df.select("doc_id", "text"), model)
+        out = rows(stages[name](spark, df, SF))
+        assert out.total() == sum(score(r.score) for r in scored.collect()) and not out - before
+    # near copies: of each component the least id, of repeats one; rows without words or ids are never near copies
+    distinct = {(d, t) for d, t, *_ in before}
+    classes = collections.defaultdict(list)
+    for d, t in distinct:
+        if d is not None and sets(t):
+            classes[next(iter(k for k in classes if 100 * len(sets(k) & sets(t)) >= 75 * len(sets(k) | sets(t))), t)].append((d, t))
+    want = {(d, t) for d, t in distinct if d is None or not sets(t)} | {min(c, key=lambda x: x[0]) for c in classes.values()}
+    kept = written(stages["near_copies"](spark, df, SF))
+    assert collections.Counter((d, t) for (d, t, *_), n in rows(kept).items() for _ in range(n)) == collections.Counter(want)
+    # mixing: whole rows come again, twice at most, and words come near the targets
+    mixed = rows(stages["mixing"](spark, kept, SF))
+    assert not [r for r, n in mixed.items() if n > 2 or r not in rows(kept)]
+    size = {r: len(re.findall(r"[^\x20\x09-\x0d]+", r[1] or "")) for r in rows(kept)}
+    source, words_of, taken, largest = columns.index("source"), collections.Counter(), collections.Counter(), collections.Counter()
+    for r, n in rows(kept).items():
+        words_of[r[source]] += n * size[r]
+        largest[r[source]] = max(largest[r[source]], size[r])
+    for r, n in mixed.items():
+        taken[r[source]] += n * size[r]
+    target = plain_targets(words_of)
+    assert all(abs(taken[x] - target[x]) <= largest[x] / 2 + 1 for x in words_of)
+    out = collections.Counter((r.doc_id, r.n_tokens) for r in stages["bpe"](spark, df, SF).collect())
+    assert out == collections.Counter((d, len(library.encode(t or "", add_special_tokens=False).ids)) for (d, t, *_), n in before.items() for _ in range(n))
+    for stage in stages.values():
+        assert stage(spark, empty(spark), SF).count() == 0
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """Rows are told apart by id and text: a copy under an id that also stands on another text goes, the other text stays."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, c = " ".join(f"a{i}" for i in range(30)), " ".join(f"c{i}" for i in range(30))
+    docs = spark.createDataFrame([(3, a, "en", "s", 1), (3, c, "en", "s", 1), (1, c, "en", "s", 1), (3, a, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.text) for r in pipeline.drop_near_copies(spark, docs, SF).collect())
+    assert got == [(1, c), (3, a)]
