@@ -27,13 +27,15 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links by n-gram Jaccard, the document with the smallest id stays; of repeated rows, one."""
-    docs = docs.select(*COLUMNS)
-    groups = jaccard.jaccard_components(docs.select("doc_id", "text"))
-    heads = groups.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("head")).distinct()
-    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["head"]), "left_semi")
-    again = F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang", "source"))
-    return kept.withColumn("again", again).where("again = 1").select(*COLUMNS)
+    """Of each group that links by n-gram Jaccard, the row with the smallest id stays; of exactly repeated rows, one.
+
+    Rows are told apart by id and text. Rows without words or without an id link with nothing and stay.
+    """
+    row = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("row")
+    stays = jaccard.near_copies(docs.select("doc_id", "text")).where("stays").select(row, "key").distinct()
+    rows = docs.select(*COLUMNS, row, jaccard.text_key(F.col("text")).alias("key")).join(stays, ["row", "key"])
+    again = F.row_number().over(W.partitionBy("row", "key").orderBy("lang", "source", "n_chars"))
+    return rows.withColumn("again", again).where("again = 1").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
