@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graftwork.llm.common import bloom_has, bounded_bloom, join_hot, pieces
-from graftwork.session import written
+from graftwork.llm.common import lean_written as written
 
 #: The published pre-tokenizer pattern of byte-level BPE; its white space is Unicode's.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"

@@ -112,6 +112,17 @@ def file_count(df: DataFrame, most_bytes: int) -> int:
     return max(least, -(-size // most_bytes)) if size < 1 << 60 else least  # beyond that nothing is known
 
 
+def lean_written(df: DataFrame, name: str, rows: int = 1000) -> DataFrame:
+    """`written`, with Arrow batches of `rows` rows on the way: where rows hold whole texts or sets, so that few of them meet in memory."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        return written(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def open_store(uri: str):
     """The file system of a path that Spark names, and the path in it: for reads by range in a task."""
     from pyarrow import fs
@@ -121,7 +132,7 @@ def open_store(uri: str):
 
 def stream(rows: DataFrame, name: str, parts: int = 4) -> Iterator:
     """The rows, brought to the driver part by part: for results of bounded size. A job a part, not one a shuffle partition."""
-    return written(rows, name).coalesce(parts).toLocalIterator()
+    return lean_written(rows, name).coalesce(parts).toLocalIterator()
 
 
 #: Bits of a broadcast membership sketch at most (16 MiB).

@@ -39,8 +39,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graftwork.llm.common import bloom_has, bounded_bloom, join_hot, pieces, release, stream
+from graftwork.llm.common import lean_written as written
 from graftwork.operators.components import connected_components
-from graftwork.session import written
 
 WORDS = 5
 NUM, DEN = 75, 100
