@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -138,22 +139,27 @@ def tree_segments(tree: DataFrame, points: DataFrame, length: int = 15, branches
 
     if length < 4:
         raise ValueError("segments need four nodes or more")
-    path = backbone(tree, branches)
-    rng = np.random.default_rng(seed)
-    ends, label = [], 0
-    for nodes in path:
-        k = max(1, len(nodes) // length)
-        sizes = [length] * k
-        for i in rng.permutation(np.arange(len(nodes) - k * length) % k if len(nodes) > k * length else np.zeros(0, int)):
-            sizes[int(i)] += 1
-        at = 0
-        for s in sizes:
-            seg = nodes[at : at + s]
-            if seg:
-                ends += [(int(seg[0]), label), (int(seg[-1]), label)]
-                label += 1
-            at += s
-    e = points.sparkSession.createDataFrame(sorted(set(ends)), "id long, label long").groupBy("id").agg(F.min("label").alias("label"))
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng(seed)
+        ends, label = [], 0
+        for _, path in pdf.sort_values(["path", "place"]).groupby("path"):
+            nodes = path["id"].tolist()
+            k = max(1, len(nodes) // length)
+            sizes = [length] * k
+            for i in rng.permutation(np.arange(len(nodes) - k * length) % k if len(nodes) > k * length else np.zeros(0, int)):
+                sizes[int(i)] += 1
+            at = 0
+            for s in sizes:
+                seg = nodes[at : at + s]
+                if seg:
+                    ends += [(seg[0], label), (seg[-1], label)]
+                    label += 1
+                at += s
+        return pd.DataFrame(ends, columns=["id", "label"])
+
+    # one task, as the backbone's walk is; the driver holds no path
+    e = written(backbone(tree, branches).groupBy().applyInPandas(cut, "id long, label long").groupBy("id").agg(F.min("label").alias("label")), "ends")
     near = D.nearest(points.select("id", "pos"), points.select("id", "pos").join(e.select("id"), "id"))
     labels = written(near.select(F.col("u").alias("id"), F.col("v")).join(e.select(F.col("id").alias("v"), "label"), "v").select("id", "label"), "labels")
     return nearest_point(cluster_means(points, labels), points), labels

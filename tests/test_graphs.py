@@ -252,3 +252,30 @@ def test_searches_find_the_optimum(spark):
         best = min(cost(g, list(t)) for t in itertools.combinations(range(g.m), g.n - 1) if len(T._below(g, list(t), 0)) == g.n - 1)
         got = {(r.u, r.v) for r in search(frame(spark, rows), cost).collect()}
         assert abs(cost(g, [i for i, (u, v, _) in enumerate(rows) if (u, v) in got]) - best) < 1e-9
+
+
+def test_backbone_segments_label_all_points(spark):
+    """A path of 30 nodes on a line in segments of five: six labels of five, each node with its nearest end."""
+    from pyspark.sql import functions as F
+
+    from graftwork.operators import cluster as CL
+
+    p = spark.range(30).select("id", F.array(F.col("id").cast("double"), F.lit(0.0)).alias("pos"))
+    t = spark.range(29).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(1.0).alias("w"))
+    centers, labels = CL.tree_segments(t, p, 5)
+    by = {}
+    for r in labels.collect():
+        by.setdefault(r.label, []).append(r.id)
+    assert sorted(sorted(x) for x in by.values()) == [list(range(k, k + 5)) for k in range(0, 30, 5)]
+    assert centers.count() == 6
+
+
+def test_endpoint_loop_weighs_leaves(spark):
+    from pyspark.sql import functions as F
+
+    from graftwork.operators import patch as PA
+
+    e = frame(spark, random_graph(1))
+    p = spark.range(10).select("id", F.array(F.col("id").cast("double"), (F.col("id") % 3).cast("double")).alias("pos"))
+    tree, w = PA.endpoint_loop(e, p, spark.createDataFrame([(0,), (7,)], "id long"), 2)
+    assert tree.count() == 9 and w.count() == 10
