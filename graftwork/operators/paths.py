@@ -163,15 +163,18 @@ def affected_sources(dist: DataFrame, u: int, v: int, w: float) -> DataFrame:
 
 
 def apsp_decrease_counted(edges: DataFrame, paths: DataFrame, u: int, v: int, w: float) -> DataFrame:
-    """SP-06, SP-08: (source, id, dist, sigma) after the edge's weight fell to w: only affected sources are run anew."""
+    """SP-06, SP-08: (source, id, dist, sigma) after the edge's weight became w: only affected sources are run anew. Should w be above
+    the weight so far, those are the sources with shortest paths over the edge as it was."""
     from graftwork.model import canonical
 
     a, b = min(u, v), max(u, v)
     kind = edges.schema["w"].dataType
     one = edges.sparkSession.range(1).select(F.lit(a).cast("long").alias("u"), F.lit(b).cast("long").alias("v"), F.lit(w).cast(kind).alias("w"))
-    new = written(canonical(edges.select("u", "v", "w").unionAll(one)), "edges")
-    d = paths.select("source", "id", "dist")
-    hit = written(affected_sources(d, u, v, w).union(affected_sources(d, v, u, w)).distinct(), "affected")
+    here = ((F.col("u") == a) & (F.col("v") == b)) | ((F.col("u") == b) & (F.col("v") == a))
+    old = edges.where(here).agg(F.min("w")).first()[0]
+    new = written(canonical(edges.select("u", "v", "w").where(~here).unionAll(one)), "edges")
+    d, low = paths.select("source", "id", "dist"), w if old is None else min(w, old)
+    hit = written(affected_sources(d, u, v, low).union(affected_sources(d, v, u, low)).distinct(), "affected")
     return paths.join(hit.select(F.col("id").alias("source")), "source", "left_anti").select("source", "id", "dist", "sigma").unionByName(sssp(new, hit))
 
 

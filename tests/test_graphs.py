@@ -279,3 +279,12 @@ def test_endpoint_loop_weighs_leaves(spark):
     p = spark.range(10).select("id", F.array(F.col("id").cast("double"), (F.col("id") % 3).cast("double")).alias("pos"))
     tree, w = PA.endpoint_loop(e, p, spark.createDataFrame([(0,), (7,)], "id long"), 2)
     assert tree.count() == 9 and w.count() == 10
+
+
+@pytest.mark.parametrize("w", [1, 40])
+def test_counted_paths_after_a_weight_falls_or_rises(spark, w):
+    e = [(u, v, 15 if (u, v) == (0, 1) else x) for u, v, x in random_graph(3)]
+    ids = spark.range(10)
+    rows = lambda df: sorted((r.source, r.id, r.dist, r.sigma) for r in df.collect())
+    got = S.apsp_decrease_counted(frame(spark, e), S.sssp(frame(spark, e), ids), 0, 1, w)
+    assert rows(got) == rows(S.sssp(frame(spark, [(u, v, w if (u, v) == (0, 1) else x) for u, v, x in e]), ids))
