@@ -340,7 +340,10 @@ def _below(g: K.Csr, tree: list[int], root: int) -> list[tuple[int, int, int]]:
 
 def local_search(g: K.Csr, tree: list[int], cost: Callable, rounds: int | None = None) -> list[int]:
     """TR-24: passes over all tree edges, dear ones first; each goes for the first edge across its cut, cheap ones first, by
-    which the cost falls. Ends with the pass that swaps nothing (then no single swap helps), or after `rounds` passes."""
+    which the cost falls, or stays and the new edge comes first by (weight, number), so that among trees of equal cost the end doesn't
+    hang on the start. Ends with the pass that swaps nothing (then no single swap helps), or after `rounds` passes."""
+    place = np.empty(g.m, int)
+    place[np.argsort(np.asarray(g.w, float), kind="stable")] = np.arange(g.m)
     best, value, swapped = list(tree), cost(g, tree), True
     while swapped and rounds != 0:
         rounds, swapped = None if rounds is None else rounds - 1, False
@@ -355,7 +358,7 @@ def local_search(g: K.Csr, tree: list[int], cost: Callable, rounds: int | None =
             for e in sorted(over, key=lambda e: float(g.w[e])):
                 new = [x for x in best if x != out] + [e]
                 c = cost(g, new)
-                if c < value - 1e-12:
+                if c < value - 1e-12 or (c <= value and place[e] < place[out]):
                     best, value, swapped = new, c, True
                     break
     return best

@@ -298,3 +298,14 @@ def test_no_top_node_where_no_path_has_an_inside(spark, monkeypatch):
     assert Q.cn09_kadabra(spark, "").collect() == []
     monkeypatch.setattr(Q, "kept", lambda s, d: frame(spark, DIAMOND))
     assert [r.id for r in Q.cn09_kadabra(spark, "").collect()] == [3]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_local_search_of_equal_weights_ends_in_the_first_tree(seed):
+    """Many ties: from any tree the search ends in the least one by (w, u, v)."""
+    r = random.Random(seed)
+    e = [(u, v, r.randint(7, 8)) for u, v in itertools.combinations(range(9), 2)]
+    u, v, w = (np.array(c) for c in zip(*e, strict=True))
+    g = K.Csr(u, v, w)
+    got = T.local_search(g, T.grow(g, np.ones(g.m), [0], np.random.default_rng(seed)), T.centrality_cost(0.0))
+    assert sorted(got) == sorted(K.spanning_forest(u, v, w).tolist())
