@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graftwork.operators.distance import euclid
+from graftwork.operators.distance import distances, euclid, scan
 from graftwork.session import read_in_task, write_table, written
 
 #: Cells of a cost matrix that one task may hold for the exact plan.
@@ -37,10 +38,14 @@ def histogram(measure: DataFrame) -> DataFrame:
 
 def _all_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """Every row of a with every row of b, at most `COST_CELLS`: a cost matrix is all pairs by its meaning, so its size is checked."""
+    _check_cells(a, b)
+    return a.crossJoin(b)
+
+
+def _check_cells(a: DataFrame, b: DataFrame) -> None:
     n, m = a.count(), b.count()
     if n * m > COST_CELLS:
         raise ValueError(f"{n} x {m} cells: more than {COST_CELLS}; discretize more coarsely")
-    return a.crossJoin(b)
 
 
 def point_costs(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -59,10 +64,34 @@ def segment_distance(u1: Column, v1: Column, u2: Column, v2: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), dot(a, a) / 3 + dot(a, b) + dot(b, b)))
 
 
+def segment_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """OT-04 of all pairs of rows, each both ends of a segment one after the other."""
+    d = x.shape[1] // 2
+    (u1, v1), (u2, v2) = ((z[:, :d], z[:, d:]) for z in (x, y))
+    turn = distances(u1, v2) + distances(v1, u2) < distances(u1, u2) + distances(v1, v2)
+    aa, ab, bb = (np.zeros(turn.shape) for _ in range(3))
+    for c in range(d):
+        b = v1[:, c, None] - np.where(turn, u2[None, :, c], v2[None, :, c])
+        a = u1[:, c, None] - np.where(turn, v2[None, :, c], u2[None, :, c]) - b
+        aa += a * a
+        ab += a * b
+        bb += b * b
+    return np.sqrt(np.maximum(0.0, aa / 3 + ab + bb))
+
+
 def edge_costs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """OT-05: (i, j, cost) of all pairs of (id, p, q) edges."""
-    x, y = a.select(F.col("id").alias("i"), F.col("p").alias("p1"), F.col("q").alias("q1")), b.select(F.col("id").alias("j"), F.col("p").alias("p2"), F.col("q").alias("q2"))
-    return _all_pairs(x, y).select("i", "j", segment_distance(F.col("p1"), F.col("q1"), F.col("p2"), F.col("q2")).alias("cost"))
+    """OT-05: (i, j, cost) of all pairs of (id, p, q) edges, block by block."""
+    _check_cells(a, b)
+    arrow = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("cost", pa.float64())])
+
+    def fn(i, x, _, chunks):
+        step = 256
+        for j, y, _ in chunks:
+            for k in range(0, len(i), step):
+                c = segment_distances(x[k : k + step], y)
+                yield np.repeat(i[k : k + step], len(j)), np.tile(j, len(c)), c.ravel()
+
+    return scan(*(t.select("id", F.concat("p", "q").alias("pos")) for t in (a, b)), fn, "i long, j long, cost double", arrow)
 
 
 def sinkhorn(costs: DataFrame, a: DataFrame, b: DataFrame, reg: float = 0.1, rounds: int = 50) -> DataFrame:
