@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from graftwork.model import KERNEL_EDGES, both_ways, nodes_of
 from graftwork.operators.graph import degrees
 from graftwork.operators.kernels import Csr
-from graftwork.operators.paths import SharedGraph, one_task, sssp, sum_over_sources
+from graftwork.operators.paths import SharedGraph, hop_sums, one_task, sssp, sum_over_sources
 from graftwork.session import Rounds, written
 
 #: Nodes of graphs whose dense inverse one task may hold.
@@ -410,7 +410,10 @@ def sampled_spanning_edge(edges: DataFrame, eps: float = 0.1, delta: float = 0.1
 def closeness(edges: DataFrame, variant: str = "standard", normalized: bool = True, unweighted: bool = False, sources: DataFrame | None = None) -> DataFrame:
     """CN-13: (reached - 1) / sum of distances; generalized: times (reached - 1) / (n - 1); not normalized: 1 / sum."""
     n = nodes_of(edges).count()
-    d = sssp(edges, sources or nodes_of(edges), unweighted).groupBy(F.col("source").alias("id")).agg(F.sum("dist").alias("far"), F.count("*").alias("r"))
+    if unweighted:
+        d = hop_sums(edges, sources or nodes_of(edges)).select("id", F.col("far").cast("double").alias("far"), F.col("reached").alias("r"))
+    else:
+        d = sssp(edges, sources or nodes_of(edges)).groupBy(F.col("source").alias("id")).agg(F.sum("dist").alias("far"), F.count("*").alias("r"))
     c = F.when(F.col("far") > 0, ((F.col("r") - 1) if normalized else F.lit(1.0)) / F.col("far")).otherwise(0.0)
     if variant == "generalized":
         c = c * (F.col("r") - 1) / max(1, n - 1)
@@ -431,7 +434,9 @@ def approx_closeness(edges: DataFrame, n_samples: int, seed: int = 42, unweighte
 def harmonic(edges: DataFrame, normalized: bool = True, unweighted: bool = False) -> DataFrame:
     """CN-16: sum of 1 / distance, over n - 1 if normalized."""
     n = nodes_of(edges).count()
-    return sssp(edges, nodes_of(edges), unweighted).groupBy(F.col("source").alias("id")).agg((F.sum(F.when(F.col("dist") > 0, 1 / F.col("dist")).otherwise(0.0)) / (n - 1 if normalized else 1)).alias("score"))
+    if unweighted:
+        return hop_sums(edges, nodes_of(edges)).select("id", (F.col("near") / (n - 1 if normalized else 1)).alias("score"))
+    return sssp(edges, nodes_of(edges)).groupBy(F.col("source").alias("id")).agg((F.sum(F.when(F.col("dist") > 0, 1 / F.col("dist")).otherwise(0.0)) / (n - 1 if normalized else 1)).alias("score"))
 
 
 def top_closeness(edges: DataFrame, k: int = 1, trail: bool = False) -> DataFrame:

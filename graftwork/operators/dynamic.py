@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from graftwork.model import nodes_of
 from graftwork.operators.centrality import sample_size
 from graftwork.operators.kernels import Csr
-from graftwork.operators.paths import SharedGraph, sssp, sum_over_sources
+from graftwork.operators.paths import SharedGraph, hop_sums, sssp, sum_over_sources
 from graftwork.session import written
 from graftwork.sources.generators import uniform
 
@@ -144,14 +144,32 @@ class DynBetweennessOneNode(DynPaths):
 
 
 class DynTopHarmonicCloseness(DynPaths):
-    """CN-19: the k nodes of largest harmonic closeness; only affected sources' distances are run anew."""
+    """CN-19: the k nodes of largest harmonic closeness; only affected sources' distances are run anew. By hops, a sum is kept for each
+    source instead of its distances."""
 
     def __init__(self, edges: DataFrame, k: int = 1, unweighted: bool = True) -> None:
-        super().__init__(edges, unweighted)
         self.k = k
+        if not unweighted:
+            super().__init__(edges, unweighted)
+            return
+        self.unweighted, self.edges = unweighted, written(edges.select("u", "v", "w"), "edges")
+        self.near = written(hop_sums(self.edges, nodes_of(self.edges)).select("id", "near"), "near")
+        self.ran = self.near.count()
+
+    def update_batch(self, changes: Iterable[Change]) -> None:
+        if not self.unweighted:
+            super().update_batch(changes)
+            return
+        changed = changed_edges(self.edges, changes)
+        hit = written(affected(self.edges, changed, True), "affected")
+        self.edges = after_changes(self.edges, changed)
+        self.near = written(self.near.join(hit, "id", "left_anti").unionByName(hop_sums(self.edges, hit).select("id", "near")), "near")
+        self.ran = hit.count()
 
     def top(self) -> DataFrame:
         """(id, score), best first, ties to the smaller id."""
+        if self.unweighted:
+            return self.near.where("near > 0").select("id", F.round("near", 9).alias("score")).orderBy(F.desc("score"), "id").limit(self.k)
         far = self.paths.where("dist > 0").groupBy(F.col("source").alias("id")).agg(F.round(F.sum(1.0 / F.col("dist")), 9).alias("score"))
         return far.orderBy(F.desc("score"), "id").limit(self.k)
 

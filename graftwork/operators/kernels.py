@@ -129,6 +129,36 @@ class Csr:
         return out
 
 
+class Hops:
+    """Breadth-first searches from many sources at once, a bit for each in every node's words."""
+
+    def __init__(self, u: np.ndarray, v: np.ndarray) -> None:
+        self.ids = np.unique(np.concatenate([u, v]))
+        self.n = len(self.ids)
+        a, b = np.searchsorted(self.ids, u), np.searchsorted(self.ids, v)
+        src, dst = np.r_[a, b], np.r_[b, a]
+        order = np.argsort(src, kind="stable")
+        self.dst, self.start = dst[order], np.searchsorted(src[order], np.arange(self.n))  # every node has an edge
+
+    def sums(self, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each source: how many nodes it reaches, itself too, the sum of their hops, and of 1 / hops."""
+        k = len(sources)
+        seen = np.zeros((self.n, -(-k // 64)), np.uint64)
+        for j, s in enumerate(sources):
+            seen[s, j // 64] |= np.uint64(1 << (j % 64))
+        front, reached, far, near, level = seen.copy(), np.ones(k, np.int64), np.zeros(k, np.int64), np.zeros(k), 0
+        while True:
+            front = np.bitwise_or.reduceat(front[self.dst], self.start, axis=0) & ~seen
+            if not front.any():
+                return reached, far, near
+            seen |= front
+            level += 1
+            c = np.zeros(k, np.int64)
+            for x in range(0, self.n, 1 << 14):
+                c += np.unpackbits(front[x : x + (1 << 14)].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)[:k]
+            reached, far, near = reached + c, far + level * c, near + c / level
+
+
 class UnionFind:
     """Classes named by their least member (GP-12)."""
 

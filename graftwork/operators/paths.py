@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graftwork.model import KERNEL_EDGES, both_ways
-from graftwork.operators.kernels import Csr
+from graftwork.operators.kernels import Csr, Hops
 from graftwork.session import Rounds, read_in_task, write_table, written
 
 
@@ -131,6 +131,25 @@ def sssp(edges: DataFrame, sources: DataFrame, unweighted: bool = False) -> Data
     return per_source(edges, sources, fn, "source long, id long, dist double, sigma double")
 
 
+def hop_sums(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, reached, far, near): for each source the nodes it reaches (itself too), the sums of their hops and of 1 / hops; no pair of
+    nodes is kept."""
+    graph = SharedGraph(edges)
+    load = graph.in_task()
+
+    def run(batches):
+        g = None
+        for pdf in batches:
+            if g is None and len(pdf):
+                g = Hops(*load()[:2])
+            at = np.array(_numbers(g, pdf["id"].tolist()) if g else [], int)
+            for k in range(0, len(at), 512):
+                reached, far, near = g.sums(at[k : k + 512])
+                yield pd.DataFrame({"id": g.ids[at[k : k + 512]], "reached": reached, "far": far, "near": near})
+
+    return _sources_in_tasks(graph, sources).mapInPandas(run, "id long, reached long, far long, near double")
+
+
 def distance_between(edges: DataFrame, source: int, target: int) -> float:
     """SP-03: stops at the target."""
 
