@@ -40,6 +40,35 @@ def minimum_spanning_tree(edges: DataFrame, largest: bool = False) -> DataFrame:
     return tree if tree is not None else e
 
 
+def euclidean_tree(points: DataFrame, k: int = 12) -> DataFrame:
+    """TR-16 over all pairs of points, of which none but k neighbours each are written: in rounds each component takes its least edge by
+    (w, u, v). That is in a point's list of neighbours, or, where all of a list is inside and ends no farther than the component's
+    least edge so far, found by a scan for the nearest point outside."""
+    from graftwork.operators import distance as D
+
+    p = written(points.select("id", "pos"), "points")
+    near = written(D.knn(p, k), "near")
+    last = near.groupBy("u").agg(F.max("w").alias("last"))
+    keep = Rounds(points.sparkSession)
+    label, tree = p.select("id", F.col("id").alias("component")), None
+    while True:
+        a, b = label.select(F.col("id").alias("u"), F.col("component").alias("cu")), label.select(F.col("id").alias("v"), F.col("component").alias("cv"))
+        out = keep.written(near.select("u", "v", "w").join(a, "u").join(b, "v").where("cu <> cv").select("u", "v", "w", F.col("cu").alias("c")), "out")
+        bound = out.groupBy("c").agg(F.min("w").alias("bound"))
+        inner = label.withColumnRenamed("component", "c").join(out.select(F.col("u").alias("id")), "id", "left_anti").join(last.withColumnRenamed("u", "id"), "id", "left")
+        inner = keep.written(inner.join(bound, "c", "left").where("bound is null or last is null or last <= bound").select("id", "c"), "inner")
+        some = out
+        if not inner.isEmpty():
+            located = p.join(label.withColumnRenamed("component", "c"), "id")
+            some = some.unionByName(D.nearest(p.join(inner, "id"), located, other="c").join(inner.withColumnRenamed("id", "u"), "u"))
+        edge = F.struct("w", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        best = keep.written(some.groupBy("c").agg(F.min(edge).alias("b")).select("b.u", "b.v", "b.w").distinct(), "best")
+        if best.isEmpty():
+            return best if tree is None else tree
+        tree = keep.written(best if tree is None else tree.unionByName(best), "tree")
+        label = keep.written(components(tree, p), "label")
+
+
 def iterated_centrality_tree(edges: DataFrame, scorer: str = "cluster_all", centers: DataFrame | None = None, zeros_stay_zeros: bool = False, groups: str | None = None, node_weights: DataFrame | None = None, seeds: list[tuple[int, int]] | None = None, per_round: int = 1, original_weights: bool = False) -> DataFrame:
     """TR-01: (u, v, w, step, score) of the picked edges; w is the highway weight, least / (4 n), or the edge's own.
 
@@ -251,11 +280,10 @@ def representatives_tree(tree: DataFrame, points: DataFrame, centers: DataFrame)
 
 def jitter_tree(points: DataFrame, jitter: float, seed: int = 42) -> DataFrame:
     """TR-19."""
-    from graftwork.operators.distance import pairwise
     from graftwork.sources.generators import normal
 
     moved = points.withColumn("pos", F.transform("pos", lambda x, i: x + jitter * normal(F.col("id") * 1000 + i, seed, 1)))
-    return minimum_spanning_tree(pairwise(moved))
+    return euclidean_tree(moved)
 
 
 def subgraph_tree(edges: DataFrame, share: float, seed: int = 42) -> DataFrame:
