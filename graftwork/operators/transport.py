@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -9,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graftwork.operators.distance import distances, euclid, scan
-from graftwork.session import read_in_task, write_table, written
+from graftwork.session import batches_in_task, read_in_task, write_table, written
 
 #: Cells of a cost matrix that one task may hold for the exact plan.
-EXACT_CELLS = 250_000
+EXACT_CELLS = 1 << 27
 #: Cells of a cost matrix at all.
 COST_CELLS = 1 << 28
 
@@ -107,47 +109,151 @@ def sinkhorn(costs: DataFrame, a: DataFrame, b: DataFrame, reg: float = 0.1, rou
     return k.join(u, "i").join(v, "j").select("i", "j", (F.col("u") * F.col("k") * F.col("v")).alias("flow"), "cost")
 
 
-def exact_plan(cost: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least-cost flow by successive shortest paths with potentials."""
+def _matched(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """Masses in whole units, 2^52 for the larger side; both sides alike where their totals agree to rounding."""
+    total, unit = max(a.sum(), b.sum()), 1 << 52
+    x, y = ([round(m) for m in (t / total * unit).tolist()] for t in (a, b))
+    gap = sum(x) - sum(y)
+    if gap and abs(gap) <= unit * 1e-9:
+        t = x if gap < 0 else y
+        t[max(range(len(t)), key=t.__getitem__)] += abs(gap)
+    return x, y
+
+
+def _first_basis(cost: np.ndarray, left: list[int], need: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """(parent, flow, order) of a tree over rows and columns (numbered after them): cells by rising cost take what they can, and the
+    side that runs out hangs on the other. Arcs without flow lead from a row up to a column, so that no pivots cycle."""
     n, m = cost.shape
-    flow, left, need = np.zeros((n, m)), a.astype(float).copy(), b.astype(float).copy()
-    pu, pv = np.zeros(n), cost.min(0)
-    while left.max() > 1e-12 and need.max() > 1e-12:
-        red = np.maximum(cost - pv[None, :] + pu[:, None], 0)
-        du, dv = np.where(left > 1e-12, 0.0, np.inf), np.full(m, np.inf)
-        fu, fv = np.full(n, -1), np.full(m, -1)
-        done_u, done_v = np.zeros(n, bool), np.zeros(m, bool)
-        while True:
-            i, j = int(np.where(done_u, np.inf, du).argmin()), int(np.where(done_v, np.inf, dv).argmin())
-            x, y = (np.inf if done_u[i] else du[i]), (np.inf if done_v[j] else dv[j])
-            if min(x, y) == np.inf:
-                break
-            if x <= y:
-                done_u[i] = True
-                c = du[i] + red[i]
-                hit = c < dv - 1e-15
-                dv[hit], fv[hit] = c[hit], i
+    left, need = list(left), list(need)
+    parent, flow, order = [-1] * (n + m), [0] * (n + m), []
+    free, rows, cols = np.zeros(m), n, m  # free: infinite where a column is closed
+    best = cost.argmin(1).tolist()
+    heap = list(zip(cost[np.arange(n), best].tolist(), range(n)))
+    heapq.heapify(heap)
+    open_ = [True] * m
+    while heap:
+        c, i = heap[0]
+        j = best[i]
+        if not open_[j]:
+            j = best[i] = int((cost[i] + free).argmin())
+            heapq.heapreplace(heap, (float(cost[i, j]), i))
+            continue
+        x = min(left[i], need[j])
+        if rows == cols == 1:
+            parent[i], flow[i] = n + j, x
+            return parent, flow, [*order, i, n + j]
+        left[i] -= x
+        need[j] -= x
+        if rows == 1 or (cols > 1 and not need[j]):
+            open_[j], free[j], parent[n + j], flow[n + j] = False, np.inf, i, x
+            cols -= 1
+            order.append(n + j)
+        else:
+            heapq.heappop(heap)
+            parent[i], flow[i] = n + j, x
+            rows -= 1
+            order.append(i)
+    raise AssertionError("masses don't match")
+
+
+def least_plan(cost: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, flow) of a least-cost flow between masses a and b, of as much as both sides have: the transportation simplex, on
+    whole units of 2^-52 of the mass. Rows are priced against all columns; trees keep strongly feasible, so that it ends."""
+    rows, cols = np.flatnonzero(a > 0), np.flatnonzero(b > 0)
+    if not len(rows) or not len(cols):
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    left, need = _matched(a[rows], b[cols])
+    rows, cols = rows[np.array(left, float) > 0], cols[np.array(need, float) > 0]
+    left, need = [x for x in left if x], [x for x in need if x]
+    if len(rows) < cost.shape[0] or len(cols) < cost.shape[1]:
+        cost = cost[np.ix_(rows, cols)]
+    gap, real = sum(left) - sum(need), cost.shape
+    if gap:  # what one side has too much goes nowhere, at no cost
+        cost = np.pad(cost, ((0, int(gap < 0)), (0, int(gap > 0))))
+        (left if gap < 0 else need).append(abs(gap))
+    n, m = cost.shape
+    parent, flow, order = _first_basis(cost, left, need)
+    tol = 1e-12 * max(1e-300, float(np.abs(cost).max()))
+    kids: list[set[int]] = [set() for _ in range(n + m)]
+    depth, root = [0] * (n + m), order[-1]
+    for x in order[:-1]:
+        kids[parent[x]].add(x)
+    pot = np.zeros(n + m)  # cost of a tree's arc: pot[row] - pot[column]
+
+    def settle() -> None:
+        todo, pot[root] = [root], 0.0
+        for x in todo:
+            for y in kids[x]:
+                depth[y] = depth[x] + 1
+                pot[y] = pot[x] + cost[y, x - n] if y < n else pot[x] - cost[x, y - n]
+                todo.append(y)
+
+    def pivot(i: int, j: int, gain: float) -> None:
+        """The cell (i, j) enters; of the arcs that run dry the last on the cycle from its top along its way leaves."""
+        p, q = i, n + j
+        least, out, side = None, -1, 0
+        while p != q:
+            if depth[p] >= depth[q]:
+                if p < n and (least is None or flow[p] < least):
+                    least, out, side = flow[p], p, 0
+                p = parent[p]
             else:
-                done_v[j] = True
-                if need[j] > 1e-12:
-                    break
-                back = np.flatnonzero((flow[:, j] > 1e-12) & (dv[j] < du - 1e-15))
-                du[back], fu[back] = dv[j], j
-        t = dv[j]
-        pu, pv = pu + np.minimum(du, t), pv + np.minimum(dv, t)
-        path, k = [], j
-        while True:
-            i = fv[k]
-            path.append((i, k, 1))
-            if fu[i] < 0:
+                if q >= n and (least is None or flow[q] <= least):
+                    least, out, side = flow[q], q, 1
+                q = parent[q]
+        top, p, q = p, i, n + j
+        if least:
+            while p != top:
+                flow[p] += -least if p < n else least
+                p = parent[p]
+            while q != top:
+                flow[q] += -least if q >= n else least
+                q = parent[q]
+        kids[parent[out]].discard(out)
+        x, up, f = (n + j, i, least) if side else (i, n + j, least)
+        shift = -gain if side else gain
+        first = x
+        while True:  # turn the way from the cell's end to the leaving arc round
+            old, g = parent[x], flow[x]
+            parent[x], flow[x] = up, f
+            kids[up].add(x)
+            if x == out:
                 break
-            path.append((i, fu[i], -1))
-            k = fu[i]
-        amount = min([need[j], left[path[-1][0]], *[flow[p, q] for p, q, s in path if s < 0]])
-        for p, q, s in path:
-            flow[p, q] += s * amount
-        left[path[-1][0]] -= amount
-        need[j] -= amount
+            kids[old].discard(x)
+            x, up, f = old, x, g
+        todo, depth[first] = [first], depth[parent[first]] + 1
+        for x in todo:
+            d = depth[x] + 1
+            for y in kids[x]:
+                depth[y] = d
+            todo.extend(kids[x])
+        pot[todo] += shift
+
+    step = max(1, (1 << 21) // m)
+    while True:
+        settle()
+        worst = np.concatenate([(cost[k : k + step] + pot[n:]).min(1) for k in range(0, n, step)]) - pot[:n]
+        todo = np.argsort(worst, kind="stable")
+        todo = todo[worst[todo] < -tol]
+        if not len(todo):
+            break
+        for i in todo.tolist():
+            r = cost[i] + pot[n:]
+            j = int(r.argmin())
+            if (gain := float(r[j] - pot[i])) < -tol:
+                pivot(i, j, gain)
+    total = max(a.sum(), b.sum())
+    got = [(x, y - n, f) if x < n else (y, x - n, f) for x, (y, f) in enumerate(zip(parent, flow, strict=True)) if y >= 0 and f > 4096]
+    got = [t for t in got if t[0] < real[0] and t[1] < real[1]]
+    i, j, f = (np.array(c) for c in zip(*got, strict=True)) if got else (np.zeros(0, int),) * 3
+    return rows[i], cols[j], f * (total / (1 << 52))
+
+
+def exact_plan(cost: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least-cost flow as a matrix."""
+    flow = np.zeros(cost.shape)
+    i, j, f = least_plan(cost, np.asarray(a, float), np.asarray(b, float))
+    flow[i, j] = f
     return flow
 
 
@@ -155,19 +261,26 @@ def earth_mover(costs: DataFrame, a: DataFrame, b: DataFrame, reg: float = 0.1,
     """OT-06, OT-07: the plan (i, j, flow, cost) between histograms (id, mass); reg 0: exactly, in one task of checked size."""
     if reg > 0:
         return sinkhorn(costs, a, b, reg, rounds)
-    if costs.limit(EXACT_CELLS + 1).count() > EXACT_CELLS:
-        raise ValueError("too many cells for the exact plan: give reg > 0")
-    tables = [write_table(t.select(*c), "cells") for t, c in ((costs, ("i", "j", "cost")), (a, ("id", "mass")), (b, ("id", "mass")))]
+    if (cells := a.count() * b.count()) > EXACT_CELLS:
+        raise ValueError(f"{cells} cells, more than {EXACT_CELLS}, for the exact plan: give reg > 0")
+    table = write_table(costs.select(F.col("i").cast("long"), F.col("j").cast("long"), F.col("cost").cast("double")), "cells")
+    sides = [write_table(t.select(F.col("id").cast("long"), F.col("mass").cast("double")), "cells") for t in (a, b)]
 
     def run(batches):
         for pdf in batches:
             if len(pdf):
-                c, x, y = (read_in_task(t).to_pandas() for t in tables)
-                x, y = x.sort_values("id"), y.sort_values("id")
-                c = c.pivot(index="i", columns="j", values="cost").loc[x["id"], y["id"]].to_numpy()
-                f = exact_plan(c, x["mass"].to_numpy(), y["mass"].to_numpy())
-                i, j = np.nonzero(f > 0)
-                yield pd.DataFrame({"i": x["id"].to_numpy()[i], "j": y["id"].to_numpy()[j], "flow": f[i, j], "cost": c[i, j]})
+                x, y = (read_in_task(t).sort_by("id") for t in sides)
+                (r, xm), (s, ym) = ((t.column("id").to_numpy(), t.column("mass").to_numpy()) for t in (x, y))
+                c = np.full((len(r), len(s)), np.nan)
+                for t in batches_in_task(table, 1 << 18):
+                    i, j, k = (np.asarray(t.column(e)) for e in ("i", "j", "cost"))
+                    p, q = (np.minimum(np.searchsorted(e, o), len(e) - 1) for e, o in ((r, i), (s, j)))
+                    ok = (r[p] == i) & (s[q] == j)
+                    c[p[ok], q[ok]] = k[ok]
+                if np.isnan(c).any():
+                    raise ValueError("the plan needs the cost of every pair")
+                i, j, f = least_plan(c, xm, ym)
+                yield pd.DataFrame({"i": r[i], "j": s[j], "flow": f, "cost": c[i, j]})
 
     return costs.sparkSession.range(1).mapInPandas(run, "i long, j long, flow double, cost double")
 
