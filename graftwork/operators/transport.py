@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,8 @@ from graftwork.session import batches_in_task, read_in_task, write_table, writte
 EXACT_CELLS = 1 << 27
 #: Cells of a cost matrix at all.
 COST_CELLS = 1 << 28
+#: Cells from which the simplex takes its first prices; of more, every so many rows and columns.
+START_CELLS = 1 << 25
 
 
 def discretize(tree: DataFrame, points: DataFrame, resolution: int = 10) -> DataFrame:
@@ -120,15 +123,46 @@ def _matched(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     return x, y
 
 
+def _first_prices(cost: np.ndarray, a: np.ndarray, b: np.ndarray, levels: int = 8, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Prices of rows and columns near those of a least plan, whatever they are taken for: kernels of ever smaller reg, scaled by rows and
+    columns in turn, in single precision, on `START_CELLS` at most; other rows and columns follow from their cells."""
+    n, m = cost.shape
+    s = math.ceil(math.sqrt(cost.size / START_CELLS))
+    part, a, b = cost[::s, ::s], a[::s], b[::s]
+    low, high = float(part.min()), float(part.max())
+    if not 0 < high - low < np.inf:
+        return np.zeros(n), np.zeros(m)
+    c = ((part - low) / (high - low)).astype(np.float32)
+    a, b = ((t / t.sum()).astype(np.float32) for t in (a, b))
+    u, v, reg = np.zeros_like(a), np.zeros_like(b), float(c.mean()) / 4
+    k, tiny = np.empty_like(c), np.float32(1e-30)
+    with np.errstate(all="ignore"):
+        for _ in range(levels):
+            for i in range(0, len(c), 256):
+                k[i : i + 256] = np.exp(np.clip((u[i : i + 256, None] + v - c[i : i + 256]) / reg, -60, 30))
+            y = np.ones_like(v)
+            for _ in range(rounds):
+                x = a / np.maximum(k @ y, tiny)
+                y = b / np.maximum(x @ k, tiny)
+            u, v = (p + reg * np.log(np.clip(np.nan_to_num(q, nan=1.0), 1e-30, 1e30)).astype(np.float32) for p, q in ((u, x), (v, y)))
+            reg /= 2
+    u, v = u.astype(float) * (high - low) + low, v.astype(float) * (high - low)
+    if s > 1:
+        v = np.min([(cost[i : i + 256 * s : s] - u[i // s : i // s + 256, None]).min(0) for i in range(0, n, 256 * s)], axis=0)
+        u = np.concatenate([(cost[i : i + 256] - v).min(1) for i in range(0, n, 256)])
+    return u, v
+
+
 def _first_basis(cost: np.ndarray, left: list[int], need: list[int]) -> tuple[list[int], list[int], list[int]]:
-    """(parent, flow, order) of a tree over rows and columns (numbered after them): cells by rising cost take what they can, and the
-    side that runs out hangs on the other. Arcs without flow lead from a row up to a column, so that no pivots cycle."""
+    """(parent, flow, order) of a tree over rows and columns (numbered after them): cells by rising cost above the first prices take what
+    they can, and the side that runs out hangs on the other. Arcs without flow lead from a row up to a column, so that no pivots cycle."""
     n, m = cost.shape
+    u, v = _first_prices(cost, np.array(left, float), np.array(need, float))
     left, need = list(left), list(need)
     parent, flow, order = [-1] * (n + m), [0] * (n + m), []
-    free, rows, cols = np.zeros(m), n, m  # free: infinite where a column is closed
-    best = cost.argmin(1).tolist()
-    heap = list(zip(cost[np.arange(n), best].tolist(), range(n)))
+    free, rows, cols = -v, n, m  # free: infinite where a column is closed
+    best = np.concatenate([(cost[i : i + 256] + free).argmin(1) for i in range(0, n, 256)]).tolist()
+    heap = list(zip((cost[np.arange(n), best] + free[best] - u).tolist(), range(n)))
     heapq.heapify(heap)
     open_ = [True] * m
     while heap:
@@ -136,7 +170,7 @@ def _first_basis(cost: np.ndarray, left: list[int], need: list[int]) -> tuple[li
         j = best[i]
         if not open_[j]:
             j = best[i] = int((cost[i] + free).argmin())
-            heapq.heapreplace(heap, (float(cost[i, j]), i))
+            heapq.heapreplace(heap, (float(cost[i, j] + free[j] - u[i]), i))
             continue
         x = min(left[i], need[j])
         if rows == cols == 1:
