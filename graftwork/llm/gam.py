@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from graftwork.llm.common import FIT_ROWS, labelled_sample, pieces, texts
-from graftwork.session import written
 
 FEATURES = ("log_bytes", "log_words", "word_length", "upper", "digits", "spaces", "exclaims", "bars", "stars", "stops", "commas", "quotes", "brackets", "other_signs", "beyond_ascii", "repeated_next", "distinct_words", "longest_word", "line_words", "repeated_lines", "short_words", "signed_words")
 
@@ -173,7 +172,8 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held_out: int = 0, rows: int = FIT_ROWS) -> Model:
-    sample = written(labelled_sample(docs, labels, label, folds, held_out, rows).mapInArrow(_feature_rows, "doc_id long, y int, x array<double>"), "gam-sample").toPandas()
+    # of bounded size, and straight to the driver: a file a task would have the executors fork a chmod each
+    sample = labelled_sample(docs, labels, label, folds, held_out, rows).mapInArrow(_feature_rows, "doc_id long, y int, x array<double>").toPandas()
     x = np.array(sample["x"].tolist(), float).reshape(-1, len(FEATURES))
     y = sample["y"].to_numpy(float)
     order = np.lexsort([*x.T, y, sample["doc_id"].to_numpy()])  # sums don't depend on the rows' order
