@@ -462,8 +462,7 @@ def ot07_exact_line(spark: SparkSession, d: str) -> DataFrame:
     """On a line the least cost is the area between the two distribution functions: the exact plan must cost as much."""
     p = M.points(spark, d).select("id", F.slice("pos", 1, 1).alias("pos"), "label")
     a, b = (written(p.where(F.col("label") == k).withColumn("mass", 1.0 / F.count("*").over(W.partitionBy("label"))), "cloud") for k in (1, 2))
-    plan = OT.earth_mover(written(OT.point_costs(a, b), "costs"), a, b, reg=0)
-    return OT.transport_cost(plan).select(F.round("distance", 6).alias("distance"))
+    return OT.transport_cost(OT.located_plan(a, b)).select(F.round("distance", 6).alias("distance"))
 
 
 # ---- 2.11 ----------------------------------------------------------------------------------------------------------------
