@@ -437,6 +437,11 @@ def _hists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return written(OT.edge_costs(a, b), "costs"), written(OT.histogram(a.select("id", "mass")), "a"), written(OT.histogram(b.select("id", "mass")), "b")
 
 
+def _edges_plan(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (OT.histogram(OT.tree_edges_located(t, p).select("id", F.concat("p", "q").alias("pos"), "mass")) for p, t in (_chain(spark, d, 1), _chain(spark, d, 2)))
+    return OT.located_plan(a, b, OT.segment_distances)
+
+
 @query("SELECT 1.0::DOUBLE AS mass, true AS positive")
 def ot06_sinkhorn(spark: SparkSession, d: str) -> DataFrame:
     c, a, b = _hists(spark, d)
@@ -446,9 +451,7 @@ def ot06_sinkhorn(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 1.0::DOUBLE AS mass, true AS positive")
 def ot07_exact_edges(spark: SparkSession, d: str) -> DataFrame:
-    c, a, b = _hists(spark, d)
-    plan = OT.earth_mover(c, a, b, 0.0)
-    return plan.agg(F.round(F.sum("flow"), 6).alias("mass"), (F.sum(F.col("flow") * F.col("cost")) > 0).alias("positive"))
+    return _edges_plan(spark, d).agg(F.round(F.sum("flow"), 6).alias("mass"), (F.sum(F.col("flow") * F.col("cost")) > 0).alias("positive"))
 
 
 @query("SELECT 2000.0::DOUBLE AS total")
