@@ -456,7 +456,7 @@ def ot07_exact_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 2000.0::DOUBLE AS total")
 def ot08_flow_graph(spark: SparkSession, d: str) -> DataFrame:
-    return OT.flow_graph(OT.earth_mover(*_hists(spark, d), 0.0)).agg(F.round(F.sum("w"), 3).alias("total"))
+    return OT.flow_graph(_edges_plan(spark, d)).agg(F.round(F.sum("w"), 3).alias("total"))
 
 
 @query("""WITH x AS (SELECT embedding[1]::DOUBLE AS x, label FROM embeddings WHERE label IN (1, 2)), m AS (SELECT x, CASE WHEN label = 1 THEN 1.0 ELSE -1.0 END / count(*) OVER (PARTITION BY label) AS m FROM x),
